@@ -32,8 +32,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="siltstone-")
+        _local[spark.sparkContext.applicationId] = base
     root = f"{base.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
@@ -42,6 +42,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _roots: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def _remove(spark: SparkSession, root: str) -> None:

@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut(texts.groupBy("_sl_h", "_sl_norm").agg(best("_sl_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.count(F.col("_sl_id")).alias("_sl_ids")))
     rows = slim.mapInArrow(_digests(False, lower), f"_sl_id {id_type}, _sl_h binary, _sl_sha string")
     # of rows repeated with one id and text, the first is the one that may stay
-    once = rows.withColumn("_sl_turn", F.row_number().over(Window.partitionBy("_sl_h", "_sl_id").orderBy("_sl_sha")))
+    once = rows.withColumn("_sl_turn", F.row_number().over(Window.partitionBy("_sl_h", "_sl_id", "_sl_sha").orderBy("_sl_id")))
     shared = classes.groupBy("_sl_h").agg(F.count(F.lit(1)).alias("_sl_texts")).filter("_sl_texts > 1").select("_sl_h")
     if shared.isEmpty():
         joined = once.join(classes.drop("_sl_norm"), "_sl_h")
