@@ -6,11 +6,11 @@ partition its global offset: a prefix sum in two passes. The second pass cuts th
 row of tokens into windows of `length` ids; a document across a boundary gives one piece
 for each window it touches. Only the last sequence can have padding.
 
-The tokenizer is never trained. Words are looked up in two bounded caches of the worker
-(chunks between ASCII white space, then pre-tokens), because the public tokenizer takes
-most of its time to normalise text that it has seen before. Whatever is not plainly covered
-(letters beyond Latin-1, unusual white space, special-token strings) goes through the
-tokenizer itself; the ids are the same either way, which the tests check.
+The tokenizer is never trained. Pre-tokens are looked up in a bounded cache of the worker,
+because the public tokenizer takes most of its time to normalise text that it has seen
+before. Whatever is not plainly covered (letters beyond Latin-1, unusual white space,
+special-token strings) goes through the tokenizer itself; the ids are the same either way,
+which the tests check.
 
 Defined cases: null text is empty and gives the end id alone. Rows repeated with one id are
 packed as documents of their own. A null id stays null. An empty table gives no pieces.
@@ -18,8 +18,9 @@ packed as documents of their own. A null id stays null. An empty table gives no
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Entries of the caches; at the limit a cache is emptied.
-CHUNKS, PIECES = 300_000, 400_000
+#: Entries of the worker's cache; at the limit it is emptied.
+PIECES = 600_000
 
 _BYTE_CHARS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -47,7 +48,12 @@ def _byte_map() -> list[str]:
 
 
 class CachedWordBpe:
-    """Ids of tokenizers' word BPE (NFC, lower case, white space dropped), as uint16 or uint32 bytes."""
+    """Ids of tokenizers' word BPE (NFC, lower case, white space dropped), as uint16 bytes.
+
+    A text of Latin-1 characters is lower-cased and split into pre-tokens here (all of Latin-1
+    is in NFC already), each of which is looked up. Any other text is taken chunk by chunk
+    between ASCII white space, odd chunks by the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -57,39 +63,37 @@ class CachedWordBpe:
         self.model = self.tokenizer.model
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.bytes = _byte_map()
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]*").fullmatch
-        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|").search
-        self.chunks: dict[str, bytes] = {}
+        self.beyond = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xff]|<\|").search
+        self.mixed = re.compile(r"[^a-z\xdf-\xf6\xf8-\xff\t-\r .,]|[.,][.,]").search
+        self.latin = re.compile(r"[\x21-\x7e\xa1-\xff]*").fullmatch
+        self.strange = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|").search
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            text = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
-            got = np.array([t.id for t in self.model.tokenize(text)], "<u2").tobytes()
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = got
+        text = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
+        got = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        self.pieces[piece] = got
         return got
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self.plain(chunk) and unicodedata.is_normalized("NFC", chunk):
-            got = b"".join([self._piece(p) for p in self.split(chunk.lower())])
-        else:
-            got = self._whole(chunk)
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        self.chunks[chunk] = got
-        return got
+    def _latin(self, lower: str) -> bytes:
+        if self.mixed(lower):
+            tokens = self.split(lower)
+        else:  # letters with single stops and commas
+            tokens = lower.replace(".", " . ").replace(",", " , ").split()
+        get, miss = self.pieces.get, self._piece
+        return b"".join([get(t) or miss(t) for t in tokens])
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if not self.beyond(text):
+            return self._latin(text.lower())
+        if self.strange(text):
             return self._whole(text)
-        get, miss = self.chunks.get, self._chunk
-        return b"".join([get(c) or miss(c) for c in text.split()])
+        return b"".join([self._latin(c.lower()) if self.latin(c) else self._whole(c) for c in text.split()])
 
 
 class PlainTokenizer:
