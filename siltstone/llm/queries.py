@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeats
+
+    return drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_sizes
 
@@ -40,6 +46,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0][:2] == "op" and x[0][2:3].isdigit() else 0) if k[:2] == "op" and k[2:3].isdigit()}
 
@@ -72,5 +84,21 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_
 """
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+x as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from p),
+f as (select h, min(doc_id) as first_doc from x group by h),
+r as (select doc_id, i from x join f using (h) where first_doc < doc_id),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as k from r),
+t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+y as (select t.doc_id, count(*) as n, count(c.k) as gone, coalesce(string_agg(case when c.k is null then word end, ' ' order by t.k), '') as kept
+      from t left join c on t.doc_id = c.doc_id and t.k = c.k group by t.doc_id)
+select d.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join y using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
