@@ -52,6 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -106,5 +112,19 @@ select d.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha2
 """
 
 
+OP9_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i + 4], ' ')) as h
+      from (select doc_id, w, unnest(case when len(w) >= 5 then range(1, len(w) - 3) when len(w) > 0 then [1] else [] end) as i from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by all),
+l as (select x, y from i join n as nx on nx.doc_id = x join n as ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+e as (select x as u, y as v from l union all select y, x from l),
+r as (select doc_id as u, doc_id as c from d union select e.v, r.c from r join e on e.u = r.u)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id
+from d left join n using (doc_id) join (select u as doc_id, min(c) as component_id from r group by u) m using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op9_near_duplicates": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
