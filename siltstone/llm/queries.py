@@ -45,6 +45,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), SEQUENCE).drop("ids")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import old_layout, reshard
 
