@@ -50,8 +50,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passe
     total = F.sum("source_size").over(one)
     level = (total - F.coalesce(F.sum(F.col("source_size") * passes).over(earlier), F.lit(0))).cast("double") / F.sum("weight").over(later).cast("double")
     src = src.withColumn("_sl_level", level)
-    free = F.when(F.col("source_size") * passes > F.col("_sl_level") * F.col("weight"), F.col("_sl_level"))
-    src = src.withColumn("_sl_level", F.min(free).over(one))
+    # the level holds from the first source that it leaves below its limit
+    free = F.when(F.col("source_size") * passes > F.col("_sl_level") * F.col("weight"), F.struct(F.row_number().over(rising).alias("at"), "_sl_level"))
+    src = src.withColumn("_sl_free", free).withColumn("_sl_level", F.min("_sl_free").over(one)["_sl_level"]).drop("_sl_free")
     limit = (F.col("source_size") * passes).cast("double")
     return src.withColumn("target", F.coalesce(F.least(limit, F.col("_sl_level") * F.col("weight")), limit)).drop("_sl_level")
 

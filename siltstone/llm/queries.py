@@ -92,7 +92,7 @@ s1 as (select *, row_number() over (order by source is null, source) - 1 as rk f
 s2 as (select *, case rk % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s1),
 s3 as (select *, cast(sum(source_size) over () - coalesce(sum(3 * source_size) over (order by source_size / weight, rk rows between unbounded preceding and 1 preceding), 0) as double)
               / cast(sum(weight) over (order by source_size / weight, rk rows between current row and unbounded following) as double) as lv from s2),
-s4 as (select *, min(case when 3 * source_size > lv * weight then lv end) over () as cut from s3),
+s4 as (select *, (select lv from s3 where 3 * source_size > lv * weight order by source_size / weight, rk limit 1) as cut from s3),
 s5 as (select *, coalesce(least(cast(3 * source_size as double), cut * weight), cast(3 * source_size as double)) as target from s4),
 s6 as (select *, cast(floor(target + 0.5) as bigint) as take from s5),
 o as (select d.*, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as off from d)
