@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import plans  # noqa: F401  its modules register their queries
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    """Name -> function of (spark, folder of tables), in the order of the names."""
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sorted(ORACLES.items()))
