@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from siltstone.operators import asof_join, broadcast_if_small, range_join, salted_join
 from siltstone.registry import query
 
-_REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def _revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def _sum2(column, name):
@@ -140,7 +142,7 @@ from lineitem where l_shipdate <= timestamp '1998-09-02' group by all
 def p17_pricing_summary(spark, t):
     rows = t.lineitem.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        _sum2("l_quantity", "sum_qty"), _sum2("l_extendedprice", "sum_base_price"), _sum2(_REVENUE, "sum_disc_price"), _sum2(_REVENUE * (1 + F.col("l_tax")), "sum_charge"),
+        _sum2("l_quantity", "sum_qty"), _sum2("l_extendedprice", "sum_base_price"), _sum2(_revenue(), "sum_disc_price"), _sum2(_revenue() * (1 + F.col("l_tax")), "sum_charge"),
         F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), _n("count_order"),
     )
 
@@ -148,7 +150,7 @@ def p17_pricing_summary(spark, t):
 @query("select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all")
 def p17_revenue_by_nation(spark, t):
     orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey").agg(F.sum(_REVENUE).alias("revenue"))
+    lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey").agg(F.sum(_revenue()).alias("revenue"))
     return lines.join(broadcast_if_small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.round("revenue", 2).alias("revenue"))
 
 
@@ -198,9 +200,9 @@ def p22_transpose(spark, t):
     return t.region.transpose("r_regionkey")
 
 
-@query("select o_orderstatus, round(median(o_totalprice), 2) as med, round(quantile_cont(o_totalprice, 0.9), 2) as p90 from orders group by all")
+@query("select o_orderstatus, round(median(o_totalprice), 4) as med, round(quantile_cont(o_totalprice, 0.9), 4) as p90 from orders group by all")
 def p23_exact_quantile(spark, t):
-    return t.orders.groupBy("o_orderstatus").agg(F.round(F.median("o_totalprice"), 2).alias("med"), F.round(F.percentile("o_totalprice", 0.9), 2).alias("p90"))
+    return t.orders.groupBy("o_orderstatus").agg(F.round(F.median("o_totalprice"), 4).alias("med"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"))
 
 
 @query("select o_orderstatus, true as close from orders group by all")

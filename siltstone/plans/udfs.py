@@ -27,21 +27,21 @@ def p52_scalar_udfs(spark, t):
     return t.orders.select("o_orderkey", F.round(by_row(price), 4).alias("by_row"), F.round(by_pandas(price), 4).alias("by_pandas"), F.round(by_arrow(price), 4).alias("by_arrow"))
 
 
-@query("select c_nationkey, round(avg(c_acctbal), 2) as mean from customer group by all")
+@query("select c_nationkey, round(avg(c_acctbal), 5) as mean from customer group by all")
 def p53_grouped_aggregate(spark, t):
     @F.pandas_udf("double")
     def mean(v: pd.Series) -> float:
         return float(v.mean())
 
-    return t.customer.groupBy("c_nationkey").agg(F.round(mean("c_acctbal"), 2).alias("mean"))
+    return t.customer.groupBy("c_nationkey").agg(F.round(mean("c_acctbal"), 5).alias("mean"))
 
 
-@query("select c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_nationkey), 2) as off from customer")
+@query("select c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_nationkey), 5) as off from customer")
 def p53_apply_in_pandas(spark, t):
     def centre(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c_custkey": frame["c_custkey"], "off": (frame["c_acctbal"] - frame["c_acctbal"].mean())})
 
-    return t.customer.groupBy("c_nationkey").applyInPandas(centre, "c_custkey long, off double").select("c_custkey", F.round("off", 2).alias("off"))
+    return t.customer.groupBy("c_nationkey").applyInPandas(centre, "c_custkey long, off double").select("c_custkey", F.round("off", 5).alias("off"))
 
 
 @query("select s_nationkey, count(*) as n, max(s_acctbal) as top from supplier group by all")

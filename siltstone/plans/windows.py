@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import utc
 from siltstone.registry import query
 
-_RANK = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+
+def _by_balance():
+    return Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
 
 
 @query("""
@@ -16,8 +18,9 @@ select c_custkey, row_number() over w as rn, rank() over w as rk, dense_rank() o
 from customer window w as (partition by c_nationkey order by c_acctbal desc, c_custkey)
 """)
 def p28_ranking(spark, t):
-    long = lambda f: f.over(_RANK).cast("bigint")
-    return t.customer.select("c_custkey", long(F.row_number()).alias("rn"), long(F.rank()).alias("rk"), long(F.dense_rank()).alias("dr"), long(F.ntile(4)).alias("nt"), F.round(F.percent_rank().over(_RANK), 6).alias("pr"), F.round(F.cume_dist().over(_RANK), 6).alias("cd"))
+    w = _by_balance()
+    long = lambda f: f.over(w).cast("bigint")
+    return t.customer.select("c_custkey", long(F.row_number()).alias("rn"), long(F.rank()).alias("rk"), long(F.dense_rank()).alias("dr"), long(F.ntile(4)).alias("nt"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"))
 
 
 @query("""
@@ -44,7 +47,7 @@ def p30_frames(spark, t):
 
 @query("select c_nationkey, c_custkey, c_acctbal from customer qualify row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) <= 3")
 def p33_top_k_per_group(spark, t):
-    return t.customer.withColumn("rn", F.row_number().over(_RANK)).filter("rn <= 3").select("c_nationkey", "c_custkey", "c_acctbal")
+    return t.customer.withColumn("rn", F.row_number().over(_by_balance())).filter("rn <= 3").select("c_nationkey", "c_custkey", "c_acctbal")
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
