@@ -101,7 +101,7 @@ def test_pipeline(spark, tmp_path):
     texts, labels = toxic_corpus(240)
     r = random.Random(8)
     clean = [prose(r, 80, 9000) for _ in range(40)]
-    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts + clean + [clean[0].upper(), clean[1] + " more", None, ""])]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts + clean + [clean[0].upper(), clean[1] + " more", None, ""])]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))

@@ -79,7 +79,7 @@ def test_boilerplate_lines(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no</p>";</script></head><body><div class="cookie-notice"><p>Accept</p></div><nav><ul><li><a href=/a>Menu{0}</a></ul></nav>
-<div id="page"><article><h1>Title &amp; {0}</h1><p>First   line<br>of <b>{0}</b> &lt;b&gt; &copy;<p>Second{0}<ul><li>i1<li>i2</ul><!-- <p>hidden</p> --><form><p>Name</p></form></article><div class="comments"><p>Nice {0}</p></div></div>
+<div id="page"><article><h1>Title &amp; {0}</h1><p>First   line<br>of <b>{0}</b> &lt;b&gt; &copy;<p>Second{0}<ul><li>a{0}<li>b{0}</ul><!-- <p>hidden</p> --><form><p>Name</p></form></article><div class="comments"><p>Nice {0}</p></div></div>
 <aside>side</aside><footer>&copy; me</footer></body></html>"""
 
 
@@ -88,7 +88,7 @@ def test_extract(spark):
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id bigint, url string, html string, role int, host string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract(df).collect()}
     for i in range(12):
-        want = f"Title & {i}\nFirst line of {i} <b> ©\nSecond{i}\ni1\ni2"
+        want = f"Title & {i}\nFirst line of {i} <b> ©\nSecond{i}\na{i}\nb{i}"
         assert got[i] == (want, len(want))
     assert got[50] == got[51] == ("", 0) and got[52][0] == "one\ntwo xy\ntail &am"
     assert extract(df.limit(0)).count() == 0 and extract(df).count() == len(rows)
