@@ -94,6 +94,14 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES):
         i = j
 
 
+def slices(batches, column: str, limit: int):
+    """The batches, cut so that each holds about `limit` bytes of text, or one longer text."""
+    for b in batches:
+        _, off = text_bytes(b.column(column))
+        for i, j in blocks(off, limit):
+            yield b.slice(i, j - i)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

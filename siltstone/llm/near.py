@@ -3,8 +3,10 @@
 Method. A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of
 similarity t share a token among the first n - ceil(t * n) + 1 tokens of each under *any*
 one order of all tokens. Several orders are used: each puts tokens found to be frequent
-last (by their power of two) and orders the rest by a hash of its own. A pair is a candidate if it shares
-prefix tokens under every order; the filters are intersected before a text is fetched, and
+last (by their power of two), before them tokens of frequent words, which often coincide by
+chance, and settles ties by a hash of its own. A pair is a candidate if under every order
+it shares a prefix token with enough tokens from there on in both sets to reach the
+threshold (the position filter); the filters are intersected before a text is fetched, and
 candidates are verified exactly.
 
 Equal sets are one class from the start (the hash of a set is 128 bits). Among classes
@@ -17,8 +19,9 @@ Nothing is capped or sampled.
 
 Scale: prefix tokens travel as packed columns, about 5 bytes each, and tokens that no second
 document has are dropped in the first task that sees them all. Tokens that a task finds
-frequent go as rows, since their postings have no bound. Only frequent tokens, at most HEAVY
-of them, are broadcast; they order tokens and nothing else, so results don't depend on them.
+frequent go as rows, since their postings have no bound. Only frequent tokens and words, at
+most HEAVY and WORDS of them, are broadcast; they order tokens and nothing else, so results
+don't depend on them.
 
 Defined cases: null or wordless text has an empty set (n_shingles 0) and no links; fewer
 than 5 words make one shingle of the whole. A null id has no links and component_id null.
@@ -39,11 +42,24 @@ from .components import components
 SHINGLE, PERCENT, ORDERS = 5, 80, 2
 #: Most frequent tokens that are broadcast; finds in one task that make a token frequent there.
 HEAVY, OFTEN = 1 << 18, 4
+#: Most frequent words that are broadcast, and those that one batch names.
+WORDS, BATCH_WORDS = 1 << 16, 20_000
 _ORDER = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first token of each value and one more, tokens ascending within a value), distinct."""
+def _place(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in sorted_values, or -1."""
+    if not len(sorted_values):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == values, at, -1)
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, rarity=None) -> tuple[np.ndarray, ...]:
+    """(index of the first token of each value and one more, tokens ascending within a value), distinct.
+
+    With a function from word hashes to their rarity, also the sum of it over each token's words.
+    """
     data = ascii_lower(data)
     starts, ends, first = word_spans(data, off)
     h = span_hashes(data, starts, ends)
@@ -51,13 +67,17 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[n
     shingles = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), shingles)
     begin = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    token = range_hashes(h, begin, np.minimum(n[doc], k))
+    size = np.minimum(n[doc], k)
+    token = range_hashes(h, begin, size)
     order = np.lexsort((token, doc))
-    doc, token = doc[order], token[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
-    doc, token = doc[new], token[new]
-    return np.searchsorted(doc, np.arange(len(n) + 1)), token
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (token[order][1:] != token[order][:-1])
+    order = order[new]
+    first = np.searchsorted(doc[order], np.arange(len(n) + 1))
+    if rarity is None:
+        return first, token[order]
+    sums = np.concatenate(([0], np.cumsum(rarity(h))))
+    return first, token[order], (sums[begin + size] - sums[begin])[order]
 
 
 def _sets(k: int):
@@ -80,10 +100,18 @@ def _often(k: int):
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column("_sl_text"))
-            found = [shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)[1] for i, j in blocks(off)]
-            token, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            keep = n >= OFTEN
-            yield pa.RecordBatch.from_arrays([signed(token[keep]), pa.array(n[keep])], names=["t", "c"])
+            tokens, words = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for i, j in blocks(off):
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                tokens.append(shingle_sets(part, at, k)[1])
+                low = ascii_lower(part)
+                words.append(span_hashes(low, *word_spans(low, at)[:2]))
+            for kind, values in enumerate((tokens, words)):
+                value, n = np.unique(np.concatenate(values), return_counts=True)
+                keep = np.flatnonzero(n >= OFTEN)
+                if kind and len(keep) > BATCH_WORDS:
+                    keep = keep[np.argsort(-n[keep], kind="stable")[:BATCH_WORDS]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), kind, np.int32)), signed(value[keep]), pa.array(n[keep].astype(np.int64))], names=["kind", "t", "c"])
 
     return run
 
@@ -106,75 +134,83 @@ def _prefixes(k: int, percent: int, orders: int, n_buckets: int, heavy):
     """Prefix tokens of all orders, as packed columns by (order, bucket); frequent ones in bucket -1."""
 
     def run(batches):
-        often, level = heavy.value
+        often, level, known, rare = heavy.value
+
+        def rarity(words):
+            at = _place(known, words)
+            return np.where(at >= 0, rare[at], rare.max(initial=0) + 8) if len(known) else np.zeros(len(words), np.int64)
+
         for b in batches:
             data, off = text_bytes(b.column("_sl_text"))
             ids = np.asarray(b.column("_sl_id"))
-            got = [([], []) for _ in range(orders)]
+            got = [([], [], []) for _ in range(orders)]
             for i, j in blocks(off):
-                first, token = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                first, token, apart = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k, rarity)
                 n = np.diff(first)
                 doc = np.repeat(np.arange(j - i), n)
                 length = n - (n * percent + 99) // 100 + 1
-                at = np.searchsorted(often, token)
-                at[at == len(often)] = 0
-                rank = np.where(often[at] == token, level[at], 0).astype(np.uint64) if len(often) else np.zeros(len(token), np.uint64)
+                at = _place(often, token)
+                rank = np.where(at >= 0, level[at], 0).astype(np.uint64) if len(often) else np.zeros(len(token), np.uint64)
+                rank = (rank << np.uint64(10)) | (1023 - np.minimum(apart, 1023)).astype(np.uint64)
                 for o in range(orders):
-                    key = (rank << np.uint64(58)) | (mix(token ^ np.uint64(_ORDER[o])) >> np.uint64(6))
+                    key = (rank << np.uint64(48)) | (mix(token ^ np.uint64(_ORDER[o])) >> np.uint64(16))
                     order = np.lexsort((key, doc))
-                    chosen = order[np.arange(len(order)) - first[doc] < length[doc]]
-                    got[o][0].append(token[chosen])
+                    position = np.arange(len(order)) - first[doc]
+                    chosen = position < length[doc]
+                    got[o][0].append(token[order[chosen]])
                     got[o][1].append(ids[i + doc[chosen]])
-            out = {x: [] for x in ("o", "b", "tokens", "ids")}
+                    got[o][2].append(position[chosen])
+            out = {x: [] for x in ("o", "b", "tokens", "ids", "positions")}
             for o in range(orders):
                 if not got[o][0]:
                     continue
-                token, owner = np.concatenate(got[o][0]), np.concatenate(got[o][1])
+                token, owner, position = (np.concatenate(x) for x in got[o])
                 where = (token >> np.uint64(40)).astype(np.int64) % n_buckets
-                if len(often):
-                    at = np.searchsorted(often, token)
-                    at[at == len(often)] = 0
-                    where[often[at] == token] = -1
+                where[_place(often, token) >= 0] = -1
                 order = np.lexsort((token, where))
-                token, owner, where = token[order], owner[order].astype(np.int64), where[order]
+                token, owner, position, where = token[order], owner[order].astype(np.int64), position[order].astype(np.int64), where[order]
                 cuts = np.flatnonzero(np.diff(where)) + 1
-                for t, d, w in zip(np.split(token, cuts), np.split(owner, cuts), np.split(where, cuts)):
+                for t, d, q, w in zip(*(np.split(x, cuts) for x in (token, owner, position, where))):
                     if len(t):
-                        for x, v in zip(out, (o, int(w[0]), _squeeze(t), _squeeze(d))):
+                        for x, v in zip(out, (o, int(w[0]), _squeeze(t), _squeeze(d), _squeeze(q))):
                             out[x].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["o"], pa.int32()), pa.array(out["b"], pa.int32()), pa.array(out["tokens"], pa.binary()), pa.array(out["ids"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if len(x) == 1 else pa.binary()) for x, v in out.items()], names=list(out))
 
     return run
 
 
 def _unpack(batches):
     for b in batches:
-        for o, t, d in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            token, owner = _unsqueeze(t), _unsqueeze(d).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), o, np.int32)), signed(token), pa.array(owner)], names=["o", "t", "id"])
+        for o, t, d, q in zip(*(b.column(x).to_pylist() for x in (0, 2, 3, 4))):
+            token, owner, position = _unsqueeze(t), _unsqueeze(d).view(np.int64), _unsqueeze(q).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), o, np.int32)), signed(token), pa.array(owner), pa.array(position)], names=["o", "t", "id", "at"])
 
 
 def _postings(table: pa.Table) -> pa.Table:
-    """Distinct postings of one bucket with two ids or more: order, hash of the posting, ids."""
-    kind = pa.schema([("o", pa.int32()), ("t", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    """Postings of one bucket with two ids or more: order, hash of the posting, id, least position.
+
+    Tokens with equal postings become one, with the least of their positions: that lets more
+    pairs through the position filter, never fewer.
+    """
     token = np.concatenate([_unsqueeze(x) for x in table.column("tokens").to_pylist()])
-    owner = np.concatenate([_unsqueeze(x).view(np.int64) for x in table.column("ids").to_pylist()])
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
+    owner, position = (np.concatenate([_unsqueeze(x).view(np.int64) for x in table.column(c).to_pylist()]) for c in ("ids", "positions"))
+    order = np.lexsort((position, owner, token))
+    token, owner, position = token[order], owner[order], position[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    token, owner = token[new], owner[new]
+    token, owner, position = token[new], owner[new], position[new]
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     size = np.diff(np.append(start, len(token)))
     start, size = start[size > 1], size[size > 1]
-    if not len(start):
-        return kind.empty_table()
     h = range_hashes(mix(owner.view(np.uint64) ^ np.uint64(_ORDER[2])), start, size)
-    _, one = np.unique(h, return_index=True)
-    start, size, h = start[one], size[one], h[one]
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(owner[at]))
-    return pa.Table.from_arrays([pa.array(np.full(len(h), table.column("o")[0].as_py(), np.int32)), signed(h), lists], schema=kind)
+    h, owner, position = np.repeat(h, size), owner[at], position[at]
+    order = np.lexsort((position, owner, h))
+    h, owner, position = h[order], owner[order], position[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    o = np.full(int(new.sum()), table.column("o")[0].as_py(), np.int32)
+    return pa.Table.from_arrays([pa.array(o), signed(h[new]), pa.array(owner[new]), pa.array(position[new])], names=["o", "t", "id", "at"])
 
 
 def _verify(k: int, percent: int):
@@ -201,8 +237,9 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _size_ok(percent: int):
-    return (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+def _may_reach(percent: int):
+    """Whether the tokens from the shared one on can still make the similarity (sizes are checked with it)."""
+    return F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
 def near_groups(
@@ -223,35 +260,40 @@ def near_groups(
     if twice:  # rows repeated with one id: the least text stands for all
         texts = cut(texts.groupBy("_sl_id").agg(F.min("_sl_text").alias("_sl_text")))
 
-    heavy = texts.mapInArrow(_often(k), "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(HEAVY).toPandas()
-    often = heavy["t"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(often)
-    level = np.minimum(np.log2(np.maximum(heavy["c"].to_numpy(np.float64), 1)).astype(np.int64), 63)
-    held = spark.sparkContext.broadcast((often[order], level[order]))
+    counts = cut(texts.mapInArrow(_often(k), "kind int, t bigint, c bigint").groupBy("kind", "t").agg(F.sum("c").alias("c")))
 
-    packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(spark), held), "o int, b int, tokens binary, ids binary"), "uncompressed")
-    lists = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, "o int, t bigint, ids array<bigint>")
-    light = lists.dropDuplicates(["o", "t"]).select("o", "t", F.explode("ids").alias("id"))
-    rows = light.unionByName(packed.filter("b < 0").mapInArrow(_unpack, "o int, t bigint, id bigint"))
+    def most(kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        top = counts.filter(F.col("kind") == kind).orderBy(F.desc("c"), "t").limit(limit).toPandas()
+        value = top["t"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(value)
+        return value[order], np.log2(np.maximum(top["c"].to_numpy(np.float64)[order], 1))
+
+    (often, level), (known, frequency) = most(0, HEAVY), most(1, WORDS)
+    rare = np.round((frequency.max(initial=0) - frequency) * 4).astype(np.int64)
+    held = spark.sparkContext.broadcast((often, np.minimum(level, 63).astype(np.int64), known, rare))
+
+    packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(spark), held), "o int, b int, tokens binary, ids binary, positions binary"), "uncompressed")
+    light = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, "o int, t bigint, id bigint, at bigint").groupBy("o", "t", "id").agg(F.min("at").alias("at"))
+    rows = light.unionByName(packed.filter("b < 0").mapInArrow(_unpack, "o int, t bigint, id bigint, at bigint"))
     postings = cut(rows.join(reps, "id"))
 
     def stars(members: DataFrame) -> DataFrame:
         """Each member with the posting's smallest id of another component (under every order)."""
-        low = members.groupBy("o", "t").agg(F.min(F.struct("comp", "id", "n")).alias("h"), F.max("comp").alias("_sl_top")).filter("h.comp < _sl_top").drop("_sl_top")
+        low = members.groupBy("o", "t").agg(F.min(F.struct("comp", "id", "n", "at")).alias("h"), F.max("comp").alias("_sl_top")).filter("h.comp < _sl_top").drop("_sl_top")
         met = members.join(low, ["o", "t"]).filter(F.col("comp") != F.col("h.comp"))
-        pairs = met.select("o", F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.n").alias("nx"), F.col("n").alias("ny"))
+        pairs = met.select("o", F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.n").alias("nx"), F.col("n").alias("ny"), F.col("h.at").alias("px"), F.col("at").alias("py"))
         return _agreed(pairs)
 
     def crossed(members: DataFrame) -> DataFrame:
         """All pairs across components that share a posting (under every order)."""
         wide = members.groupBy("o", "t").agg(F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi")).filter("_sl_lo < _sl_hi").select("o", "t")
         left = members.join(wide, ["o", "t"])
-        right = left.select("o", "t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"))
-        pairs = left.select("o", "t", F.col("id").alias("a"), "comp", F.col("n").alias("nx")).join(right, ["o", "t"]).filter("comp < _sl_cb")
-        return _agreed(pairs.select("o", "a", "b", "nx", "ny"))
+        right = left.select("o", "t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"), F.col("at").alias("py"))
+        pairs = left.select("o", "t", F.col("id").alias("a"), "comp", F.col("n").alias("nx"), F.col("at").alias("px")).join(right, ["o", "t"]).filter("comp < _sl_cb")
+        return _agreed(pairs)
 
     def _agreed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(_size_ok(percent)).select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.filter(_may_reach(percent)).select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == orders).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
