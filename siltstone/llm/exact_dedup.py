@@ -19,7 +19,6 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ascii_lower, cut, text_bytes
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from frames import awkward, documents, empty, frame, prose, words
+from frames import awkward, empty, frame, prose, words
 from tokenizers import Tokenizer
 
 from siltstone.llm.packing import CachedWordBpe, pack
