@@ -274,8 +274,14 @@ def near_groups(
 
     packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(spark), held), "o int, b int, tokens binary, ids binary, positions binary"), "uncompressed")
     light = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, "o int, t bigint, id bigint, at bigint").groupBy("o", "t", "id").agg(F.min("at").alias("at"))
-    rows = light.unionByName(packed.filter("b < 0").mapInArrow(_unpack, "o int, t bigint, id bigint, at bigint"))
-    postings = cut(rows.join(reps, "id"))
+    # frequent tokens with equal postings become one as well, by a fingerprint that is a partial aggregate
+    often_rows = cut(packed.filter("b < 0").mapInArrow(_unpack, "o int, t bigint, id bigint, at bigint"))
+    alike = often_rows.groupBy("o", "t").agg(F.bit_xor(F.xxhash64("id")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    merged = often_rows.join(alike, ["o", "t"]).groupBy("o", "f", "id").agg(F.min("at").alias("at")).select("o", F.col("f").alias("t"), "id", "at")
+    postings = cut(light.unionByName(merged).join(reps, "id"))
+    # texts move once, by a merge join at every size: the ids are too many to broadcast in earnest
+    wanted = postings.select("id").distinct().hint("merge")
+    held_texts = cut(texts.join(wanted, texts["_sl_id"] == wanted["id"], "left_semi"))
 
     def stars(members: DataFrame) -> DataFrame:
         """Each member with the posting's smallest id of another component (under every order)."""
@@ -297,11 +303,9 @@ def near_groups(
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == orders).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        held_texts = cut(texts.join(need, texts["_sl_id"] == need["id"], "left_semi"))
         tx = held_texts.select(F.col("_sl_id").alias("a"), F.col("_sl_text").alias("tx"))
         ty = held_texts.select(F.col("_sl_id").alias("b"), F.col("_sl_text").alias("ty"))
-        return cut(pairs.join(tx, "a").join(ty, "b").select("a", "b", "tx", "ty").mapInArrow(_verify(k, percent), "a bigint, b bigint"))
+        return cut(pairs.hint("merge").join(tx, "a").join(ty.hint("merge"), "b").select("a", "b", "tx", "ty").mapInArrow(_verify(k, percent), "a bigint, b bigint"))
 
     n_reps = reps.count()
     members, links, tried = postings.withColumn("comp", F.col("id")), None, None
