@@ -50,3 +50,16 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, column: str, n: int, codec: str = "zstd") -> DataFrame:
+    """cut() into n buckets by a column: joins and groups by it in n partitions don't move the result's rows.
+
+    The table is in the catalog only until it is read; its files are scratch files.
+    """
+    spark, name = df.sparkSession, f"siltstone_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", codec).option("path", scratch_path(spark))
+    writer.bucketBy(n, column).saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return held

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from frames import awkward, documents, empty, frame, lower, prose, words
+from pyspark.sql import functions as F
 
+from siltstone.llm.common import mix, span_hashes
 from siltstone.llm.language_model import STRENGTH, score_documents, seat
 from siltstone.llm.toxicity import drop_toxic, toxicity
 
@@ -82,6 +84,22 @@ def test_language_model_figures(spark):
     assert score_documents(empty(spark)).count() == 0
 
 
+def test_each_context_has_its_restaurant(spark):
+    """Two contexts whose hashes begin with the same 16 bits, followed by different words."""
+    names = [f"c{i}" for i in range(3000)]
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    h = mix(span_hashes(data, np.append(0, ends[:-1]), ends)) >> np.uint64(48)
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(h[order][1:] == h[order][:-1])[0]
+    one, two = names[order[at]], names[order[at + 1]]
+    texts = [f"{one} left"] * 20 + [f"{two} right"] * 400
+    marks = F.col("doc_id") >= 400_000
+    rows = documents(spark, texts).unionByName(documents(spark, [f"{one} left", f"{one} right"], 400_000))
+    score = {x.doc_id: x.score for x in score_documents(rows, marks).collect()}
+    assert score[400_000] - score[400_001] > 1  # after `one`, "left" is at least 10 times as likely as "right"
+
+
 def test_seating_agrees_with_the_process():
     rng = np.random.default_rng(0)
     c, d, new = 40, 0.5, STRENGTH * 0.1
