@@ -7,11 +7,11 @@ by a fingerprint, the exclusive-or over the pages of a hash of page and count, w
 built by partial aggregation, so a host with a third of all pages is never gathered in one
 task. A class is valid if it is large (CLASS tokens) and frequent (SHARE of the host's
 pages, MIN_PAGES at least for text). Valid classes nest by the paths of their elements and
-make the host's template; what remains between its tokens are the slots. The main slot is
-the innermost element that every page has once and that holds nearly all the text
-which is not in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-or comments of readers, told by tag, class, id or role. Its blocks, less blocks of text that
-belong to the template itself, are the page's text.
+make the host's template; what remains between its tokens are the slots. A page's text is
+all of its slots but those in menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments of readers, told by tag, class, id or role. No slot is preferred
+to another: an element that must hold all own text of every page drops nothing, and one that
+holds less would lose titles, leads and closing lines.
 
 A host too small or too mixed for a template still has its pages read by the same rules
 from the whole body.
@@ -37,8 +37,6 @@ from .common import cut
 
 #: Least tokens of a class, least share of the host's pages, least pages before text is template.
 CLASS, SHARE, MIN_PAGES = 3, 0.9, 10
-#: Share of the pages' own text that the main slot holds.
-MAIN = 0.98
 
 # The names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,7 +87,7 @@ class Walk:
             self.buffer.clear()
             if text:
                 path, outside, _ = self.stack[-1][1:] if self.stack else ("", False, False)
-                self.block(path, text, outside, [s[1] for s in self.stack])
+                self.block(path, text, outside)
 
     def _open(self, name, attributes):
         if name in BLOCK:
@@ -141,66 +139,54 @@ def _hash(text: str) -> int:
 
 
 def _roles(batches):
-    """Per page: each token's role, count, path (of elements) and characters of own text below it."""
+    """Per page: each token's role, count and whether it is text."""
     for b in batches:
-        out = {x: [] for x in ("host", "role", "c", "path", "chars", "h")}
+        out = {x: [] for x in ("host", "role", "is_text", "h")}
         for host, page_hash, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            seen, chars, paths = Counter(), Counter(), {}
+            seen, texts = Counter(), set()
 
             def element(path, outside):
-                role = _hash(path)
-                seen[role] += 1
-                paths[role] = path
+                seen[_hash(path)] += 1
 
-            def block(path, text, outside, around):
-                seen[_hash(f"{path}\n{text}")] += 1
-                if not outside:
-                    for p in set(around):
-                        chars[_hash(p)] += len(text)
+            def block(path, text, outside):
+                role = _hash(f"{path}\n{text}")
+                seen[role] += 1
+                texts.add(role)
 
             Walk(page or "", element, block)
             for role, c in seen.items():
-                for k, v in zip(out, (host, role, c, paths.get(role), chars[role], _hash(f"{page_hash}:{c}"))):
+                for k, v in zip(out, (host, role, role in texts, _hash(f"{page_hash}:{c}"))):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["role"], pa.int64()), pa.array(out["c"], pa.int64()), pa.array(out["path"], pa.string()), pa.array(out["chars"], pa.int64()), pa.array(out["h"], pa.int64())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["role"], pa.int64()), pa.array(out["is_text"], pa.bool_()), pa.array(out["h"], pa.int64())], names=list(out))
 
 
 def _extract(batches):
     for b in batches:
         texts = []
-        for page, template, root in zip(b.column("_sl_html").to_pylist(), b.column("_sl_template").to_pylist(), b.column("_sl_main").to_pylist()):
-            fixed, blocks, everywhere = set(template or ()), [], []
-
-            def block(path, text, outside, around):
-                if outside or _hash(f"{path}\n{text}") in fixed:
-                    return
-                everywhere.append(text)
-                if root is None or root in around:
+        for page, template in zip(b.column("_sl_html").to_pylist(), b.column("_sl_template").to_pylist()):
+            fixed, blocks = set(template or ()), []
+
+            def block(path, text, outside):
+                if not outside and _hash(f"{path}\n{text}") not in fixed:
                     blocks.append(text)
 
             Walk(page or "", lambda *_: None, block)
-            texts.append("\n".join(blocks or everywhere))
-        names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template", "_sl_main")]
+            texts.append("\n".join(blocks))
+        names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template")]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", key_col: str = "page_id") -> DataFrame:
-    """One row per host with a template: _sl_host, _sl_template (roles of its text), _sl_main (path of its main slot)."""
+    """One row per host with a template: _sl_host, _sl_template (roles of its text)."""
     slim = pages.select(_host(url_col).alias("_sl_host"), F.xxhash64(key_col, url_col).alias("_sl_page"), F.col(html_col).alias("_sl_html"))
     per_host = slim.groupBy("_sl_host").agg(F.count(F.lit(1)).alias("_sl_pages"))
-    tokens = slim.mapInArrow(_roles, "host string, role bigint, c bigint, path string, chars bigint, h bigint")
-    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("c").alias("most"), F.max("path").alias("path"), F.sum("chars").alias("chars"))
+    tokens = slim.mapInArrow(_roles, "host string, role bigint, is_text boolean, h bigint")
+    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"))
     frequent = cut(stats.join(per_host, stats["host"] == per_host["_sl_host"]).filter(F.col("pages") >= F.col("_sl_pages") * SHARE).drop("host"))
     large = frequent.groupBy("_sl_host", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS).drop("n")
     valid = frequent.join(large, ["_sl_host", "vector"])
-    text_roles = F.collect_list(F.when(F.col("path").isNull() & (F.col("_sl_pages") >= MIN_PAGES), F.col("role")))
-    once = F.col("path").isNotNull() & (F.col("most") == 1) & (F.col("pages") == F.col("_sl_pages"))
-    depth = F.length(F.regexp_replace("path", "[^>]", ""))
-    # the innermost once-per-page element that has nearly as much own text as any
-    slots = valid.filter(once & (F.col("chars") > 0)).withColumn("depth", depth)
-    top = slots.groupBy("_sl_host").agg(F.max("chars").alias("_sl_top"))
-    main = slots.join(top, "_sl_host").filter(F.col("chars") >= F.col("_sl_top") * MAIN).groupBy("_sl_host").agg(F.max_by("path", F.struct("depth", "path")).alias("_sl_main"))
-    return valid.groupBy("_sl_host").agg(text_roles.alias("_sl_template")).join(main, "_sl_host", "left")
+    text_roles = F.collect_list(F.when(F.col("is_text") & (F.col("_sl_pages") >= MIN_PAGES), F.col("role")))
+    return valid.groupBy("_sl_host").agg(text_roles.alias("_sl_template"))
 
 
 def _host(url_col: str):
@@ -211,7 +197,7 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
     """One row per page: key, url, text, n_chars."""
     templates = deduce(pages, url_col, html_col, key_col)
     slim = pages.select(F.col(key_col).alias("_sl_key"), F.col(url_col).alias("_sl_url"), _host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
-    joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template", "_sl_main")
+    joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template")
     kind = pages.schema[key_col].dataType.simpleString()
     done = joined.mapInArrow(_extract, f"_sl_key {kind}, _sl_url string, text string")
     return done.select(F.col("_sl_key").alias(key_col), F.col("_sl_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))

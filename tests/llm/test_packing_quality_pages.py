@@ -99,3 +99,11 @@ def test_template_without_marks(spark):
     rows = [(i, f"http://c.example/{i}", page.format(i)) for i in range(12)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[i] == f"H{i}\nBody of page {i} is long enough to count" for i in range(12))
+
+
+def test_short_blocks_beside_the_body_stay(spark):
+    page = "<html><body><article><h1>T{0}</h1><div class=body><p>{1}</p></div><p>End {0}</p></article></body></html>"
+    long = " ".join(f"word{i}" for i in range(900))
+    rows = [(i, f"http://d.example/{i}", page.format(i, f"{i} {long if i else 'short'}")) for i in range(12)] + [(20, "http://alone.example", page.format(20, long))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"T{i}\n{i} {long if i else 'short'}\nEnd {i}" for i in range(12)} | {20: f"T20\n{long}\nEnd 20"}
