@@ -5,13 +5,15 @@ its blocks of text, each with the path around it. Tokens of one host with the sa
 occurrence vector (how often in which page) form an equivalence class; vectors are compared
 by a fingerprint, the exclusive-or over the pages of a hash of page and count, which is
 built by partial aggregation, so a host with a third of all pages is never gathered in one
-task. A class is valid if it is large (CLASS tokens) and frequent (SHARE of the host's
-pages, MIN_PAGES at least for text). Valid classes nest by the paths of their elements and
+task. Pages of a host with the same html count once, in vectors and page counts. A class is
+valid if it is large (CLASS tokens) and frequent (SHARE of the host's distinct pages,
+MIN_PAGES at least for text). Valid classes nest by the paths of their elements and
 make the host's template; what remains between its tokens are the slots. A page's text is
 all of its slots but those in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments of readers, told by tag, class, id or role. No slot is preferred
 to another: an element that must hold all own text of every page drops nothing, and one that
-holds less would lose titles, leads and closing lines.
+holds less would lose titles, leads and closing lines. A page whose own text is template
+throughout keeps it: template is removed beside other text only.
 
 A host too small or too mixed for a template still has its pages read by the same rules
 from the whole body.
@@ -139,10 +141,10 @@ def _hash(text: str) -> int:
 
 
 def _roles(batches):
-    """Per page: each token's role, count and whether it is text."""
+    """Per page: a hash of its html, and its tokens, each with role, count and whether it is text."""
     for b in batches:
-        out = {x: [] for x in ("host", "role", "is_text", "h")}
-        for host, page_hash, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        contents, tokens = [], []
+        for page in b.column(1).to_pylist():
             seen, texts = Counter(), set()
 
             def element(path, outside):
@@ -154,33 +156,38 @@ def _roles(batches):
                 texts.add(role)
 
             Walk(page or "", element, block)
-            for role, c in seen.items():
-                for k, v in zip(out, (host, role, role in texts, _hash(f"{page_hash}:{c}"))):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["role"], pa.int64()), pa.array(out["is_text"], pa.bool_()), pa.array(out["h"], pa.int64())], names=list(out))
+            contents.append(blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            tokens.append([{"role": role, "c": c, "is_text": role in texts} for role, c in seen.items()])
+        kind = pa.list_(pa.struct([("role", pa.int64()), ("c", pa.int64()), ("is_text", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(tokens, kind)], names=["host", "content", "tokens"])
 
 
 def _extract(batches):
     for b in batches:
         texts = []
         for page, template in zip(b.column("_sl_html").to_pylist(), b.column("_sl_template").to_pylist()):
-            fixed, blocks = set(template or ()), []
+            fixed, blocks, own = set(template or ()), [], []
 
             def block(path, text, outside):
-                if not outside and _hash(f"{path}\n{text}") not in fixed:
-                    blocks.append(text)
+                if not outside:
+                    own.append(text)
+                    if _hash(f"{path}\n{text}") not in fixed:
+                        blocks.append(text)
 
             Walk(page or "", lambda *_: None, block)
-            texts.append("\n".join(blocks))
+            texts.append("\n".join(blocks or own))
         names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template")]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
-def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", key_col: str = "page_id") -> DataFrame:
+def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per host with a template: _sl_host, _sl_template (roles of its text)."""
-    slim = pages.select(_host(url_col).alias("_sl_host"), F.xxhash64(key_col, url_col).alias("_sl_page"), F.col(html_col).alias("_sl_html"))
-    per_host = slim.groupBy("_sl_host").agg(F.count(F.lit(1)).alias("_sl_pages"))
-    tokens = slim.mapInArrow(_roles, "host string, role bigint, is_text boolean, h bigint")
+    slim = pages.select(_host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
+    read = slim.mapInArrow(_roles, "host string, content binary, tokens array<struct<role: bigint, c: bigint, is_text: boolean>>")
+    # tokens are packed, a row per page, until copies of a page are one
+    distinct = cut(read.groupBy("host", "content").agg(F.first("tokens").alias("tokens")))
+    per_host = distinct.groupBy(F.col("host").alias("_sl_host")).agg(F.count(F.lit(1)).alias("_sl_pages"))
+    tokens = distinct.select("host", "content", F.explode("tokens").alias("t")).select("host", "t.role", "t.is_text", F.xxhash64("content", "t.c").alias("h"))
     stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"))
     frequent = cut(stats.join(per_host, stats["host"] == per_host["_sl_host"]).filter(F.col("pages") >= F.col("_sl_pages") * SHARE).drop("host"))
     large = frequent.groupBy("_sl_host", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS).drop("n")
@@ -195,7 +202,7 @@ def _host(url_col: str):
 
 def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars."""
-    templates = deduce(pages, url_col, html_col, key_col)
+    templates = deduce(pages, url_col, html_col)
     slim = pages.select(F.col(key_col).alias("_sl_key"), F.col(url_col).alias("_sl_url"), _host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
     joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template")
     kind = pages.schema[key_col].dataType.simpleString()

@@ -107,3 +107,12 @@ def test_short_blocks_beside_the_body_stay(spark):
     rows = [(i, f"http://d.example/{i}", page.format(i, f"{i} {long if i else 'short'}")) for i in range(12)] + [(20, "http://alone.example", page.format(20, long))]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"T{i}\n{i} {long if i else 'short'}\nEnd {i}" for i in range(12)} | {20: f"T20\n{long}\nEnd 20"}
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<html><body><div><h1>Head {0}</h1><p>Body of {0}</p><p>End of {0}</p></div></body></html>"
+    rows = [(i, f"http://e.example/?ref={i}", page.format(0)) for i in range(20)] + [(20, "http://e.example/20", page.format(20))]
+    rows += [(100 + i, None, page.format(0)) for i in range(12)]
+    rows += [(200 + i, f"http://f.example/{i}", page.format(0) + "<!-- %d -->" % i) for i in range(12)]  # copies but for what isn't read
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Head {k}\nBody of {k}\nEnd of {k}" for i, _, _ in rows for k in [20 if i == 20 else 0]}
