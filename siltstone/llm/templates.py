@@ -47,20 +47,55 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 OUTSIDE = frozenset("head title nav footer aside form button select option textarea input label script style noscript template iframe object embed canvas svg menu dialog".split())
-#: Words of a class, id or role that mark what isn't the article.
-_MARK = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|widget|ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|respond|reply|replies|related|recommended|share|sharing|social|form|search|login|pagination|pager|toolbar|skip|contentinfo|complementary)(?:[\s_-]|$)",
-    re.I,
+#: Words of a class, id or role that mark what isn't the article: tops of pages, lists and readers' texts, all others.
+TOPS = frozenset("header masthead banner topbar".split())
+LISTS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+MARKS = (
+    frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget ad ads promo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social form search login pagination pager toolbar skip contentinfo complementary".split())
+    | TOPS
+    | LISTS
 )
+_STEMS = re.compile(r"(?:advert|sponsor|promo)\w*")
+#: Words that may stand beside a mark in one name: of any mark, and of all but TOPS (an article has a header of its own).
+BESIDE = frozenset("site global top bottom left right primary secondary mobile desktop container wrapper wrap inner outer bar".split())
+BESIDE_OTHERS = BESIDE | frozenset(
+    "page main post posts entry article articles story stories content section area block box panel list item items group row zone slot unit space link links icon icons button buttons btn title label text body thread count toggle dropdown".split()
+)
+#: Where no <article> or <main> tells, an element with more than this share of a page's text isn't outside by its name.
+MOST = 0.5
+
+
+def marked(value: str, article: bool) -> str:
+    """What a class, id or role says of an element: "" nothing, "list" readers' texts or lists, "other".
+
+    A name marks as a whole: each of its words is a mark, a number or may stand beside one;
+    so no-sidebar, has-sidebar, header-fixed, category-social and article-header don't.
+    In an article (article) names of TOPS don't mark.
+    """
+    kind = ""
+    for name in value.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w and not w.isdigit()]
+        marks = {w for w in words if w in MARKS or _STEMS.fullmatch(w)}
+        if not marks or (marks <= TOPS and article):
+            continue
+        if all(w in marks or w in (BESIDE if marks & TOPS else BESIDE_OTHERS) for w in words):
+            if not marks & LISTS:
+                return "other"
+            kind = "list"
+    return kind
+
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
 class Walk:
-    """One pass over a page: calls element(path) at each element and block(path, text, outside) at each block."""
+    """One pass over a page: calls element(path) at each element, then block(path, text, outside) for each block in order."""
 
     def __init__(self, page: str, element, block):
-        self.stack, self.buffer, self.element, self.block = [], [], element, block
+        self.stack, self.buffer, self.element = [], [], element
+        self.blocks, self.marks = [], []  # marks: kind, characters, holds <main>, number of <article>s
+        self.articles = self.mains = 0
         at, n = 0, len(page)
         for m in _TOKEN.finditer(page):
             if m.start() < at:  # inside a raw element
@@ -82,14 +117,29 @@ class Walk:
         if at < n:
             self.buffer.append(page[at:])
         self._flush()
+        size = sum(len(text) for _, text, outside, _ in self.blocks if not outside)
+        out = {i for i, x in enumerate(self.marks) if not self._holds_article(*x, size)}
+        for path, text, outside, marks in self.blocks:
+            block(path, text, outside or not out.isdisjoint(marks))
+
+    def _holds_article(self, kind, chars, main, articles, size) -> bool:
+        """Whether a marked element is around the page's article, so that its name means something else."""
+        if kind == "list":  # readers' texts can be longer than the article, and be <article>s themselves
+            return main or chars == size > 0
+        if self.articles or self.mains:  # however short the article is beside this element
+            return main or 0 < self.articles == articles
+        return chars > MOST * size
 
     def _flush(self):
         if self.buffer:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             self.buffer.clear()
             if text:
-                path, outside, _ = self.stack[-1][1:] if self.stack else ("", False, False)
-                self.block(path, text, outside)
+                path, outside, _, marks = self.stack[-1][1:] if self.stack else ("", False, False, ())
+                self.blocks.append((path, text, outside, marks))
+                if not outside:
+                    for i in marks:
+                        self.marks[i][1] += len(text)
 
     def _open(self, name, attributes):
         if name in BLOCK:
@@ -99,14 +149,24 @@ class Walk:
             self.buffer.append(" ")
         if name in VOID:
             return
-        marks = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        path, outside, article = self.stack[-1][1:] if self.stack else ("", False, False)
+        names = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        path, outside, article, marks = self.stack[-1][1:] if self.stack else ("", False, False, ())
         if not outside:
-            marked = bool(marks) and name not in ("html", "body", "article", "main") and any(_MARK.search(v) for v in marks.values())
-            outside = name in OUTSIDE or (name == "header" and not article) or marked
-        label = name + ("." + ".".join(sorted(marks["class"].split())) if "class" in marks else "")
+            if name in ("article", "main"):
+                self.articles += name == "article"
+                self.mains += name == "main"
+                for i in marks:
+                    self.marks[i][2] |= name == "main"
+                    self.marks[i][3] += name == "article"
+            elif names and name not in ("html", "body"):
+                kinds = {marked(v, article) for v in names.values()} - {""}
+                if kinds:
+                    marks = (*marks, len(self.marks))
+                    self.marks.append(["other" if "other" in kinds else "list", 0, False, 0])
+            outside = name in OUTSIDE or (name == "header" and not article)
+        label = name + ("." + ".".join(sorted(names["class"].split())) if "class" in names else "")
         path = f"{path}>{label}"
-        self.stack.append((name, path, outside, article or name in ("article", "main")))
+        self.stack.append((name, path, outside, article or name in ("article", "main"), marks))
         self.element(path, outside)
 
     def _imply(self, name):

@@ -116,3 +116,17 @@ def test_copies_of_a_page_count_once(spark):
     rows += [(200 + i, f"http://f.example/{i}", page.format(0) + "<!-- %d -->" % i) for i in range(12)]  # copies but for what isn't read
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"Head {k}\nBody of {k}\nEnd of {k}" for i, _, _ in rows for k in [20 if i == 20 else 0]}
+
+
+WRAPPERS = ["site no-sidebar", "content has-sidebar", "header-fixed", "category-social", "with-sidebar layout", "sidebar", "left-sidebar"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_of_wrappers_do_not_mark_the_article(spark, wrapper):
+    inside = "<article><div class='article-header'><h1>Title</h1></div><header class='header'><p>By me</p></header><p>Text of the article</p></article>"
+    outside = "<div class='sidebar-widget'><p>a</p></div><div id=comments><article class='comment-body'>c</article></div><div class='site-header'>d</div><div class='ad_slot-2'>e</div>"
+    html = f"<html><body><div class='{wrapper}'>{inside}{outside}</div></body></html>"
+    plain = html.replace("<article>", "<div>").replace("By me</p></header>", "</p></header>")
+    rows = spark.createDataFrame([(1, None, html), (2, "http://g.example", plain)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract(rows).collect()}
+    assert got == {1: "Title\nBy me\nText of the article", 2: "Title\nText of the article"}
