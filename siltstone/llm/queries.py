@@ -73,7 +73,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(_table(spark, sf_dir, "documents"))
+    return quality(_table(spark, sf_dir, "documents")).drop("text")
 
 
 def queries() -> dict:

@@ -78,6 +78,15 @@ def test_boilerplate_lines(spark):
     assert not any(got[i].kept for i in range(20, 30)) and all(got[100 + i].kept for i in range(40))
 
 
+def test_boilerplate_lines_are_removed_from_the_text(spark):
+    banner = "Accept all  of our many cookies"
+    texts = [f"own {i} first line\n\n {banner.upper()}\t\nown {i} é last  line\n{banner}" for i in range(30)] + ["just this\n", None, ""]
+    rows = [(i, t, "en", "s1", 0, 1, 2, "a", 3, "r", 4) for i, t in enumerate(texts)] + [(50, texts[0], "en", "s2", 0, 1, 2, "a", 3, "r", 4)]
+    got = {x.doc_id: x.text for x in quality(frame(spark, rows)).collect()}
+    assert all(got[i] == f"own {i} first line\n\nown {i} é last  line" for i in range(30))
+    assert (got[30], got[31], got[32], got[50]) == ("just this\n", None, "", texts[0])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no</p>";</script></head><body><div class="cookie-notice"><p>Accept</p></div><nav><ul><li><a href=/a>Menu{0}</a></ul></nav>
 <div id="page"><article><h1>Title &amp; {0}</h1><p>First   line<br>of <b>{0}</b> &lt;b&gt; &copy;<p>Second{0}<ul><li>a{0}<li>b{0}</ul><!-- <p>hidden</p> --><form><p>Name</p></form></article><div class="comments"><p>Nice {0}</p></div></div>
 <aside>side</aside><footer>&copy; me</footer></body></html>"""
