@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix of sources takes a document: none to three."""
+    """A row for each time that the mix of sources takes a document, none to three, in the order of its slots."""
     ship(spark)
     return mixed_documents(docs)
 

@@ -77,17 +77,14 @@ def _few(df: DataFrame, limit: int = 10_000) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def mix(
+def _mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
     passes: int = 3, seed: str = ":mix", block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, segments).
+    """(documents, segments, points) of mix(); segments also have _sl_pass.
 
-    documents: a row per input row with its id, size, source, source_size, target, _sl_row
-    (a key of the row), _sl_off (its place in its source's stream) and _sl_take (words of the
-    stream that the schedule takes, all passes together).
-    segments: the mix itself, in the order of slot: slot, source, rank, _sl_row, id, start (first
-    word in the document) and length.
+    points: the documents without words whose place is reached, once each: slot, _sl_pass,
+    _sl_row and _sl_off (place in the pass).
     """
     spark = docs.sparkSession
     sizes = cut(_stream(docs, id_col, text_col, source_col, seed))
@@ -133,9 +130,27 @@ def mix(
     start, stop = F.greatest("_sl_from", "_sl_off"), F.least("_sl_to", "_sl_end")
     met = left.join(right, (left["_sl_source"] == right["_sl_rank"]) & (left["_sl_bin"] == right["_sl_at"]))
     met = met.filter((start < stop) & (F.expr(f"greatest(_sl_from, _sl_off) div {BIN_WORDS}") == F.col("_sl_bin")))
-    segments = met.select("slot", "source", "rank", "_sl_row", F.col("_sl_id").alias(id_col), (start - F.col("_sl_off")).alias("start"), (stop - start).alias("length"))
+    segments = met.select("slot", "_sl_pass", "source", "rank", "_sl_row", F.col("_sl_id").alias(id_col), (start - F.col("_sl_off")).alias("start"), (stop - start).alias("length"))
+    empty = stream.filter("size = 0 and source_size > 0 and _sl_off < _sl_take")
+    empty = empty.select("_sl_row", F.col("_sl_rank").alias("_sl_in"), F.expr("_sl_off div source_size").alias("_sl_turn"), (F.col("_sl_off") % F.col("source_size")).alias("_sl_off"))
+    empty = empty.withColumn("_sl_at", F.expr(f"_sl_off div {BIN_WORDS}"))
+    held = left.join(empty, (left["_sl_source"] == empty["_sl_in"]) & (left["_sl_pass"] == empty["_sl_turn"]) & (left["_sl_bin"] == empty["_sl_at"]))
+    points = held.filter("_sl_from <= _sl_off and _sl_off < _sl_to").select("slot", "_sl_pass", "_sl_row", "_sl_off")
     documents = stream.withColumnRenamed("_sl_id", id_col)
-    return documents, segments
+    return documents, segments, points
+
+
+def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, segments).
+
+    documents: a row per input row with its id, size, source, source_size, target, _sl_row
+    (a key of the row), _sl_off (its place in its source's stream) and _sl_take (words of the
+    stream that the schedule takes, all passes together).
+    segments: the mix itself, in the order of slot: slot, source, rank, _sl_row, id, start (first
+    word in the document) and length.
+    """
+    documents, segments, _ = _mix(docs, **options)
+    return documents, segments.drop("_sl_pass")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -147,18 +162,30 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", passes: int = 3, **options) -> DataFrame:
-    """docs as the mix uses them: a row for each pass that begins the document (0 to `passes` of them).
+    """docs as the mix uses them, in the order of its slots: a row for each pass that begins the document (0 to `passes` of them).
 
+    A row stands where the slot stands that takes the document's first word in that pass.
     Whole texts are kept: the document at which a pass of its source ends stays whole. A
-    document without words stays if its place in the stream is reached.
+    document without words stays once if its place in the stream is reached; those of a
+    source without words, which has no slot, come last.
     """
-    documents, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, passes=passes, **options)
-    begun = reduce(lambda a, b: a + b, [(F.col("source_size") * i + F.col("_sl_off") < F.col("_sl_take")).cast("int") for i in range(passes)])
-    times = F.when(F.col("size") > 0, begun).otherwise(F.least(begun, F.lit(1)))
-    # rows repeated with one id are alike: their copies add up
-    wanted = documents.withColumn("_sl_times", F.when(F.col("source_size") > 0, times).otherwise(F.lit(1))).groupBy(F.col(id_col).alias("_sl_key")).agg(F.sum("_sl_times").alias("_sl_times"), F.count(F.lit(1)).alias("_sl_rows"))
-    met = docs.join(wanted, docs[id_col].eqNullSafe(wanted["_sl_key"]))
-    turn = F.row_number().over(Window.partitionBy("_sl_key").orderBy(F.lit(0)))
-    rows = met.withColumn("_sl_turn", F.when(F.col("_sl_rows") == 1, F.lit(1)).otherwise(turn))
-    share = F.expr("_sl_times div _sl_rows") + (F.col("_sl_turn") <= F.col("_sl_times") % F.col("_sl_rows")).cast("int")
-    return rows.withColumn("_sl_copy", F.explode(F.sequence(F.lit(0), share.cast("int")))).filter("_sl_copy > 0").select(*docs.columns)
+    documents, segments, points = _mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, passes=passes, **options)
+    key = ["_sl_key", "_sl_from", "_sl_size"]
+    rows = documents.select("_sl_row", F.col(id_col).alias("_sl_key"), F.col("source").alias("_sl_from"), F.col("size").alias("_sl_size"), F.col("_sl_off").alias("_sl_place"), "source_size")
+    begun = segments.filter("start = 0").select("slot", "_sl_pass", "_sl_row").unionByName(points.drop("_sl_off"))
+    used = rows.join(begun, "_sl_row").select(*key, F.col("slot").alias("_sl_slot"), "_sl_pass", "_sl_place")
+    last = rows.filter("source_size = 0").select(*key, F.lit(1 << 62).alias("_sl_slot"), F.lit(0).cast("bigint").alias("_sl_pass"), "_sl_place")
+    used = cut(used.unionByName(last))
+    kin = [F.col(id_col), F.col(source_col).cast("string"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")]
+    texts, turn = docs.select("*", *[c.alias(f"_sl_own{i}") for i, c in enumerate(kin)]), F.lit(True)
+    again = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_sl_rows")).filter("_sl_rows > 1"))
+    if again.limit(1).count():
+        # rows alike in id, source and size share their uses in turn
+        met = [used[k].eqNullSafe(again[k]) for k in key]
+        used = used.join(again, reduce(lambda a, b: a & b, met), "left").select(used["*"], F.coalesce("_sl_rows", F.lit(1)).alias("_sl_rows"))
+        at = F.row_number().over(Window.partitionBy(*key).orderBy("_sl_slot", "_sl_pass", "_sl_place"))
+        used = used.withColumn("_sl_turn", (at - 1) % F.col("_sl_rows") + 1)
+        texts = texts.withColumn("_sl_own", F.row_number().over(Window.partitionBy(*[f"_sl_own{i}" for i in range(3)]).orderBy(F.lit(0))))
+        turn = F.col("_sl_own") == F.col("_sl_turn")
+    same = [texts[f"_sl_own{i}"].eqNullSafe(used[k]) for i, k in enumerate(key)]
+    return texts.join(used, reduce(lambda a, b: a & b, same, turn)).orderBy("_sl_slot", "_sl_pass", "_sl_place").select(*docs.columns)

@@ -89,6 +89,22 @@ def test_segments_are_the_mix(spark):
         assert share[s] / total == pytest.approx(w / 8, abs=0.06)  # any prefix of the schedule is near the weights
 
 
+def test_mixed_documents_stand_in_slot_order(spark):
+    df = documents(spark, ["w " * (i % 60) for i in range(120)])
+    for rows in (df, df.union(df.filter("doc_id % 7 = 0"))):  # ids once, and some twice
+        _, segments = mix(rows, block_words=64)
+        slots = defaultdict(list)
+        for x in segments.filter("start = 0").orderBy("slot").collect():
+            slots[x.doc_id].append(x.slot)
+        out = [x.doc_id for x in mixed_documents(rows, block_words=64).collect()]
+        size = {x.doc_id: x.size for x in mixed_sizes(rows, block_words=64).collect()}
+        full = [d for d in out if size[d]]
+        assert sorted(full) == sorted(d for d, at in slots.items() for _ in at) and len(set(full)) < len(full)
+        assert {d for d, n in size.items() if not n} >= set(out) - set(full) != set()
+        place = [slots[d].pop(0) for d in full]
+        assert place == sorted(place)
+
+
 def test_mixed_documents(spark):
     df = documents(spark, [f"t{i} " * 100 for i in range(60)])
     out = mixed_documents(df)
