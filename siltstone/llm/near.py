@@ -6,27 +6,34 @@ one order of all tokens. Several orders are used: each puts tokens found to be f
 last (by their power of two), before them tokens of frequent words, which often coincide by
 chance, and settles ties by a hash of its own. A pair is a candidate if under every order
 it shares a prefix token with enough tokens from there on in both sets to reach the
-threshold (the position filter); the filters are intersected before a text is fetched, and
-candidates are verified exactly.
+threshold (the position filter); the filters are intersected before candidates' texts are
+joined, and candidates are verified exactly. Only documents that share a token under the
+first order are read for the others.
 
 Equal sets are one class from the start (the hash of a set is 128 bits). Among classes
 links are found in two steps, so that a group of many near copies doesn't make all its
-pairs: first every member of a posting is tried with the posting's smallest id; links found
-make components; then pairs that share postings across components, and only those, are
-tried. Pairs inside one component need no trial, for the answer is the component. While the
-pairs across components are many, more rounds of the first kind come before the exact one.
-Nothing is capped or sampled.
-
-Scale: prefix tokens travel as packed columns, about 5 bytes each, and tokens that no second
-document has are dropped in the first task that sees them all. Tokens that a task finds
-frequent go as rows, since their postings have no bound. Only frequent tokens and words, at
-most HEAVY and WORDS of them, are broadcast; they order tokens and nothing else, so results
-don't depend on them.
-
-Defined cases: null or wordless text has an empty set (n_shingles 0) and no links; fewer
+pairs: first every member of a posting is tried with the posting's centre, which is the
+member with the smallest share of tokens before its first shared one, so the member closest
+to what the group has in common; links found make components. While the pairs across
+components are many, more rounds follow whose centres are drawn by a hash. Then all pairs
+that share postings across components, and only those, are tried. Of such a pair the
+smaller set must have the token in the shorter prefix that two sets of its own size would
+need, which spares most pairs of a group whose members are alike but not alike enough.
+Pairs inside one component need no trial, for the answer is the component. Nothing is
+capped or sampled.
+
+Scale: prefix tokens travel as packed columns, about 8 bytes each, copies of one text
+once per batch, and tokens that no second document has are dropped in the first task that
+sees them all. Tokens that would make a posting of HOT_FINDS go as rows, since their
+postings have no bound. Only frequent tokens and words, at most HEAVY and WORDS of them,
+are broadcast; they order tokens and nothing else, so results don't depend on them. Texts of
+documents with candidates move once into buckets by id, where they are verified.
+
+Defined cases: null text or text without words has an empty set (n_shingles 0) and no links; fewer
 than 5 words make one shingle of the whole. A null id has no links and component_id null.
-Rows repeated with one id count as one document (the least text among them is compared). An
-empty table gives none.
+Rows repeated with one id are one document: each row keeps its own n_shingles, links of any
+of them are links of the id, and all get its component. Ids must be integers; any other type
+is refused with a TypeError before anything runs. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,13 +42,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.storage import cut_by, free
 
 from .common import ascii_lower, blocks, cut, mix, parts, range_hashes, signed, span_hashes, text_bytes, word_spans
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 2
-#: Most frequent tokens that are broadcast; finds in one task that make a token frequent there.
-HEAVY, OFTEN = 1 << 18, 4
+#: Most rounds of stars before the exact step.
+ROUNDS = 4
+#: Most frequent tokens that are broadcast; finds in one batch that make a token frequent there; finds in all from which postings go as rows.
+HEAVY, OFTEN, HOT_FINDS = 1 << 18, 4, 100_000
 #: Most frequent words that are broadcast, and those that one batch names.
 WORDS, BATCH_WORDS = 1 << 16, 20_000
 _ORDER = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -55,6 +67,16 @@ def _place(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
+def _sorted(doc: np.ndarray, n_docs: int, key: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order of the rows by (document, key, token): one sort of packed numbers, a full one only where they tie."""
+    bits = max(1, int(n_docs - 1).bit_length())
+    packed = (doc.astype(np.uint64) << np.uint64(64 - bits)) | (key >> np.uint64(bits))
+    order = np.argsort(packed)
+    p, t = packed[order], token[order]
+    tied = p[1:] == p[:-1]
+    return np.lexsort((token, key, doc)) if (t[1:][tied] != t[:-1][tied]).any() else order
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, rarity=None) -> tuple[np.ndarray, ...]:
     """(index of the first token of each value and one more, tokens ascending within a value), distinct.
 
@@ -69,7 +91,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, rarity=Non
     begin = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     size = np.minimum(n[doc], k)
     token = range_hashes(h, begin, size)
-    order = np.lexsort((token, doc))
+    order = _sorted(doc, len(n), token, token)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (token[order][1:] != token[order][:-1])
     order = order[new]
@@ -80,38 +102,40 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, rarity=Non
     return first, token[order], (sums[begin + size] - sums[begin])[order]
 
 
-def _sets(k: int):
-    def run(batches):
-        for b in batches:
-            data, off = text_bytes(b.column("_sl_text"))
-            n, p, q = (np.zeros(b.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            for i, j in blocks(off):
-                first, token = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                n[i:j] = np.diff(first)
-                for out, salt in ((p, _ORDER[0]), (q, _ORDER[1])):
-                    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(token ^ np.uint64(salt)), dtype=np.uint64)))
-                    out[i:j] = sums[first[1:]] - sums[first[:-1]]
-            yield pa.RecordBatch.from_pydict({"_sl_id": b.column("_sl_id"), "n": n, "p": signed(p), "q": signed(q)})
+_READ = "kind int, id bigint, n bigint, p bigint, q bigint, t bigint, c bigint"
 
-    return run
 
+def _read(k: int):
+    """Rows of three kinds: 0 size and hash of each document's set, 1 and 2 tokens and words that a batch finds often."""
+
+    def rows(kind, m, **columns):
+        names = ("id", "n", "p", "q", "t", "c")
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32))] + [columns.get(x, pa.nulls(m, pa.int64())) for x in names], names=["kind", *names])
 
-def _often(k: int):
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column("_sl_text"))
+            n, p, q = (np.zeros(b.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
             tokens, words = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for i, j in blocks(off):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                tokens.append(shingle_sets(part, at, k)[1])
+                first, token = shingle_sets(part, at, k)
+                n[i:j] = np.diff(first)
+                for out, salt in ((p, _ORDER[0]), (q, _ORDER[1])):
+                    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(token ^ np.uint64(salt)), dtype=np.uint64)))
+                    out[i:j] = sums[first[1:]] - sums[first[:-1]]
+                tokens.append(token)
                 low = ascii_lower(part)
                 words.append(span_hashes(low, *word_spans(low, at)[:2]))
-            for kind, values in enumerate((tokens, words)):
-                value, n = np.unique(np.concatenate(values), return_counts=True)
-                keep = np.flatnonzero(n >= OFTEN)
-                if kind and len(keep) > BATCH_WORDS:
-                    keep = keep[np.argsort(-n[keep], kind="stable")[:BATCH_WORDS]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), kind, np.int32)), signed(value[keep]), pa.array(n[keep].astype(np.int64))], names=["kind", "t", "c"])
+            yield rows(0, b.num_rows, id=b.column("_sl_id"), n=pa.array(n), p=signed(p), q=signed(q))
+            for kind, values in ((1, tokens), (2, words)):
+                values = np.sort(np.concatenate(values))
+                begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+                value, count = values[begin], np.diff(np.append(begin, len(values)))
+                keep = np.flatnonzero(count >= OFTEN)
+                if kind == 2 and len(keep) > BATCH_WORDS:
+                    keep = keep[np.argsort(-count[keep], kind="stable")[:BATCH_WORDS]]
+                yield rows(kind, len(keep), t=signed(value[keep]), c=pa.array(count[keep].astype(np.int64)))
 
     return run
 
@@ -130,20 +154,22 @@ def _unsqueeze(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _prefixes(k: int, percent: int, orders: int, n_buckets: int, heavy):
-    """Prefix tokens of all orders, as packed columns by (order, bucket); frequent ones in bucket -1."""
+def _prefixes(k: int, percent: int, orders: list[int], n_buckets: int, heavy):
+    """Prefix tokens under the given orders, as packed columns by (order, bucket); those of unbounded postings in bucket -1."""
 
     def run(batches):
-        often, level, known, rare = heavy.value
+        often, level, hot, known, rare = heavy.value
 
         def rarity(words):
             at = _place(known, words)
             return np.where(at >= 0, rare[at], rare.max(initial=0) + 8) if len(known) else np.zeros(len(words), np.int64)
 
         for b in batches:
-            data, off = text_bytes(b.column("_sl_text"))
-            ids = np.asarray(b.column("_sl_id"))
-            got = [([], [], []) for _ in range(orders)]
+            # of equal texts in a batch the smallest id stands for all: it is the one that may stand for its class
+            once = pa.Table.from_batches([b]).group_by("_sl_text").aggregate([("_sl_id", "min")]).combine_chunks()
+            data, off = text_bytes(once.column("_sl_text"))
+            ids = np.asarray(once.column("_sl_id_min"))
+            got = {o: ([], [], [], []) for o in orders}
             for i, j in blocks(off):
                 first, token, apart = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k, rarity)
                 n = np.diff(first)
@@ -152,22 +178,23 @@ def _prefixes(k: int, percent: int, orders: int, n_buckets: int, heavy):
                 at = _place(often, token)
                 rank = np.where(at >= 0, level[at], 0).astype(np.uint64) if len(often) else np.zeros(len(token), np.uint64)
                 rank = (rank << np.uint64(10)) | (1023 - np.minimum(apart, 1023)).astype(np.uint64)
-                for o in range(orders):
+                for o in orders:
                     key = (rank << np.uint64(48)) | (mix(token ^ np.uint64(_ORDER[o])) >> np.uint64(16))
-                    order = np.lexsort((key, doc))
+                    order = _sorted(doc, j - i, key, token)
                     position = np.arange(len(order)) - first[doc]
                     chosen = position < length[doc]
-                    got[o][0].append(token[order[chosen]])
-                    got[o][1].append(ids[i + doc[chosen]])
-                    got[o][2].append(position[chosen])
+                    chosen, position = order[chosen], position[chosen]
+                    for x, v in zip(got[o], (token[chosen], ids[i + doc[chosen]], position, (at[chosen] >= 0) & hot[at[chosen]] if len(often) else np.zeros(len(chosen), bool))):
+                        x.append(v)
             out = {x: [] for x in ("o", "b", "tokens", "ids", "positions")}
-            for o in range(orders):
+            for o in orders:
                 if not got[o][0]:
                     continue
-                token, owner, position = (np.concatenate(x) for x in got[o])
+                token, owner, position, rows = (np.concatenate(x) for x in got[o])
                 where = (token >> np.uint64(40)).astype(np.int64) % n_buckets
-                where[_place(often, token) >= 0] = -1
-                order = np.lexsort((token, where))
+                where[rows] = -1
+                order = np.argsort(token)
+                order = order[np.argsort(where[order].astype(np.int16 if n_buckets < 1 << 15 else np.int64), kind="stable")]
                 token, owner, position, where = token[order], owner[order].astype(np.int64), position[order].astype(np.int64), where[order]
                 cuts = np.flatnonzero(np.diff(where)) + 1
                 for t, d, q, w in zip(*(np.split(x, cuts) for x in (token, owner, position, where))):
@@ -242,96 +269,149 @@ def _may_reach(percent: int):
     return F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, many: int = 20
-) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
-
-    many: pairs per document across components above which another round of stars comes first.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("bigint").alias("_sl_id"), F.col(text_col).cast("string").alias("_sl_text"))
-    sets = cut(slim.mapInArrow(_sets(k), "_sl_id bigint, n bigint, p bigint, q bigint"))
-    full = sets.filter("n > 0 and _sl_id is not null")
-    classes = full.groupBy("n", "p", "q").agg(F.min("_sl_id").alias("rep"))
-    reps = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")))
-    twice = full.groupBy("_sl_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0
+def _shared(texts: DataFrame, reps: DataFrame, orders: list[int], k: int, percent: int, held, hot: bool) -> DataFrame:
+    """Postings with two classes or more under the orders: o, t, id, at, n."""
+    packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(texts.sparkSession), held), "o int, b int, tokens binary, ids binary, positions binary"), "uncompressed")
+    rows = "o int, t bigint, id bigint, at bigint"
+    postings = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, rows)
+    if hot:
+        # unbounded postings: those that are equal become one as well, by a fingerprint that is a partial aggregate
+        loose = cut(packed.filter("b < 0").mapInArrow(_unpack, rows))
+        alike = loose.groupBy("o", "t").agg(F.bit_xor(F.xxhash64("id")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        postings = postings.unionByName(loose.join(alike, ["o", "t"]).select("o", F.col("f").alias("t"), "id", "at"))
+    postings = cut(postings.groupBy("o", "t", "id").agg(F.min("at").alias("at")).join(reps.hint("merge"), "id"))
+    free(packed, *([loose] if hot else []))
+    wide = postings.groupBy("o", "t").agg(F.min("id").alias("_sl_lo"), F.max("id").alias("_sl_hi")).filter("_sl_lo < _sl_hi").select("o", "t")
+    shared = cut(postings.join(wide.hint("merge"), ["o", "t"]))
+    free(postings)
+    return shared
+
+
+def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int, percent: int, orders: int, many: int, hot_finds: int) -> DataFrame:
+    """(id, component) of the ids in sets that have a link; ids aren't repeated."""
+    spark = slim.sparkSession
+    full = sets.filter("n > 0 and id is not null")
+    classes = cut(full.groupBy("n", "p", "q").agg(F.min("id").alias("rep")))
+    reps = classes.select(F.col("rep").alias("id"), "n")
     texts = slim.filter("_sl_id is not null")
-    if twice:  # rows repeated with one id: the least text stands for all
-        texts = cut(texts.groupBy("_sl_id").agg(F.min("_sl_text").alias("_sl_text")))
-
-    counts = cut(texts.mapInArrow(_often(k), "kind int, t bigint, c bigint").groupBy("kind", "t").agg(F.sum("c").alias("c")))
 
     def most(kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
         top = counts.filter(F.col("kind") == kind).orderBy(F.desc("c"), "t").limit(limit).toPandas()
         value = top["t"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(value)
-        return value[order], np.log2(np.maximum(top["c"].to_numpy(np.float64)[order], 1))
+        return value[order], top["c"].to_numpy(np.float64)[order]
 
-    (often, level), (known, frequency) = most(0, HEAVY), most(1, WORDS)
+    (often, finds), (known, frequency) = most(1, HEAVY), most(2, WORDS)
+    frequency = np.log2(np.maximum(frequency, 1))
     rare = np.round((frequency.max(initial=0) - frequency) * 4).astype(np.int64)
-    held = spark.sparkContext.broadcast((often, np.minimum(level, 63).astype(np.int64), known, rare))
-
-    packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(spark), held), "o int, b int, tokens binary, ids binary, positions binary"), "uncompressed")
-    light = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, "o int, t bigint, id bigint, at bigint").groupBy("o", "t", "id").agg(F.min("at").alias("at"))
-    # frequent tokens with equal postings become one as well, by a fingerprint that is a partial aggregate
-    often_rows = cut(packed.filter("b < 0").mapInArrow(_unpack, "o int, t bigint, id bigint, at bigint"))
-    alike = often_rows.groupBy("o", "t").agg(F.bit_xor(F.xxhash64("id")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    merged = often_rows.join(alike, ["o", "t"]).groupBy("o", "f", "id").agg(F.min("at").alias("at")).select("o", F.col("f").alias("t"), "id", "at")
-    postings = cut(light.unionByName(merged).join(reps, "id"))
+    hot = finds >= hot_finds
+    held = spark.sparkContext.broadcast((often, np.minimum(np.log2(np.maximum(finds, 1)), 63).astype(np.int64), hot, known, rare))
+
+    first = _shared(texts, reps, [0], k, percent, held, bool(hot.any()))
+    # a document's place among its likes: the share of its tokens before the first that another has
+    wanted = cut(first.groupBy("id").agg(F.min(F.expr("at * 1000 div n")).alias("s")))
     # texts move once, by a merge join at every size: the ids are too many to broadcast in earnest
-    wanted = postings.select("id").distinct().hint("merge")
-    held_texts = cut(texts.join(wanted, texts["_sl_id"] == wanted["id"], "left_semi"))
+    held_texts = cut_by(texts.join(wanted.hint("merge"), texts["_sl_id"] == wanted["id"], "left_semi"), "_sl_id", parts(spark))
+    postings = first
+    if orders > 1:
+        postings = first.unionByName(_shared(held_texts, reps, list(range(1, orders)), k, percent, held, bool(hot.any())))
+    postings = cut(postings.join(wanted.hint("merge"), "id"))
+    free(first)
+
+    def _agreed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == orders).select("a", "b")
 
-    def stars(members: DataFrame) -> DataFrame:
-        """Each member with the posting's smallest id of another component (under every order)."""
-        low = members.groupBy("o", "t").agg(F.min(F.struct("comp", "id", "n", "at")).alias("h"), F.max("comp").alias("_sl_top")).filter("h.comp < _sl_top").drop("_sl_top")
-        met = members.join(low, ["o", "t"]).filter(F.col("comp") != F.col("h.comp"))
-        pairs = met.select("o", F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.n").alias("nx"), F.col("n").alias("ny"), F.col("h.at").alias("px"), F.col("at").alias("py"))
-        return _agreed(pairs)
+    def stars(members: DataFrame, turn: int) -> DataFrame:
+        """Each member with the posting's centre, where that is of another component (under every order)."""
+        rank = [F.col("s")] if turn == 0 else [F.xxhash64("comp", F.lit(turn)), F.col("s")]
+        centre = F.struct(*[x.alias(f"r{i}") for i, x in enumerate(rank)], "id", "comp", "n", "at")
+        low = members.groupBy("o", "t").agg(F.min(centre).alias("h"), F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi")).filter("_sl_lo < _sl_hi")
+        low = low.select("o", "t", F.col("h.id").alias("a"), F.col("h.comp").alias("_sl_ca"), F.col("h.n").alias("nx"), F.col("h.at").alias("px"))
+        other = members.select("o", "t", F.col("id").alias("b"), "comp", F.col("n").alias("ny"), F.col("at").alias("py"))
+        return _agreed(other.join(low.hint("merge"), ["o", "t"]).filter((F.col("comp") != F.col("_sl_ca")) & _may_reach(percent)))
 
     def crossed(members: DataFrame) -> DataFrame:
         """All pairs across components that share a posting (under every order)."""
         wide = members.groupBy("o", "t").agg(F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi")).filter("_sl_lo < _sl_hi").select("o", "t")
-        left = members.join(wide, ["o", "t"])
-        right = left.select("o", "t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"), F.col("at").alias("py"))
-        pairs = left.select("o", "t", F.col("id").alias("a"), "comp", F.col("n").alias("nx"), F.col("at").alias("px")).join(right, ["o", "t"]).filter("comp < _sl_cb")
-        return _agreed(pairs)
-
-    def _agreed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(_may_reach(percent)).select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == orders).select("a", "b")
+        members = members.join(wide.hint("merge"), ["o", "t"])
+        # the smaller set has the token in its shorter prefix
+        small = members.filter((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * (2 * percent))
+        small = small.select("o", "t", F.col("id").alias("a"), "comp", F.col("n").alias("nx"), F.col("at").alias("px"))
+        large = members.select("o", "t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"), F.col("at").alias("py"))
+        return _agreed(small.join(large.hint("merge"), ["o", "t"]).filter(F.expr("comp <> _sl_cb and (nx < ny or nx = ny and a < b)") & _may_reach(percent)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         tx = held_texts.select(F.col("_sl_id").alias("a"), F.col("_sl_text").alias("tx"))
         ty = held_texts.select(F.col("_sl_id").alias("b"), F.col("_sl_text").alias("ty"))
-        return cut(pairs.hint("merge").join(tx, "a").join(ty.hint("merge"), "b").select("a", "b", "tx", "ty").mapInArrow(_verify(k, percent), "a bigint, b bigint"))
+        return cut(pairs.join(tx.hint("merge"), "a").join(ty.hint("merge"), "b").select("a", "b", "tx", "ty").mapInArrow(_verify(k, percent), "a bigint, b bigint"))
 
     n_reps = reps.count()
-    members, links, tried = postings.withColumn("comp", F.col("id")), None, None
-    for _ in range(6):
-        counts = members.groupBy("o", "t", "comp").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("o", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        across = counts.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("x")).first()["x"] or 0.0
-        if links is not None and across <= many * n_reps:
-            break
-        pairs = stars(members)
+    members, links, tried, turn = postings.withColumn("comp", F.col("id")), None, None, 0
+    while True:
+        pairs = stars(members, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(pairs)
-        before, links = links, found if links is None else cut(links.unionByName(found))
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
-        groups = components(links)
-        members = cut(postings.join(groups, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
-        if before is not None and found.limit(1).count() == 0:
-            break  # stars find no more: the exact step is next
-    rest = crossed(members).join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        groups, turn = components(links), turn + 1
+        named = postings.join(groups.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        if turn > 1:
+            free(members)
+        members = cut(named)
+        alike = members.groupBy("o", "t", "comp").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("o", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        across = alike.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("x")).first()["x"] or 0.0
+        if across <= many * n_reps or turn == ROUNDS:
+            break
+    rest = cut(crossed(members).join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.unionByName(verified(rest))
-    groups = components(links)
-    # a row follows its class, a class its component; an id with rows in several classes joins them
-    named = classes.join(groups, classes["rep"] == groups["id"], "left").select("n", "p", "q", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(named, ["n", "p", "q"], "left")
-    return out.select(F.col("_sl_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_sl_id").isNotNull(), F.coalesce("component_id", "_sl_id")).alias("component_id"))
+        groups = components(links)
+    free(members, rest, held_texts, postings, wanted)
+    # a row follows its class, a class its component
+    found = classes.join(groups, classes["rep"] == groups["id"], "left").select("n", "p", "q", F.coalesce("component", "rep").alias("component"))
+    out = cut(full.join(found, ["n", "p", "q"]).select("id", "component"))
+    free(classes)
+    return out
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, many: int = 20, hot_finds: int = HOT_FINDS
+) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id.
+
+    many: pairs per document across components above which another round of stars comes
+    first. hot_finds: finds from which a token's postings go as rows.
+    """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"near_groups: {id_col} must be an integer column, not {kind.simpleString()}")
+    slim = docs.select(F.col(id_col).cast("bigint").alias("_sl_id"), F.col(text_col).cast("string").alias("_sl_text"))
+    read = cut(slim.mapInArrow(_read(k), _READ))
+    sets = read.filter("kind = 0").select("id", "n", "p", "q")
+    twice = sets.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0
+    rows = None
+    if twice:  # each row gets a number of its own, and rows of one id are linked
+        rows = cut(slim.withColumn("_sl_row", F.when(F.col("_sl_id").isNotNull(), F.monotonically_increasing_id())))
+        free(read)
+        slim = rows.select(F.col("_sl_row").alias("_sl_id"), "_sl_text")
+        read = cut(slim.mapInArrow(_read(k), _READ))
+        sets = read.filter("kind = 0").select("id", "n", "p", "q")
+    counts = cut(read.filter("kind > 0").groupBy("kind", "t").agg(F.sum("c").alias("c")))
+    groups = _unique_groups(slim, sets, counts, k, percent, orders, many, hot_finds)
+    found = cut(sets.join(groups.hint("merge"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
+    free(read, counts, groups)
+    if twice:
+        own = rows.select(F.col("_sl_row").alias("id"), "_sl_id")
+        real = found.join(own, "id", "right").withColumn("n", F.coalesce("n", F.lit(0)))
+        nulls = found.filter("id is null").select(F.lit(None).cast("bigint").alias("_sl_id"), "n", F.lit(None).cast("bigint").alias("component"))
+        real = real.filter("_sl_id is not null")
+        links = real.groupBy("_sl_id").agg(F.min("component").alias("b"), F.collect_set("component").alias("all")).select(F.explode("all").alias("a"), "b")
+        joined = components(links)
+        real = cut(real.join(joined.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("_sl_id", "n", F.coalesce("root", "component").alias("root")))
+        least = real.groupBy("root").agg(F.min("_sl_id").alias("component"))
+        found = real.join(least, "root").select(F.col("_sl_id").alias("id"), "n", "component").unionByName(nulls.withColumnRenamed("_sl_id", "id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
