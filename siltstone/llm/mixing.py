@@ -2,9 +2,11 @@
 
 Method: slot i of the schedule takes the golden-ratio point frac((i + 1) * 0.618...), which
 is mapped through the cumulative target shares to a source. The slots of a source are
-ranked; rank r gets the r-th equal-token block of the source's shuffled stream of
-documents, which starts again when it is used up. A target is at most `passes` times its
-source, so no word is taken more often than that, whatever the schedule does.
+ranked; rank r gets the r-th block of BLOCK_WORDS words of the source's shuffled stream of
+documents, which starts again when it is used up. So the words that a source gives are its
+slots times a block: the low discrepancy of the points brings them within a few blocks of
+the target. After `passes` times its source the stream ends, so no word is taken more often
+than that, whatever the schedule does.
 
 Targets: source weights cycle through `weights` over the sources in code point order (null
 last) and share the total of all sizes. A source whose share is above `passes` times its
@@ -23,16 +25,34 @@ each count. Reruns agree: the shuffle is by MD5 of the id and the seed.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.storage import free
+
 from .common import WORD, cut, prefix_sums
 
 GOLDEN = 0.6180339887498949
 #: Words of a slot, cells of the unit interval, words of a bin of the stream.
-BLOCK_WORDS, CELLS, BIN_WORDS = 1024, 1024, 8192
+BLOCK_WORDS, CELLS, BIN_WORDS = 128, 1024, 1024
+#: Points are made from the upper and lower part of the slot's number, so that they stay exact at any number of slots.
+LOW_BITS = 20
+
+
+def high_step(step: float) -> float:
+    """frac(step * 2**LOW_BITS), exactly rounded."""
+    return float(Fraction(step) * (1 << LOW_BITS) % 1)
+
+
+def point(number, step: float):
+    """frac(number * step) of a bigint column."""
+    high = F.shiftright(number, LOW_BITS).cast("double") * high_step(step)
+    low = number.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("double") * step
+    both = (high - F.floor(high)) + (low - F.floor(low))
+    return both - F.floor(both)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = 3) -> DataFrame:
@@ -79,47 +99,48 @@ def _few(df: DataFrame, limit: int = 10_000) -> bool:
 
 def _mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
-    passes: int = 3, seed: str = ":mix", block_words: int = BLOCK_WORDS,
-) -> tuple[DataFrame, DataFrame]:
+    passes: int = 3, seed: str = ":mix", block_words: int = BLOCK_WORDS, step: float = GOLDEN,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, segments, points) of mix(); segments also have _sl_pass.
 
-    points: the documents without words whose place is reached, once each: slot, _sl_pass,
-    _sl_row and _sl_off (place in the pass).
+    step: the distance of the schedule's points. points: the documents without words whose
+    place is reached, once each: slot, _sl_pass, _sl_row and _sl_off (place in the pass).
     """
     spark = docs.sparkSession
     sizes = cut(_stream(docs, id_col, text_col, source_col, seed))
-    src = cut(source_targets(sizes, weights, passes).withColumn("_sl_take", F.floor(F.col("target") + 0.5).cast("bigint")))
+    src = cut(source_targets(sizes, weights, passes))
     few = _few(src)
-    held = F.broadcast(src) if few else src
-    ranked = sizes.join(held, sizes["source"].eqNullSafe(src["source"])).select(sizes["*"], "_sl_rank", "source_size", "target", "_sl_take")
-    stream = _within(prefix_sums(ranked, ["_sl_rank", "_sl_h", "_sl_id", "size"], "size", "_sl_off", "_sl_row"), "size", "_sl_off")
-    stream = cut(stream)
 
     # slots -> sources, by cells of the unit interval
     total = src.agg(F.sum("target").alias("t")).first()["t"] or 0.0
-    n_slots = max(1, -(-int(total) // block_words)) if total else 0
+    n_slots = -(-int(total + 0.5) // block_words)
     order = Window.partitionBy(F.lit(0)).orderBy("_sl_rank")
-    live = src.filter("target > 0").select("_sl_rank", "target", "_sl_take", "source_size")
+    live = src.filter("target > 0").select("_sl_rank", "target", "source_size")
     upto = F.sum("target").over(order) / F.lit(total or 1.0)
     live = live.withColumn("_sl_hi", upto).withColumn("_sl_lo", F.coalesce(F.lag("_sl_hi").over(order), F.lit(0.0)))
     live = live.withColumn("_sl_hi", F.when(F.lead("_sl_hi").over(order).isNull(), F.lit(2.0)).otherwise(F.col("_sl_hi")))
     live = cut(live)
     cells = live.withColumn("_sl_cell", F.explode(F.sequence(F.floor(F.col("_sl_lo") * CELLS), F.least(F.floor(F.col("_sl_hi") * CELLS), F.lit(CELLS - 1)))))
-    point = (F.col("id") + 1) * GOLDEN
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_sl_u"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point(F.col("id") + 1, step).alias("_sl_u"))
     slots = slots.withColumn("_sl_cell", F.least(F.floor(F.col("_sl_u") * CELLS), F.lit(CELLS - 1)))
-    placed = slots.join(cells, "_sl_cell").filter("_sl_u >= _sl_lo and _sl_u < _sl_hi").select("slot", "_sl_rank").withColumn("_sl_one", F.lit(1).cast("bigint"))
+    placed = slots.join(F.broadcast(cells) if few else cells, "_sl_cell").filter("_sl_u >= _sl_lo and _sl_u < _sl_hi").select("slot", "_sl_rank").withColumn("_sl_one", F.lit(1).cast("bigint"))
     placed = cut(_within(prefix_sums(placed, ["_sl_rank", "slot"], "_sl_one", "rank", "_sl_slot_row"), "_sl_one", "rank").select("slot", "_sl_rank", "rank"))
     used = placed.groupBy("_sl_rank").agg(F.count(F.lit(1)).alias("_sl_slots"))
     missed = live.join(used, "_sl_rank", "left_anti").select((F.lit(n_slots) + F.col("_sl_rank")).cast("bigint").alias("slot"), "_sl_rank", F.lit(0).cast("bigint").alias("rank"))
-    per = live.join(used, "_sl_rank", "left").select("_sl_rank", "_sl_take", "source_size", F.coalesce("_sl_slots", F.lit(1)).alias("_sl_slots"))
-    if few:
-        per = F.broadcast(per)
+    # what a source gives: a block for each of its slots, as far as its passes go
+    given = F.when(F.col("_sl_slots").isNull(), F.least(F.lit(block_words), F.floor(F.col("target") + 0.5))).otherwise(F.col("_sl_slots") * block_words)
+    taken = live.join(used, "_sl_rank", "left").select("_sl_rank", F.least(given, F.col("source_size") * passes).cast("bigint").alias("_sl_take"))
+    src = cut(src.join(taken, "_sl_rank", "left").withColumn("_sl_take", F.coalesce("_sl_take", F.lit(0).cast("bigint"))))
+    held = F.broadcast(src) if few else src
+
+    ranked = sizes.join(held, sizes["source"].eqNullSafe(src["source"])).select(sizes["*"], "_sl_rank", "source_size", "target", "_sl_take")
+    stream = _within(prefix_sums(ranked, ["_sl_rank", "_sl_h", "_sl_id", "size"], "size", "_sl_off", "_sl_row"), "size", "_sl_off")
+    stream = cut(stream)
+    free(sizes)
 
     # rank -> block of the endless stream -> places in its passes, by bins of the stream
-    step = F.col("_sl_take") / F.col("_sl_slots")
-    sliced = placed.unionByName(missed).join(per, "_sl_rank")
-    sliced = sliced.withColumn("_sl_a", F.floor(F.col("rank") * step)).withColumn("_sl_b", F.when(F.col("rank") + 1 == F.col("_sl_slots"), F.col("_sl_take")).otherwise(F.floor((F.col("rank") + 1) * step)))
+    sliced = placed.unionByName(missed).join(held.select("_sl_rank", "_sl_take", "source_size"), "_sl_rank")
+    sliced = sliced.withColumn("_sl_a", F.col("rank") * block_words).withColumn("_sl_b", F.least((F.col("rank") + 1) * block_words, F.col("_sl_take")))
     sliced = sliced.filter("_sl_b > _sl_a and source_size > 0").withColumn("_sl_pass", F.explode(F.expr("sequence(_sl_a div source_size, (_sl_b - 1) div source_size)")))
     here = F.col("_sl_pass") * F.col("source_size")
     sliced = sliced.withColumn("_sl_from", F.greatest(F.col("_sl_a") - here, F.lit(0))).withColumn("_sl_to", F.least(F.col("_sl_b") - here, F.col("source_size")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import BLOCK_WORDS, GOLDEN, LOW_BITS, high_step
+
 #: Production parameters of the queries.
 SEQUENCE, OLD_SHARDS, NEW_SHARDS = 4096, 16, 24
 
@@ -82,7 +84,7 @@ def queries() -> dict:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
          md5(cast(doc_id as varchar) || ':mix') as h
@@ -94,7 +96,14 @@ s3 as (select *, cast(sum(source_size) over () - coalesce(sum(3 * source_size) o
               / cast(sum(weight) over (order by source_size / weight, rk rows between current row and unbounded following) as double) as lv from s2),
 s4 as (select *, (select lv from s3 where 3 * source_size > lv * weight order by source_size / weight, rk limit 1) as cut from s3),
 s5 as (select *, coalesce(least(cast(3 * source_size as double), cut * weight), cast(3 * source_size as double)) as target from s4),
-s6 as (select *, cast(floor(target + 0.5) as bigint) as take from s5),
+tot as (select sum(target) as t from s5),
+iv as (select rk, sum(target) over (order by rk) / (select t from tot) as hi from s5 where target > 0),
+iw as (select rk, coalesce(lag(hi) over (order by rk), 0) as lo, case when lead(hi) over (order by rk) is null then 2 else hi end as hi from iv),
+i as (select unnest(range(1, cast(ceil(floor(t + 0.5) / {BLOCK_WORDS}) as bigint) + 1)) as j from tot),
+ab as (select (j >> {LOW_BITS}) * cast({high_step(GOLDEN)!r} as double) as a, (j & {(1 << LOW_BITS) - 1}) * cast({GOLDEN!r} as double) as b from i),
+x as (select a - floor(a) + b - floor(b) as x from ab),
+n as (select rk, count(*) as n from (select x - floor(x) as u from x) join iw on u >= lo and u < hi group by rk),
+s6 as (select s5.*, cast(least(case when target <= 0 then 0 when n is null then least({BLOCK_WORDS}, floor(target + 0.5)) else n * {BLOCK_WORDS} end, 3 * source_size) as bigint) as take from s5 left join n using (rk)),
 o as (select d.*, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as off from d)
 select o.doc_id, o.size, s6.source_size, s6.target,
        cast(least(greatest(take - off, 0), size) + least(greatest(take - source_size - off, 0), size) + least(greatest(take - 2 * source_size - off, 0), size) as bigint) as taken
