@@ -3,8 +3,10 @@
 Method: every text gets the MD5 hash of its normalised bytes. Rows are grouped by that hash
 *and* by the bytes themselves, so the grouping compares bytes and a collision splits into
 its true texts; partial aggregation leaves one row per text and task before the shuffle,
-so a text with a third of all rows is not a hot key. Only hashes and counts are joined
-back. Where two texts share one hash, the join uses the bytes too.
+so a text with a third of all rows is not a hot key of the grouping. exact_groups joins
+hashes and counts back to the rows, by MD5 and SHA-256 (adaptive execution splits a hot text
+there: it meets one row). drop_exact_copies needs no join: the grouping carries the row that
+stays, so texts move once.
 
 Defined cases: null text equals empty text (and equals other empty texts). A null id is
 smaller than any other; a group of only null ids has keep_id null and one row of it stays.
@@ -19,6 +21,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ascii_lower, cut, text_bytes
 
@@ -48,27 +51,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = slim.schema["_sl_id"].dataType.simpleString()
     best = F.min if keep == "min" else F.max
     texts = slim.mapInArrow(_digests(True, lower), f"_sl_id {id_type}, _sl_h binary, _sl_norm binary")
-    classes = cut(texts.groupBy("_sl_h", "_sl_norm").agg(best("_sl_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.count(F.col("_sl_id")).alias("_sl_ids")))
+    classes = texts.groupBy("_sl_h", "_sl_norm").agg(best("_sl_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.count(F.col("_sl_id")).alias("_sl_ids"))
+    classes = cut(classes.withColumn("_sl_sha", F.sha2("_sl_norm", 256)).drop("_sl_norm"))
     rows = slim.mapInArrow(_digests(False, lower), f"_sl_id {id_type}, _sl_h binary, _sl_sha string")
     # of rows repeated with one id and text, the first is the one that may stay
     once = rows.withColumn("_sl_turn", F.row_number().over(Window.partitionBy("_sl_h", "_sl_id", "_sl_sha").orderBy("_sl_id")))
-    shared = classes.groupBy("_sl_h").agg(F.count(F.lit(1)).alias("_sl_texts")).filter("_sl_texts > 1").select("_sl_h")
-    if shared.isEmpty():
-        joined = once.join(classes.drop("_sl_norm"), "_sl_h")
-    else:  # collisions of the hash: tell the texts apart by SHA-256 of their bytes as well
-        told = classes.withColumn("_sl_sha", F.sha2("_sl_norm", 256)).drop("_sl_norm")
-        joined = once.join(told, ["_sl_h", "_sl_sha"])
+    joined = once.join(classes, ["_sl_h", "_sl_sha"])
     kept = F.when(F.col("_sl_ids") > 0, F.col("_sl_id") == F.col("keep_id")).otherwise(F.col("_sl_id").isNull()) & (F.col("_sl_turn") == 1)
     return joined.select(
         F.col("_sl_id").alias(id_col), "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), F.col("_sl_sha").alias("text_sha256")
     )
 
 
+def _keyed(text_col: str, lower: bool):
+    def run(batches):
+        for b in batches:
+            data, off = text_bytes(b.column(text_col).cast(pa.string()))
+            view = (ascii_lower(data) if lower else data).tobytes()
+            texts = [view[i:j] for i, j in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array(texts, pa.binary())], names=[*b.schema.names, "_sl_h", "_sl_norm"])
+
+    return run
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", lower: bool = True) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they are."""
-    key = "_sl_keep"
-    stays = exact_groups(docs, id_col, text_col, keep, lower).filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias("_sl_key_sha"))
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if lower else F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_sl_sha", F.sha2(lowered.cast("binary"), 256))
-    joined = keyed.join(stays, (keyed[id_col].eqNullSafe(stays[key])) & (keyed["_sl_sha"] == stays["_sl_key_sha"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_sl_sha"]).select(*docs.columns)
+    """docs with one row of each group of equal texts, all columns as they are; a row without an id stays only if its group has no other."""
+    schema = T.StructType(docs.schema.fields + [T.StructField("_sl_h", T.BinaryType()), T.StructField("_sl_norm", T.BinaryType())])
+    rank = F.struct((F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull()).alias("x"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    best = F.min_by if keep == "min" else F.max_by
+    keyed = docs.mapInArrow(_keyed(text_col, lower), schema)
+    return keyed.groupBy("_sl_h", "_sl_norm").agg(best(F.struct(*docs.columns), rank).alias("_sl_row")).select("_sl_row.*")
