@@ -13,10 +13,10 @@ first order are read for the others.
 Equal sets are one class from the start (the hash of a set is 128 bits). Among classes
 links are found in two steps, so that a group of many near copies doesn't make all its
 pairs: first every member of a posting is tried with the posting's centre, which is the
-member with the smallest share of tokens before its first shared one, so the member closest
-to what the group has in common; links found make components. While the pairs across
-components are many, more rounds follow whose centres are drawn by a hash. Then all pairs
-that share postings across components, and only those, are tried. Of such a pair the
+member whose prefix meets most other documents, so the one closest to what the group has in
+common; links found make components. (Further rounds, if asked for,
+draw centres by a hash.) Then all pairs that share postings across components, and only
+those, are tried. Of such a pair the
 smaller set must have the token in the shorter prefix that two sets of its own size would
 need, which spares most pairs of a group whose members are alike but not alike enough.
 Pairs inside one component need no trial, for the answer is the component. Nothing is
@@ -50,10 +50,10 @@ from .common import ascii_lower, blocks, cut, mix, parts, range_hashes, signed,
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 2
-#: Most rounds of stars before the exact step.
-ROUNDS = 4
+#: Rounds of stars before the exact step.
+ROUNDS = 1
 #: Most frequent tokens that are broadcast; finds in one batch that make a token frequent there; finds in all from which postings go as rows.
-HEAVY, OFTEN, HOT_FINDS = 1 << 18, 4, 100_000
+HEAVY, OFTEN, HOT_FINDS = 1 << 18, 2, 100_000
 #: Most frequent words that are broadcast, and those that one batch names.
 WORDS, BATCH_WORDS = 1 << 16, 20_000
 _ORDER = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -214,7 +214,7 @@ def _unpack(batches):
 
 
 def _postings(table: pa.Table) -> pa.Table:
-    """Postings of one bucket with two ids or more: order, hash of the posting, id, least position.
+    """Postings of one bucket with two ids or more: order, hash of the posting, id, least position, ids in it.
 
     Tokens with equal postings become one, with the least of their positions: that lets more
     pairs through the position filter, never fewer.
@@ -231,13 +231,14 @@ def _postings(table: pa.Table) -> pa.Table:
     start, size = start[size > 1], size[size > 1]
     h = range_hashes(mix(owner.view(np.uint64) ^ np.uint64(_ORDER[2])), start, size)
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    h, owner, position = np.repeat(h, size), owner[at], position[at]
+    h, size, owner, position = np.repeat(h, size), np.repeat(size, size), owner[at], position[at]
     order = np.lexsort((position, owner, h))
-    h, owner, position = h[order], owner[order], position[order]
+    h, size, owner, position = h[order], size[order], owner[order], position[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    o = np.full(int(new.sum()), table.column("o")[0].as_py(), np.int32)
-    return pa.Table.from_arrays([pa.array(o), signed(h[new]), pa.array(owner[new]), pa.array(position[new])], names=["o", "t", "id", "at"])
+    new = np.flatnonzero(new)
+    o, likes = np.full(len(new), table.column("o")[0].as_py(), np.int32), np.add.reduceat(size, new) if len(new) else size
+    return pa.Table.from_arrays([pa.array(o), signed(h[new]), pa.array(owner[new]), pa.array(position[new]), pa.array(likes)], names=["o", "t", "id", "at", "likes"])
 
 
 def _verify(k: int, percent: int):
@@ -269,27 +270,24 @@ def _may_reach(percent: int):
     return F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
-def _shared(texts: DataFrame, reps: DataFrame, orders: list[int], k: int, percent: int, held, hot: bool) -> DataFrame:
-    """Postings with two classes or more under the orders: o, t, id, at, n."""
+def _shared(texts: DataFrame, orders: list[int], k: int, percent: int, held, hot: bool) -> DataFrame:
+    """Postings with two documents or more under the orders: o, t, id, at, likes (documents met there)."""
     packed = cut(texts.mapInArrow(_prefixes(k, percent, orders, parts(texts.sparkSession), held), "o int, b int, tokens binary, ids binary, positions binary"), "uncompressed")
     rows = "o int, t bigint, id bigint, at bigint"
-    postings = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, rows)
+    postings = packed.filter("b >= 0").groupBy("o", "b").applyInArrow(_postings, f"{rows}, likes bigint")
     if hot:
         # unbounded postings: those that are equal become one as well, by a fingerprint that is a partial aggregate
         loose = cut(packed.filter("b < 0").mapInArrow(_unpack, rows))
-        alike = loose.groupBy("o", "t").agg(F.bit_xor(F.xxhash64("id")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        postings = postings.unionByName(loose.join(alike, ["o", "t"]).select("o", F.col("f").alias("t"), "id", "at"))
-    postings = cut(postings.groupBy("o", "t", "id").agg(F.min("at").alias("at")).join(reps.hint("merge"), "id"))
+        alike = loose.groupBy("o", "t").agg(F.bit_xor(F.xxhash64("id")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        postings = postings.unionByName(loose.join(alike, ["o", "t"]).select("o", F.col("f").alias("t"), "id", "at", F.col("c").alias("likes")))
+    postings = cut(postings.groupBy("o", "t", "id").agg(F.min("at").alias("at"), F.sum("likes").alias("likes")))
     free(packed, *([loose] if hot else []))
-    wide = postings.groupBy("o", "t").agg(F.min("id").alias("_sl_lo"), F.max("id").alias("_sl_hi")).filter("_sl_lo < _sl_hi").select("o", "t")
-    shared = cut(postings.join(wide.hint("merge"), ["o", "t"]))
-    free(postings)
-    return shared
+    return postings
 
 
-def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int, percent: int, orders: int, many: int, hot_finds: int) -> DataFrame:
-    """(id, component) of the ids in sets that have a link; ids aren't repeated."""
-    spark = slim.sparkSession
+def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int, percent: int, orders: int, rounds: int, hot_finds: int) -> DataFrame:
+    """(id, component) of the ids in sets; ids aren't repeated."""
+    spark, n_parts = slim.sparkSession, parts(slim.sparkSession)
     full = sets.filter("n > 0 and id is not null")
     classes = cut(full.groupBy("n", "p", "q").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id"), "n")
@@ -307,67 +305,57 @@ def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int,
     hot = finds >= hot_finds
     held = spark.sparkContext.broadcast((often, np.minimum(np.log2(np.maximum(finds, 1)), 63).astype(np.int64), hot, known, rare))
 
-    first = _shared(texts, reps, [0], k, percent, held, bool(hot.any()))
-    # a document's place among its likes: the share of its tokens before the first that another has
-    wanted = cut(first.groupBy("id").agg(F.min(F.expr("at * 1000 div n")).alias("s")))
+    first = _shared(texts, [0], k, percent, held, bool(hot.any()))
+    # a document's place among its likes: the more of them its tokens meet, the more it has of what they have in common
+    wanted = cut(first.groupBy("id").agg((-F.sum("likes")).alias("s")).join(reps.hint("merge"), "id").select("id", "n", "s"))
     # texts move once, by a merge join at every size: the ids are too many to broadcast in earnest
-    held_texts = cut_by(texts.join(wanted.hint("merge"), texts["_sl_id"] == wanted["id"], "left_semi"), "_sl_id", parts(spark))
-    postings = first
-    if orders > 1:
-        postings = first.unionByName(_shared(held_texts, reps, list(range(1, orders)), k, percent, held, bool(hot.any())))
-    postings = cut(postings.join(wanted.hint("merge"), "id"))
-    free(first)
+    held_texts = cut_by(texts.join(wanted.hint("merge"), texts["_sl_id"] == wanted["id"], "left_semi"), "_sl_id", n_parts)
+    others = _shared(held_texts, list(range(1, orders)), k, percent, held, bool(hot.any())) if orders > 1 else first.limit(0)
+    # postings lie in buckets by token, so that what follows groups and joins them in place
+    postings = cut_by(first.unionByName(others).drop("likes").join(wanted.hint("merge"), "id").select(F.xxhash64("o", "t").alias("t"), "o", "id", "at", "n", "s"), "t", n_parts)
+    free(first, others)
 
     def _agreed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == orders).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("shiftleft(1, o)").alias("o"))
+        return pairs.groupBy("a", "b").agg(F.bit_or("o").alias("o")).filter(F.col("o") == (1 << orders) - 1).select("a", "b")
+
+    def across(members: DataFrame, *more) -> DataFrame:
+        return members.groupBy("t").agg(F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi"), *more).filter("_sl_lo < _sl_hi")
 
     def stars(members: DataFrame, turn: int) -> DataFrame:
         """Each member with the posting's centre, where that is of another component (under every order)."""
         rank = [F.col("s")] if turn == 0 else [F.xxhash64("comp", F.lit(turn)), F.col("s")]
-        centre = F.struct(*[x.alias(f"r{i}") for i, x in enumerate(rank)], "id", "comp", "n", "at")
-        low = members.groupBy("o", "t").agg(F.min(centre).alias("h"), F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi")).filter("_sl_lo < _sl_hi")
-        low = low.select("o", "t", F.col("h.id").alias("a"), F.col("h.comp").alias("_sl_ca"), F.col("h.n").alias("nx"), F.col("h.at").alias("px"))
-        other = members.select("o", "t", F.col("id").alias("b"), "comp", F.col("n").alias("ny"), F.col("at").alias("py"))
-        return _agreed(other.join(low.hint("merge"), ["o", "t"]).filter((F.col("comp") != F.col("_sl_ca")) & _may_reach(percent)))
+        low = across(members, F.min(F.struct(*[x.alias(f"r{i}") for i, x in enumerate(rank)], "id", "comp", "n", "at")).alias("h"))
+        low = low.select("t", F.col("h.id").alias("a"), F.col("h.comp").alias("_sl_ca"), F.col("h.n").alias("nx"), F.col("h.at").alias("px"))
+        other = members.select("t", "o", F.col("id").alias("b"), "comp", F.col("n").alias("ny"), F.col("at").alias("py"))
+        return _agreed(other.join(low.hint("merge"), "t").filter((F.col("comp") != F.col("_sl_ca")) & _may_reach(percent)))
 
     def crossed(members: DataFrame) -> DataFrame:
         """All pairs across components that share a posting (under every order)."""
-        wide = members.groupBy("o", "t").agg(F.min("comp").alias("_sl_lo"), F.max("comp").alias("_sl_hi")).filter("_sl_lo < _sl_hi").select("o", "t")
-        members = members.join(wide.hint("merge"), ["o", "t"])
+        members = members.join(across(members).select("t").hint("merge"), "t")
         # the smaller set has the token in its shorter prefix
         small = members.filter((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * (2 * percent))
-        small = small.select("o", "t", F.col("id").alias("a"), "comp", F.col("n").alias("nx"), F.col("at").alias("px"))
-        large = members.select("o", "t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"), F.col("at").alias("py"))
-        return _agreed(small.join(large.hint("merge"), ["o", "t"]).filter(F.expr("comp <> _sl_cb and (nx < ny or nx = ny and a < b)") & _may_reach(percent)))
+        small = small.select("t", "o", F.col("id").alias("a"), "comp", F.col("n").alias("nx"), F.col("at").alias("px"))
+        large = members.select("t", F.col("id").alias("b"), F.col("comp").alias("_sl_cb"), F.col("n").alias("ny"), F.col("at").alias("py"))
+        return _agreed(small.join(large.hint("merge"), "t").filter(F.expr("comp <> _sl_cb and (nx < ny or nx = ny and a < b)") & _may_reach(percent)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         tx = held_texts.select(F.col("_sl_id").alias("a"), F.col("_sl_text").alias("tx"))
         ty = held_texts.select(F.col("_sl_id").alias("b"), F.col("_sl_text").alias("ty"))
         return cut(pairs.join(tx.hint("merge"), "a").join(ty.hint("merge"), "b").select("a", "b", "tx", "ty").mapInArrow(_verify(k, percent), "a bigint, b bigint"))
 
-    n_reps = reps.count()
-    members, links, tried, turn = postings.withColumn("comp", F.col("id")), None, None, 0
-    while True:
-        pairs = stars(members, turn)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = verified(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    members, links = postings.withColumn("comp", F.col("id")), None
+    for turn in range(rounds):
+        found = verified(stars(members, turn))
         links = found if links is None else links.unionByName(found)
-        groups, turn = components(links), turn + 1
-        named = postings.join(groups.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        if turn > 1:
-            free(members)
-        members = cut(named)
-        alike = members.groupBy("o", "t", "comp").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("o", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        across = alike.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("x")).first()["x"] or 0.0
-        if across <= many * n_reps or turn == ROUNDS:
-            break
-    rest = cut(crossed(members).join(tried, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest))
         groups = components(links)
-    free(members, rest, held_texts, postings, wanted)
+        comps = wanted.select("id").join(groups.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+        before, members = members, cut_by(postings.join(comps.hint("merge"), "id"), "t", n_parts)
+        if turn:
+            free(before)
+    links = links.unionByName(verified(crossed(members)))
+    groups = components(links)
+    free(members, held_texts, postings, wanted)
     # a row follows its class, a class its component
     found = classes.join(groups, classes["rep"] == groups["id"], "left").select("n", "p", "q", F.coalesce("component", "rep").alias("component"))
     out = cut(full.join(found, ["n", "p", "q"]).select("id", "component"))
@@ -376,12 +364,12 @@ def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int,
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, many: int = 20, hot_finds: int = HOT_FINDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, rounds: int = ROUNDS, hot_finds: int = HOT_FINDS
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
-    many: pairs per document across components above which another round of stars comes
-    first. hot_finds: finds from which a token's postings go as rows.
+    rounds: of stars, one or more, before the exact step. hot_finds: finds from which a
+    token's postings go as rows.
     """
     kind = docs.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType):
@@ -398,7 +386,7 @@ def near_groups(
         read = cut(slim.mapInArrow(_read(k), _READ))
         sets = read.filter("kind = 0").select("id", "n", "p", "q")
     counts = cut(read.filter("kind > 0").groupBy("kind", "t").agg(F.sum("c").alias("c")))
-    groups = _unique_groups(slim, sets, counts, k, percent, orders, many, hot_finds)
+    groups = _unique_groups(slim, sets, counts, k, percent, orders, rounds, hot_finds)
     found = cut(sets.join(groups.hint("merge"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
     free(read, counts, groups)
     if twice:

@@ -55,7 +55,7 @@ def test_near_groups_of_awkward_rows(spark):
 def test_more_star_rounds_change_nothing(spark):
     texts = near_texts(seed=9, groups=3, copies=12, words_each=60)
     want = brute_near(list(enumerate(texts)))
-    assert {r.doc_id: r.component_id for r in near_groups(documents(spark, texts), many=0).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_groups(documents(spark, texts), rounds=3).collect()} == want
 
 
 def test_drop_near_copies(spark):
