@@ -9,7 +9,7 @@ from frames import awkward, documents, empty, frame, lower, prose, words
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import mix, span_hashes
-from siltstone.llm.language_model import STRENGTH, score_documents, seat
+from siltstone.llm.language_model import STRENGTH, Bucket, Root, _dump, score_documents, seat
 from siltstone.llm.toxicity import drop_toxic, toxicity
 
 
@@ -100,6 +100,41 @@ def test_each_context_has_its_restaurant(spark):
     assert score[400_000] - score[400_001] > 1  # after `one`, "left" is at least 10 times as likely as "right"
 
 
+def test_probabilities_of_a_context_sum_to_one():
+    """Every context with every known word and one unknown, over several classes, for single samples and means."""
+    rng, n_contexts, n_words = np.random.default_rng(2), 12, 40
+    c = rng.geometric(0.3, (n_contexts, n_words)) * (rng.random((n_contexts, n_words)) < 0.4)
+    c[:, -1] = 0  # the unknown
+    c[3] = 0  # a context that training has never seen
+    seen = c.sum(0) > 0
+    seen[-1] = True
+    c = c[:, seen]
+    words = c.shape[1]
+    payload = _dump([np.arange(words, dtype=np.uint64), np.arange(n_contexts, dtype=np.uint64), (np.arange(n_contexts) % 4).astype(np.uint32), np.full(n_contexts, words, np.uint32), np.tile(np.arange(words), n_contexts).astype(np.uint32), c.ravel().astype(np.uint32)] + [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.int64)])
+    bucket = Bucket(payload)
+    customers, _ = bucket.first()
+    tables = seat(rng, customers, np.full(words, 0.1), 0.5)
+    root = Root({"tokens": c.sum(), "types": words - 1, "customers": customers.sum(), "tables": tables.sum(), "root_once": 5, "root_two": 3, "once": 9, "two": 4, "class_once": 7, "class_two": 4})
+    p0 = root.probabilities(customers, tables)
+    assert p0.sum() == pytest.approx(1)
+    for samples in (1, 5):
+        _, mean = bucket.sweeps(root.discounts, p0, [samples], 1, samples)
+        assert mean.reshape(n_contexts, words).sum(1) == pytest.approx(np.ones(n_contexts))
+        assert (mean > 0).all()
+
+
+def test_language_model_takes_ids_of_any_type_and_large_texts(spark):
+    """A text beyond CHUNK_BYTES; ids are strings; equal texts score alike in either fold."""
+    r = random.Random(3)
+    long = prose(r, 1_100_000, 30_000)
+    rows = [("a", long), ("b", long), ("c", "w1 w2 w3"), ("d", "w1 w2 w3"), (None, None)]
+    assert len(long) > 5 << 20
+    got = score_documents(spark.createDataFrame(rows, "doc_id string, text string"), F.col("doc_id").isin("b", "d")).collect()
+    score = {x.doc_id: (x.n_tokens, x.n_known, x.score) for x in got}
+    assert score["a"] == pytest.approx(score["b"]) and score["c"] == pytest.approx(score["d"])
+    assert score["a"][0] == 1_100_001 and score[None][0] == 1 and {x.train_tokens for x in got} == {1_100_001 + 4 + 1}
+
+
 def test_seating_agrees_with_the_process():
     rng = np.random.default_rng(0)
     c, d, new = 40, 0.5, STRENGTH * 0.1
