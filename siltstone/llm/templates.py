@@ -6,14 +6,16 @@ occurrence vector (how often in which page) form an equivalence class; vectors a
 by a fingerprint, the exclusive-or over the pages of a hash of page and count, which is
 built by partial aggregation, so a host with a third of all pages is never gathered in one
 task. Pages of a host with the same html count once, in vectors and page counts. A class is
-valid if it is large (CLASS tokens) and frequent (SHARE of the host's distinct pages,
-MIN_PAGES at least for text). Valid classes nest by the paths of their elements and
-make the host's template; what remains between its tokens are the slots. A page's text is
-all of its slots but those in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments of readers, told by tag, class, id or role. No slot is preferred
-to another: an element that must hold all own text of every page drops nothing, and one that
-holds less would lose titles, leads and closing lines. A page whose own text is template
-throughout keeps it: template is removed beside other text only.
+valid if it is large (CLASS tokens) and frequent (SHARE of the host's distinct pages, and
+PAGES of them at least, for two pages that share a line are no evidence of a template).
+Valid classes nest by the paths of their elements and make the host's template; what remains
+between its tokens are the slots. The main slot is the innermost element below the body, once
+on the page, that holds all slots of all pages of the host. A page's text is all of its slots but those in
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments of
+readers, told by tag, class, id or role. Fixed text is removed only outside the main slot and
+outside <article> and <main>: a line that every article has, such as its author, belongs to
+the articles. A page whose own text is template throughout keeps it: template is removed
+beside other text only.
 
 A host too small or too mixed for a template still has its pages read by the same rules
 from the whole body.
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Least tokens of a class, least share of the host's pages, least pages before text is template.
-CLASS, SHARE, MIN_PAGES = 3, 0.9, 10
+#: Least tokens of a class, least share of the host's distinct pages and least of them that it is on.
+CLASS, SHARE, PAGES = 3, 0.9, 3
 
 # The names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +63,8 @@ BESIDE = frozenset("site global top bottom left right primary secondary mobile d
 BESIDE_OTHERS = BESIDE | frozenset(
     "page main post posts entry article articles story stories content section area block box panel list item items group row zone slot unit space link links icon icons button buttons btn title label text body thread count toggle dropdown".split()
 )
+#: Elements that are text or its layout: their names say what is in them, not where they stand.
+PLAIN = frozenset("html body h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption".split())
 #: Where no <article> or <main> tells, an element with more than this share of a page's text isn't outside by its name.
 MOST = 0.5
 
@@ -158,7 +162,9 @@ class Walk:
                 for i in marks:
                     self.marks[i][2] |= name == "main"
                     self.marks[i][3] += name == "article"
-            elif names and name not in ("html", "body"):
+            elif names and name not in PLAIN:
+                if article:  # an id names a place to jump to there
+                    names.pop("id", None)
                 kinds = {marked(v, article) for v in names.values()} - {""}
                 if kinds:
                     marks = (*marks, len(self.marks))
@@ -201,11 +207,11 @@ def _hash(text: str) -> int:
 
 
 def _roles(batches):
-    """Per page: a hash of its html, and its tokens, each with role, count and whether it is text."""
+    """Per page: a hash of its html, and its tokens, each with role, count, whether it is text, and the path of text that isn't outside."""
     for b in batches:
         contents, tokens = [], []
         for page in b.column(1).to_pylist():
-            seen, texts = Counter(), set()
+            seen, texts, paths = Counter(), set(), {}
 
             def element(path, outside):
                 seen[_hash(path)] += 1
@@ -214,46 +220,65 @@ def _roles(batches):
                 role = _hash(f"{path}\n{text}")
                 seen[role] += 1
                 texts.add(role)
+                if not outside:
+                    paths[role] = path
 
             Walk(page or "", element, block)
             contents.append(blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            tokens.append([{"role": role, "c": c, "is_text": role in texts} for role, c in seen.items()])
-        kind = pa.list_(pa.struct([("role", pa.int64()), ("c", pa.int64()), ("is_text", pa.bool_())]))
+            tokens.append([{"role": role, "c": c, "is_text": role in texts, "path": paths.get(role)} for role, c in seen.items()])
+        kind = pa.list_(pa.struct([("role", pa.int64()), ("c", pa.int64()), ("is_text", pa.bool_()), ("path", pa.string())]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(tokens, kind)], names=["host", "content", "tokens"])
 
 
+_ARTICLE = re.compile(r">(?:article|main)(?:[.>]|$)").search
+
+
+def main_slot(low: str | None, high: str | None, seen: Counter) -> str | None:
+    """The innermost element around all paths between low and high that a page has once; None where that is no more than the body."""
+    if low is None or high is None:
+        return None
+    shared = []
+    for a, b in zip(low.split(">"), high.split(">")):
+        if a != b:
+            break
+        shared.append(a)
+    while shared and shared[-1].split(".")[0] not in ("", "html", "body"):
+        path = ">".join(shared)
+        if seen[path] == 1:
+            return path
+        shared.pop()
+    return None
+
+
 def _extract(batches):
     for b in batches:
         texts = []
-        for page, template in zip(b.column("_sl_html").to_pylist(), b.column("_sl_template").to_pylist()):
-            fixed, blocks, own = set(template or ()), [], []
-
-            def block(path, text, outside):
-                if not outside:
-                    own.append(text)
-                    if _hash(f"{path}\n{text}") not in fixed:
-                        blocks.append(text)
-
-            Walk(page or "", lambda *_: None, block)
-            texts.append("\n".join(blocks or own))
-        names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template")]
+        for page, template, low, high in zip(*(b.column(c).to_pylist() for c in ("_sl_html", "_sl_template", "_sl_low", "_sl_high"))):
+            fixed, own, seen = set(template or ()), [], Counter()
+            Walk(page or "", lambda path, outside: seen.update((path,)), lambda path, text, outside: outside or own.append((path, text)))
+            slot = main_slot(low, high, seen)
+            inside = lambda path: _ARTICLE(path) or (slot and (path == slot or path.startswith(f"{slot}>")))  # noqa: E731, B023
+            blocks = [text for path, text in own if inside(path) or _hash(f"{path}\n{text}") not in fixed]
+            texts.append("\n".join(blocks or [text for _, text in own]))
+        names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template", "_sl_low", "_sl_high")]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host with a template: _sl_host, _sl_template (roles of its text)."""
+    """One row per host with a template: _sl_host, _sl_template (roles of its text), _sl_low and _sl_high (bounds of the paths of its slots)."""
     slim = pages.select(_host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
-    read = slim.mapInArrow(_roles, "host string, content binary, tokens array<struct<role: bigint, c: bigint, is_text: boolean>>")
+    read = slim.mapInArrow(_roles, "host string, content binary, tokens array<struct<role: bigint, c: bigint, is_text: boolean, path: string>>")
     # tokens are packed, a row per page, until copies of a page are one
     distinct = cut(read.groupBy("host", "content").agg(F.first("tokens").alias("tokens")))
     per_host = distinct.groupBy(F.col("host").alias("_sl_host")).agg(F.count(F.lit(1)).alias("_sl_pages"))
-    tokens = distinct.select("host", "content", F.explode("tokens").alias("t")).select("host", "t.role", "t.is_text", F.xxhash64("content", "t.c").alias("h"))
-    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"))
-    frequent = cut(stats.join(per_host, stats["host"] == per_host["_sl_host"]).filter(F.col("pages") >= F.col("_sl_pages") * SHARE).drop("host"))
+    tokens = distinct.select("host", "content", F.explode("tokens").alias("t")).select("host", "t.role", "t.is_text", "t.path", F.xxhash64("content", "t.c").alias("h"))
+    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"), F.max("path").alias("path"))
+    stats = cut(stats.join(per_host, stats["host"] == per_host["_sl_host"]).drop("host"))
+    frequent = stats.filter((F.col("pages") >= F.col("_sl_pages") * SHARE) & (F.col("pages") >= PAGES))
     large = frequent.groupBy("_sl_host", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS).drop("n")
-    valid = frequent.join(large, ["_sl_host", "vector"])
-    text_roles = F.collect_list(F.when(F.col("is_text") & (F.col("_sl_pages") >= MIN_PAGES), F.col("role")))
-    return valid.groupBy("_sl_host").agg(text_roles.alias("_sl_template"))
+    fixed = cut(frequent.join(large, ["_sl_host", "vector"]).filter("is_text").select("_sl_host", "role"))
+    slots = stats.filter("path is not null").join(fixed, ["_sl_host", "role"], "left_anti").groupBy("_sl_host").agg(F.min("path").alias("_sl_low"), F.max("path").alias("_sl_high"))
+    return fixed.groupBy("_sl_host").agg(F.collect_list("role").alias("_sl_template")).join(slots, "_sl_host", "left")
 
 
 def _host(url_col: str):
@@ -264,7 +289,7 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
     """One row per page: key, url, text, n_chars."""
     templates = deduce(pages, url_col, html_col)
     slim = pages.select(F.col(key_col).alias("_sl_key"), F.col(url_col).alias("_sl_url"), _host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
-    joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template")
+    joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template", "_sl_low", "_sl_high")
     kind = pages.schema[key_col].dataType.simpleString()
     done = joined.mapInArrow(_extract, f"_sl_key {kind}, _sl_url string, text string")
     return done.select(F.col("_sl_key").alias(key_col), F.col("_sl_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -127,6 +127,57 @@ def test_copies_of_a_page_count_once(spark):
     assert got == {i: f"Head {k}\nBody of {k}\nEnd of {k}" for i, _, _ in rows for k in [20 if i == 20 else 0]}
 
 
+@pytest.mark.parametrize("n", [2, 8, 9, 10, 12, 30])
+@pytest.mark.parametrize("main", ["article", "main", "div class=story"])
+def test_lines_that_every_article_has_stay_at_any_number_of_pages(spark, n, main):
+    page = "<html><body><div class=wrap><div><a>Home</a></div><{1}><p>By Jane Doe</p><h2 id=search>Summary</h2><p>Text {0}</p><p>Licence: free</p></{2}><div><p>Part of the network</p></div></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, main, main.split()[0])) for i in range(n)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows + rows[:3], "page_id bigint, url string, html string")).collect()}
+    own = "By Jane Doe\nSummary\nText {}\nLicence: free"
+    whole = f"Home\n{own}\nPart of the network"
+    assert got == {i: (own if n > 2 else whole).format(i) for i in range(n)}
+
+
+def test_identical_pages_keep_their_text_at_any_number(spark):
+    html = "<html><body><div><p>one</p><p>two</p><section id='social-history'><p>three</p></section><table class='form'><tr><td>four</td></tr></table></div></body></html>"
+    rows = [(i, f"http://i{n}.example/{i}", html) for n in (1, 9, 12, 40) for i in range(n)]
+    got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.text for r in got} == {"one\ntwo\nthree\nfour"}
+
+
+def brute_template(pages):
+    """Fixed texts of one host by occurrence vectors in plain Python."""
+    counts = {}
+    for i, blocks in enumerate(pages):
+        for b in blocks:
+            counts.setdefault(b, [0] * len(pages))[i] += 1
+    kinds = {}
+    for b, v in counts.items():
+        kinds.setdefault(tuple(v), []).append(b)
+    return {b for v, same in kinds.items() if sum(x > 0 for x in v) >= max(3, 0.9 * len(pages)) for b in same}
+
+
+def test_deduction_agrees_with_occurrence_vectors(spark):
+    """Flat pages: the vectors of the elements are those of the body, so every frequent text class is large enough with them only if its vector is theirs."""
+    import random
+
+    r = random.Random(4)
+    hosts, rows = {}, []
+    for h in range(6):
+        fixed = [f"fixed {h} {k}" for k in range(r.randrange(3, 6))]
+        pages = []
+        for i in range(r.choice([3, 5, 11])):
+            blocks = [f"own {h} {i} {k}" for k in range(r.randrange(1, 4))]
+            pages.append([*fixed[:2], *blocks, *fixed[2:]])
+            rows.append((100 * h + i, f"http://j{h}.example/{i}", "<html><body>" + "".join(f"<p>{x}</p>" for x in pages[-1]) + "</body></html>"))
+        hosts[h] = pages
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for h, pages in hosts.items():
+        gone = brute_template(pages)
+        for i, blocks in enumerate(pages):
+            assert got[100 * h + i] == "\n".join(b for b in blocks if b not in gone)
+
+
 WRAPPERS = ["site no-sidebar", "content has-sidebar", "header-fixed", "category-social", "with-sidebar layout", "sidebar", "left-sidebar"]
 
 
