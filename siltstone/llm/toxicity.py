@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket
 
 #: Most documents of either kind and most bytes of one that training reads.
-SAMPLE = {"toxic": 2000, "ordinary": 4000, "bytes": 100_000}
+SAMPLE = {"toxic": 2000, "ordinary": 4000, "bytes": 20_000}
 #: Differences of length at which windows are counted.
 THRESHOLDS = (3, 4, 5, 6, 7)
 #: Least contexts of a sequence in toxic text, and how much more frequent there (natural log).
