@@ -312,7 +312,8 @@ def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int,
     held_texts = cut_by(texts.join(wanted.hint("merge"), texts["_sl_id"] == wanted["id"], "left_semi"), "_sl_id", n_parts)
     others = _shared(held_texts, list(range(1, orders)), k, percent, held, bool(hot.any())) if orders > 1 else first.limit(0)
     # postings lie in buckets by token, so that what follows groups and joins them in place
-    postings = cut_by(first.unionByName(others).drop("likes").join(wanted.hint("merge"), "id").select(F.xxhash64("o", "t").alias("t"), "o", "id", "at", "n", "s"), "t", n_parts)
+    joined = first.unionByName(others).drop("likes").join(wanted.hint("merge"), "id").select(F.xxhash64("o", "t").alias("t"), "o", "id", "at", "n", "s")
+    postings = cut_by(joined.repartition(n_parts, "t"), "t", n_parts)  # dealt first: else each task would write a file for each bucket
     free(first, others)
 
     def _agreed(pairs: DataFrame) -> DataFrame:
@@ -350,7 +351,7 @@ def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int,
         links = found if links is None else links.unionByName(found)
         groups = components(links)
         comps = wanted.select("id").join(groups.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-        before, members = members, cut_by(postings.join(comps.hint("merge"), "id"), "t", n_parts)
+        before, members = members, cut_by(postings.join(comps.hint("merge"), "id").repartition(n_parts, "t"), "t", n_parts)
         if turn:
             free(before)
     links = links.unionByName(verified(crossed(members)))
