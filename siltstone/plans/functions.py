@@ -86,3 +86,40 @@ def p46_generators(spark, t):
 def p46_inline(spark, t):
     pair = F.array(F.struct(F.col("n_regionkey").alias("a"), F.col("n_name").alias("b")), F.struct((F.col("n_regionkey") + 10).alias("a"), F.lit("twin").alias("b")))
     return t.nation.select("n_nationkey", F.inline(pair))
+
+
+@query("select p_partkey, cast(len(regexp_extract_all(p_type, '[AEIOU]+')) as bigint) as vowels, array_to_string(regexp_extract_all(p_name, '[a-z]+'), '-') as words from part")
+def p40_all_matches(spark, t):
+    return t.part.select("p_partkey", F.size(F.regexp_extract_all("p_type", F.lit("[AEIOU]+"), F.lit(0))).cast("bigint").alias("vowels"), F.array_join(F.regexp_extract_all("p_name", F.lit("[a-z]+"), F.lit(0)), "-").alias("words"))
+
+
+@query("""
+select o_orderkey, round((extract(year from o_orderdate) - 1995) * 12 + extract(month from o_orderdate) - 1 + (extract(day from o_orderdate) - 1) / 31, 6) as months, o_orderdate + interval 1 month + interval 2 day as later,
+       cast(null as timestamp) as bad, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') as again
+from orders
+""")
+def p41_intervals(spark, t):
+    d = F.col("o_orderdate")
+    return t.orders.select(
+        "o_orderkey", F.round(F.months_between(d, F.lit("1995-01-01").cast("timestamp_ntz")), 6).alias("months"), (d + F.make_interval(months=F.lit(1), days=F.lit(2))).alias("later"),
+        F.try_to_timestamp(F.concat(F.lit("no "), F.date_format(d, "yyyy")), F.lit("yyyy")).cast("timestamp_ntz").alias("bad"), F.try_to_timestamp(F.date_format(d, "yyyyMMdd"), F.lit("yyyyMMdd")).cast("timestamp_ntz").alias("again"),
+    )
+
+
+@query("select count(distinct text) as by_xxhash64, true as equal_texts_agree, true as in_range from documents")
+def p42_row_hashes(spark, t):
+    """64-bit hashes tell these texts apart; 32-bit ones fall into the range asked for."""
+    h = t.documents.select("text", F.xxhash64("text").alias("x"), F.pmod(F.hash("text"), F.lit(16)).alias("m"))
+    per = h.groupBy("text").agg(F.count_distinct("x", "m").alias("n"), F.first("x").alias("x"), F.max("m").alias("m"))
+    return per.agg(F.count_distinct("x").alias("by_xxhash64"), (F.max("n") == 1).alias("equal_texts_agree"), (F.max("m") < 16).alias("in_range"))
+
+
+@query("""
+with g as (select user_id, event_type, count(*) as n, count(*) filter (where value > 50) as m from events group by all)
+select user_id, max(n - m) as most_low, cast(sum(n * 10 + m) as bigint) as mixed from g group by user_id
+""")
+def p44_map_zip(spark, t):
+    g = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("m"))
+    m = g.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("a"), F.map_from_entries(F.collect_list(F.struct("event_type", "m"))).alias("b"))
+    values = lambda f: F.map_values(F.map_zip_with("a", "b", f))
+    return m.select("user_id", F.array_max(values(lambda k, x, y: x - y)).alias("most_low"), F.aggregate(values(lambda k, x, y: x * 10 + y), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("mixed"))

@@ -219,14 +219,34 @@ def p25_approximate_distinct(spark, t):
     return q.select("event_type", (F.abs(F.col("a") - F.col("e")) <= F.col("e") * 0.1).alias("close"))
 
 
-@query("select true as hll_close, true as theta_close, true as kll_close, true as count_min_not_below")
+@query("select true as hll_close, true as theta_close, true as kll_close, true as count_min_close")
 def p26_sketches(spark, t):
-    """Sketches by group, merged, against exact figures."""
-    per = t.events.groupBy("event_type").agg(F.hll_sketch_agg("user_id").alias("h"), F.theta_sketch_agg("user_id").alias("th"), F.kll_sketch_agg_bigint("user_id").alias("k"))
-    merged = per.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("th")).alias("th"), F.max(F.kll_sketch_get_quantile_bigint("k", F.lit(0.5))).alias("k"))
-    exact = t.events.agg(F.count_distinct("user_id").alias("n"), F.max("user_id").alias("top"), F.min("user_id").alias("low"), F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(7)).alias("c"))
+    """Sketches by group, merged, against exact figures: distinct users, the rank of the median, the count of the most frequent user."""
+    per = t.events.groupBy("event_type").agg(F.hll_sketch_agg("user_id").alias("h"), F.theta_sketch_agg("user_id").alias("th"))
+    merged = per.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("th")).alias("th"))
+    # one sketch of fixed size comes to the driver, whose JVM reads it
+    whole = t.events.agg(F.count_min_sketch("user_id", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("c"), F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("user_id"), F.lit(0.5)).alias("k")).first()
+    sketch = spark._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(whole["c"])
+    top = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").first()
+    estimate = sketch.estimateCount(top["user_id"])
+    exact = t.events.agg(F.count_distinct("user_id").alias("n"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("user_id") < whole["k"]).alias("below"), F.count_if(F.col("user_id") <= whole["k"]).alias("upto"))
     close = lambda c: F.abs(F.col(c) - F.col("n")) <= F.col("n") * 0.1
-    return merged.crossJoin(exact).select(close("h").alias("hll_close"), close("th").alias("theta_close"), F.col("k").between(F.col("low"), F.col("top")).alias("kll_close"), (F.length("c") > 0).alias("count_min_not_below"))
+    kll = (F.col("below") <= F.col("all") * 0.53) & (F.col("upto") >= F.col("all") * 0.47)
+    count_min = F.lit(estimate).between(F.lit(top["n"]), F.lit(top["n"]) + F.col("all") * 0.002)
+    return merged.crossJoin(exact).select(close("h").alias("hll_close"), close("th").alias("theta_close"), kll.alias("kll_close"), count_min.alias("count_min_close"))
+
+
+@query("""
+with c as (select c_mktsegment, c_nationkey, count(*) as n from customer group by all),
+m as (select c_mktsegment, arg_min(c_nationkey, (-n, c_nationkey)) as common from c group by all)
+select c_mktsegment, common, names, cast(size as bigint) as size
+from m join (select c_mktsegment, string_agg(c_name, ';' order by c_custkey) as names, len(list(c_custkey)) as size from customer group by all) using (c_mktsegment)
+""")
+def p27_mode_and_lists(spark, t):
+    t.customer.createOrReplaceTempView("siltstone_customer")
+    return spark.sql("""
+        select c_mktsegment, mode(c_nationkey, true) as common, listagg(c_name, ';') within group (order by c_custkey) as names, cast(size(collect_list(c_custkey)) as bigint) as size
+        from siltstone_customer group by c_mktsegment""")
 
 
 @query("select c_mktsegment, arg_max(c_custkey, (c_acctbal, c_custkey)) as richest, string_agg(distinct cast(c_nationkey as varchar), ',' order by cast(c_nationkey as varchar)) as nations, list(c_nationkey order by c_custkey)[1] as first_nation from customer group by all")
@@ -301,6 +321,16 @@ def p36_sample(spark, t):
     return t.orders.sampleBy("o_orderstatus", {"F": 0.1, "O": 0.1, "P": 0.1}, seed=7).select("o_orderkey", "o_orderstatus")
 
 
+@query("select true as near_a_tenth, count(*) as rows, count(*) as ids from orders")
+def p36_sample_and_split(spark, t):
+    """sample() takes about a tenth, randomSplit() deals every row into one part; sampling is the feature."""
+    ids = t.orders.select("o_orderkey")
+    tenth = ids.sample(0.1, seed=7).agg(F.count(F.lit(1)).alias("s"))
+    a, b = ids.randomSplit([0.7, 0.3], seed=7)
+    both = a.unionByName(b).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
+    return tenth.crossJoin(both).select(F.col("s").between(F.col("rows") * 0.08, F.col("rows") * 0.12).alias("near_a_tenth"), "rows", "ids")
+
+
 @query("select o_orderkey, o_totalprice from orders where o_totalprice > (select avg(o_totalprice) * 1.8 from orders)")
 def p37_scalar_subquery(spark, t):
     mean = t.orders.select(F.avg("o_totalprice") * 1.8).scalar()

@@ -74,6 +74,22 @@ def p54_table_function(spark, t):
     return spark.sql("select s.p_partkey, s.i from siltstone_parts p, lateral siltstone_steps(p.p_partkey, p.p_size % 4) s")
 
 
+@query("select n_nationkey, n_nationkey * 10 as tens from nation where n_nationkey < 20")
+def p54_arrow_table_function(spark, t):
+    """A table function that takes a table and yields Arrow tables."""
+
+    @F.arrow_udtf(returnType="n_nationkey int, tens int")
+    class Tens:
+        def eval(self, batch: pa.RecordBatch):
+            key = batch.column("n_nationkey")
+            key = key.filter(pc.less(key, 20))
+            yield pa.table({"n_nationkey": key, "tens": pc.multiply(key, pa.scalar(10, pa.int32()))})
+
+    spark.udtf.register("siltstone_tens", Tens)
+    t.nation.select("n_nationkey").createOrReplaceTempView("siltstone_nations")
+    return spark.sql("select * from siltstone_tens(table(siltstone_nations))")
+
+
 @query("select l_orderkey, l_linenumber, l_quantity * 2 as twice from lineitem where l_quantity > 45")
 def p55_map_in_pandas(spark, t):
     def keep(frames):
