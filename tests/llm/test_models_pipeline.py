@@ -170,3 +170,27 @@ def test_pipeline(spark, tmp_path):
     assert 281 not in ids["near_dedup"] and 241 in ids["near_dedup"]
     assert ids["packing"] == ids["mixing"] <= ids["near_dedup"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_pipeline_takes_empty_tables_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, labels = toxic_corpus(120)
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean = [prose(random.Random(9), 60, 9000) for _ in range(3)]
+    rows = awkward() + [(200 + i, t, "en", f"s{i % 3}", 0, 1, 2, "a", 3, "r", 4) for i, t in enumerate(texts)]
+    rows += [(900, clean[0], "en", "s1", 0, 1, 2, "a", 3, "r", 4)] * 2 + [(900, clean[1], "en", "s1", 0, 1, 2, "a", 3, "r", 4), (None, clean[2], "en", None, 0, 1, 2, "a", 3, "r", 4)]
+    for name, df in (("full", frame(spark, rows)), ("none", empty(spark))):
+        docs, before = df, None
+        for i, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == df.columns
+                texts_left = [r.text for r in docs.collect()]
+                if stage == "exact_dedup":
+                    assert sorted(map(lower, texts_left)) == sorted({lower(t) for t in before})
+                elif stage != "mixing" and before is not None:
+                    assert set(texts_left) <= set(before)
+                before = texts_left
+        assert (docs.count() > 0) == (name == "full")

@@ -58,6 +58,29 @@ def test_more_star_rounds_change_nothing(spark):
     assert {r.doc_id: r.component_id for r in near_groups(documents(spark, texts), rounds=3).collect()} == want
 
 
+def test_rows_of_one_id_with_different_texts_link_through_it(spark):
+    a, b, c = (prose(random.Random(i), 100, 9000) for i in range(3))
+    rows = [(5, a), (5, b), (3, a + " end"), (9, b + " end"), (7, c), (None, c), (8, c.upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_groups(df).collect()
+    want = brute_near(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles) for r in got) == sorted((i is None, i or 0, len(shingles(t))) for i, t in rows)
+    assert {r.doc_id: r.component_id for r in got} == want | {None: None} and want[9] == 3
+    with pytest.raises(TypeError):
+        near_groups(df.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_unbounded_postings_and_texts_beyond_a_block(spark):
+    """Every token known as frequent goes as rows; texts of more than 1 MB link as others do."""
+    texts = near_texts(seed=2, groups=3, copies=8)
+    got = {r.doc_id: r.component_id for r in near_groups(documents(spark, texts), hot_finds=1).collect()}
+    assert got == brute_near(list(enumerate(texts)))
+    long = prose(random.Random(6), 300_000, 50_000)
+    assert len(long) > 1 << 20
+    got = {r.doc_id: r.component_id for r in near_groups(documents(spark, [long, long + " tail", "one " + long, long[::-1]])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_drop_near_copies(spark):
     texts = near_texts(seed=4)
     df = documents(spark, texts)
