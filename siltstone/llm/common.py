@@ -27,6 +27,24 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, `limit` of them at most and none of a lower level than another left out.
+
+    A level is a sixteenth of a power of two. Only the sizes of the levels, about a thousand
+    numbers at any size of the table, come to the driver; a sorted limit would bring `limit`
+    rows from each partition.
+    """
+    level = F.floor(F.log2(F.col(count)) * 16)
+    sizes = counts.groupBy(level.alias("_sl_level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = None, 0
+    for at, n in sorted(sizes, reverse=True):
+        total += n
+        if total > limit:
+            break
+        least = at
+    return counts.filter(F.lit(False) if least is None else level >= least)
+
+
 # ---------------------------------------------------------------------- prefix sums
 
 

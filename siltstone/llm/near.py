@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from siltstone.storage import cut_by, free
 
-from .common import ascii_lower, blocks, cut, mix, parts, range_hashes, signed, span_hashes, text_bytes, word_spans
+from .common import ascii_lower, blocks, cut, mix, most_frequent, parts, range_hashes, signed, span_hashes, text_bytes, word_spans
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 2
@@ -294,7 +294,7 @@ def _unique_groups(slim: DataFrame, sets: DataFrame, counts: DataFrame, k: int,
     texts = slim.filter("_sl_id is not null")
 
     def most(kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        top = counts.filter(F.col("kind") == kind).orderBy(F.desc("c"), "t").limit(limit).toPandas()
+        top = most_frequent(counts.filter(F.col("kind") == kind), "c", limit).toPandas()
         value = top["t"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(value)
         return value[order], top["c"].to_numpy(np.float64)[order]
