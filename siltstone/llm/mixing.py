@@ -201,12 +201,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, turn = docs.select("*", *[c.alias(f"_sl_own{i}") for i, c in enumerate(kin)]), F.lit(True)
     again = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_sl_rows")).filter("_sl_rows > 1"))
     if again.limit(1).count():
-        # rows alike in id, source and size share their uses in turn
+        # rows alike in id, source and size share their uses in turn, in an order of their texts that reruns keep
         met = [used[k].eqNullSafe(again[k]) for k in key]
         used = used.join(again, reduce(lambda a, b: a & b, met), "left").select(used["*"], F.coalesce("_sl_rows", F.lit(1)).alias("_sl_rows"))
         at = F.row_number().over(Window.partitionBy(*key).orderBy("_sl_slot", "_sl_pass", "_sl_place"))
         used = used.withColumn("_sl_turn", (at - 1) % F.col("_sl_rows") + 1)
-        texts = texts.withColumn("_sl_own", F.row_number().over(Window.partitionBy(*[f"_sl_own{i}" for i in range(3)]).orderBy(F.lit(0))))
+        texts = texts.withColumn("_sl_own", F.row_number().over(Window.partitionBy(*[f"_sl_own{i}" for i in range(3)]).orderBy(F.md5(F.col(text_col).cast("binary")))))
         turn = F.col("_sl_own") == F.col("_sl_turn")
     same = [texts[f"_sl_own{i}"].eqNullSafe(used[k]) for i, k in enumerate(key)]
     return texts.join(used, reduce(lambda a, b: a & b, same, turn)).orderBy("_sl_slot", "_sl_pass", "_sl_place").select(*docs.columns)

@@ -137,6 +137,13 @@ def test_mixed_documents(spark):
     assert mixed_documents(frame(spark)).count() > 0
 
 
+def test_mixed_documents_of_repeated_ids_agree_on_reruns(spark):
+    rows = [(i // 4, f"v{i % 4} " * 30, "en", f"s{i // 4 % 3}", 90) for i in range(80)]  # ids with four texts of one size
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    first, again = ([(r.doc_id, r.text) for r in mixed_documents(x, block_words=64).collect()] for x in (df.repartition(3, "text"), df.orderBy(F.desc("text"))))
+    assert first == again and len(first) > 40
+
+
 def test_min_cost_flow_is_least():
     supply, demand = [70, 20, 10], [25, 25, 25, 25]
     flows = min_cost_flow(supply, demand, lambda i, j: 0 if i == j else 1)
