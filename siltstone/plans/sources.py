@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone.operators import upsert
 from siltstone.registry import query
-from siltstone.sources import round_trip
+from siltstone.sources import create_table, read_jdbc, round_trip, write_jdbc
+from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
-from siltstone.storage import cut
+from siltstone.storage import cut, scratch_path
 
 
 @query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_shipdate < timestamp '1995-06-01' and l_quantity >= 40")
@@ -36,6 +39,16 @@ def p02_text(spark, t):
     return round_trip(t.nation.select(F.col("n_name").alias("value")), "text")
 
 
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def p02_jdbc(spark, t):
+    """Through the database that Spark ships with, in the memory of one JVM: so for local masters only."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, options = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    write_jdbc(t.nation.select("n_nationkey", "n_name", "n_regionkey"), url, "N", "overwrite", **options)
+    back = read_jdbc(spark, url, "N", "n_nationkey", 0, 25, 4, **options)
+    return back.select(*[F.col(c).alias(c.lower()) for c in back.columns])
+
+
 @query("select range as id, range * range as square from range(1000)")
 def p03_custom_source(spark, t):
     spark.dataSource.register(SeriesDataSource)
@@ -48,6 +61,21 @@ def p04_partitioned_sink(spark, t):
     return back.filter("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderstatus <> 'F'")
+def p03_custom_sink(spark, t):
+    """Written and read by a connector of our own."""
+    spark.dataSource.register(LinesDataSource)
+    path, orders = scratch_path(spark), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").filter("o_orderstatus <> 'F'")
+    orders.write.format("lines").mode("append").save(path)
+    return spark.read.format("lines").schema(orders.schema).load(path)
+
+
+@query("select o_orderstatus, count(*) as n, max(o_orderkey) as top from orders group by all")
+def p04_table_writer(spark, t):
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    return create_table(orders, ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("top"))
+
+
 @query("""
 select s_suppkey, s_name, case when s_suppkey % 3 = 0 then s_acctbal + 100 else s_acctbal end as s_acctbal from supplier where s_suppkey % 7 <> 0 or s_suppkey % 3 <> 0
 union all select s_suppkey + 1000000, s_name, 0.0 from supplier where s_suppkey % 10 = 1

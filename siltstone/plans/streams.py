@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.registry import query
+from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
-from siltstone.streaming import append_to_table, event_stream, latest_table, with_rocksdb
-from siltstone.streaming.stateful import RunningTotals, count_batches
+from siltstone.storage import scratch_path
+from siltstone.streaming import append_to_table, event_stream, in_files, latest_table, with_rocksdb
+from siltstone.streaming.stateful import RowTotals, RunningTotals, count_batches
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
@@ -26,7 +28,10 @@ def p48_stream_session(spark, t):
     return latest_table(sessions).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""
+with d as (select cast(date_trunc('day', ts) as timestamp) as day, count(*) as n from events group by 1)
+select * from d where day + interval 1 day <= (select max(ts) - interval 1 hour from events)
+""")
 def p49_watermark(spark, t):
     """Day windows in append mode: the watermark holds back those that may still get rows."""
     days = event_stream(spark, t.path("events")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
@@ -35,26 +40,39 @@ def p49_watermark(spark, t):
 
 @query("select event_id from events")
 def p50_stream_dedup(spark, t):
-    """Each event sent twice, once kept; one batch, so nothing is late."""
-    stream = event_stream(spark, t.path("events"), 10_000)
-    twice = stream.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withWatermark("ts", "1 hour")
-    return append_to_table(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
+    """Each event sent twice, mostly in different batches, once kept; the delay spans the table, so nothing is late."""
+    twice = t.events.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    stream = event_stream(spark, in_files(twice, 4)).withWatermark("ts", "3650 days")
+    return append_to_table(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
 
 
-@query("select user_id, count(*) as n, round(sum(value), 2) as total from events group by all")
-def p51_transform_with_state(spark, t):
+TOTALS = "select user_id, count(*) as n, round(sum(value), 2) as total from events group by all"
+
+
+def _totals(spark, t, apply):
+    """Totals per user over four batches: each user's newest row has what all batches brought."""
+
     def run():
-        stream = event_stream(spark, t.path("events"), 10_000)
-        totals = stream.groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id long, n long, total double", "Update", "None")
-        return append_by_batch(totals)
+        stream = event_stream(spark, in_files(t.events, 4))
+        return append_by_batch(apply(stream.groupBy("user_id")))
 
     rows = with_rocksdb(spark, run)
     return rows.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("x")).select("user_id", "x.n", F.round("x.total", 2).alias("total"))
 
 
+@query(TOTALS)
+def p51_transform_with_state(spark, t):
+    return _totals(spark, t, lambda g: g.transformWithStateInPandas(RunningTotals(), "user_id long, n long, total double", "Update", "None"))
+
+
+@query(TOTALS)
+def p51_transform_rows_with_state(spark, t):
+    return _totals(spark, t, lambda g: g.transformWithState(RowTotals(), "user_id long, n long, total double", "Update", "None"))
+
+
 @query("select event_type, count(*) as n from events group by all")
 def p51_apply_with_state(spark, t):
-    counts = event_stream(spark, t.path("events"), 10_000).groupBy("event_type").applyInPandasWithState(count_batches, "event_type string, n long", "n long", "update", "NoTimeout")
+    counts = event_stream(spark, in_files(t.events, 4)).groupBy("event_type").applyInPandasWithState(count_batches, "event_type string, n long", "n long", "update", "NoTimeout")
     return append_by_batch(counts).groupBy("event_type").agg(F.max("n").alias("n"))
 
 
@@ -64,10 +82,18 @@ def p03_custom_stream(spark, t):
     return append_to_table(spark.readStream.format("series").options(n=40, step=40).load())
 
 
+@query("select event_id, user_id, value from events where event_type = 'click'")
+def p03_custom_stream_sink(spark, t):
+    """A stream of four batches into a connector of our own, a commit for each batch."""
+    spark.dataSource.register(LinesDataSource)
+    path, clicks = scratch_path(spark), event_stream(spark, in_files(t.events, 4)).filter("event_type = 'click'").select("event_id", "user_id", "value")
+    q = clicks.writeStream.format("lines").option("path", path).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.format("lines").schema(clicks.schema).load(path)
+
+
 def append_by_batch(stream):
     """A stream in update mode, every batch's rows kept; the last row of a key is its newest."""
-    from siltstone.storage import scratch_path
-
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
     q = (
         stream.writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))

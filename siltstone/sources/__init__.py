@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.storage import scratch_path
@@ -31,6 +33,16 @@ def round_trip(df: DataFrame, fmt: str, **options) -> DataFrame:
     return read(df.sparkSession, fmt, path, df.schema, **options)
 
 
+def create_table(df: DataFrame, partition_by: list[str] = ()) -> DataFrame:
+    """df written as a table of the catalog, and the table's files; the catalog forgets it, its files are scratch files."""
+    spark, name = df.sparkSession, f"siltstone_{uuid.uuid4().hex}"
+    path = scratch_path(spark)
+    writer = df.writeTo(name).using("parquet").option("path", path)
+    (writer.partitionedBy(*[df[c] for c in partition_by]) if partition_by else writer).create()
+    spark.sql(f"DROP TABLE {name}")  # an outside table: its files stay
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low=None, high=None, n: int = 1, **options) -> DataFrame:
     """A JDBC table; with a column and its bounds, n partitions read ranges of it side by side."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)

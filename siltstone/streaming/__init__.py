@@ -21,6 +21,13 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return stream.withColumn("ts", utc(stream["ts"]))
 
 
+def in_files(table: DataFrame, n: int) -> str:
+    """Path of a copy of the table in n files, so that a stream of one file a batch has n batches."""
+    path = scratch_path(table.sparkSession)
+    table.repartition(n).write.parquet(path)
+    return path
+
+
 def append_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into a Parquet table with exactly-once files; returns the table."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession)

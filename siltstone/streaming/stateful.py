@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 
@@ -25,6 +26,17 @@ class RunningTotals(StatefulProcessor):
         return None
 
 
+class RowTotals(RunningTotals):
+    """The same, a row at a time."""
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        n, total = self.totals.get() if self.totals.exists() else (0, 0.0)
+        for row in rows:
+            n, total = n + 1, total + float(row["value"] or 0.0)
+        self.totals.update((n, total))
+        yield Row(user_id=key[0], n=n, total=total)
+
+
 def count_batches(key, frames, state):
     """For applyInPandasWithState: rows of each event type over all batches."""
     n = state.get[0] if state.exists else 0

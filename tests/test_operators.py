@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -75,3 +76,39 @@ def test_jdbc_round_trip(spark):
     back = read_jdbc(spark, url, "T", "k", 0, 20, 4, **options)
     assert back.rdd.getNumPartitions() == 4
     assert sorted((r[0], r[1]) for r in back.collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_lines_connector(spark):
+    from siltstone.sources.lines import LinesDataSource
+    from siltstone.storage import scratch_path
+
+    spark.dataSource.register(LinesDataSource)
+    path, kinds = scratch_path(spark), "k bigint, s string, d date, t timestamp_ntz, a array<int>"
+    day, at = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 1, 2, 3, 4)
+    one = [(1, "a\nb\u2028c", day, at, [1, None]), (None, None, None, None, None)]
+    df = spark.createDataFrame(one, kinds)
+    back = lambda: sorted(map(tuple, spark.read.format("lines").schema(kinds).load(path).collect()), key=repr)
+    df.write.format("lines").mode("append").save(path)
+    assert back() == sorted(one, key=repr)
+    df.write.format("lines").mode("append").save(path)
+    assert back() == sorted(one * 2, key=repr)
+    df.limit(0).write.format("lines").mode("append").save(path)
+    assert back() == sorted(one * 2, key=repr)
+    df.filter("k = 1").write.format("lines").mode("overwrite").save(path)
+    assert back() == one[:1]
+
+
+def test_lines_stream_batch_replaces_its_first_run(tmp_path):
+    from siltstone.sources.lines import LinesReader, LinesStreamWriter
+    from pyspark.sql import Row
+    from pyspark.sql.types import StructType
+
+    path, writer = str(tmp_path / "t"), LinesStreamWriter(str(tmp_path / "t"))
+    lost = writer.write(iter([Row(k=7)]))  # a task whose message never came
+    for rows in ([Row(k=1)], [Row(k=1), Row(k=2)]):
+        writer.commit([writer.write(iter(rows)), None], 0)
+    writer.commit([writer.write(iter([]))], 1)
+    reader = LinesReader(path, StructType.fromDDL("k bigint"))
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [(1,), (2,)]
+    writer.abort([lost, None], 2)
+    assert not (tmp_path / "t" / lost.file).exists()
