@@ -6,11 +6,12 @@ partition its global offset: a prefix sum in two passes. The second pass cuts th
 row of tokens into windows of `length` ids; a document across a boundary gives one piece
 for each window it touches. Only the last sequence can have padding.
 
-The tokenizer is never trained. Pre-tokens are looked up in a bounded cache of the worker,
+The tokenizer is never trained. Where its file has the normaliser, the splitter and the kind
+of model that FORM states, pre-tokens are looked up in a bounded cache of the worker,
 because the public tokenizer takes most of its time to normalise text that it has seen
 before. Whatever is not plainly covered (letters beyond Latin-1, unusual white space,
 special-token strings) goes through the tokenizer itself; the ids are the same either way,
-which the tests check.
+which the tests check. Any other tokenizer is used as it is.
 
 Defined cases: null text is empty and gives the end id alone. Rows repeated with one id are
 packed as documents of their own. A null id stays null. An empty table gives no pieces.
@@ -18,6 +19,7 @@ packed as documents of their own. A null id stays null. An empty table gives no
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -32,6 +34,19 @@ from .common import cut
 #: Entries of the worker's cache; at the limit it is emptied.
 PIECES = 600_000
 
+#: The pattern by which the word BPE finds pre-tokens, and the parts of its file that CachedWordBpe stands for.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _BYTE_CHARS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -61,7 +76,7 @@ class CachedWordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(WORD_PATTERN).findall
         self.bytes = _byte_map()
         self.beyond = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xff]|<\|").search
         self.mixed = re.compile(r"[^a-z\xdf-\xf6\xf8-\xff\t-\r .,]|[.,][.,]").search
@@ -96,13 +111,25 @@ class CachedWordBpe:
         return b"".join([self._latin(c.lower()) if self.latin(c) else self._whole(c) for c in text.split()])
 
 
+def has_form(path: str) -> bool:
+    """Whether CachedWordBpe gives this tokenizer's ids: its file has FORM, a BPE of ids below 65536, and added tokens that start with <|."""
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    model, added = form.get("model", {}), form.get("added_tokens") or []
+    ids = [*model["vocab"].values(), *(x["id"] for x in added)] if model.get("type") == "BPE" and model.get("vocab") else [1 << 16]
+    whole = not model.get("dropout") and not form.get("truncation") and not form.get("padding")
+    return whole and all(form.get(k) == v for k, v in FORM.items()) and max(ids) < 1 << 16 and all(x["content"].startswith("<|") for x in added)
+
+
 class PlainTokenizer:
-    """Any tokenizer file, without caches, as uint32 bytes."""
+    """Any tokenizer file, without caches, as uint32 bytes; whole texts, whatever limit the file sets."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -117,11 +144,15 @@ def _tokenizer(path: str, cached: bool):
     return _loaded[path, cached]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cached: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cached: bool | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids (uint32 little-endian bytes), ids_crc32, doc_tokens, sequence_id, offset.
 
-    cached: the fast form for the word BPE whose ids are below 65536; otherwise any tokenizer.
+    cached: whether pre-tokens are looked up; None where the tokenizer's file allows it, True
+    for a file that doesn't is refused with a ValueError.
     """
+    if cached and not has_form(tokenizer_path):
+        raise ValueError(f"pack: {tokenizer_path} can't be cached")
+    cached = has_form(tokenizer_path) if cached is None else cached
     id_type = docs.schema[id_col].dataType.simpleString()
     width = "<u2" if cached else "<u4"
 

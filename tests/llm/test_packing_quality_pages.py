@@ -1,13 +1,14 @@
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-from frames import awkward, empty, frame, prose, words
+from frames import awkward, documents, empty, frame, prose, words
 from tokenizers import Tokenizer
 
-from siltstone.llm.packing import CachedWordBpe, pack
+from siltstone.llm.packing import CachedWordBpe, has_form, pack
 from siltstone.llm.quality import quality
 from siltstone.llm.templates import extract
 
@@ -42,6 +43,23 @@ def test_pack_round_trip(spark, cached):
     assert pack(empty(spark), PATH).count() == 0
 
 
+def test_other_tokenizers_are_not_cached(spark, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert has_form(PATH) and not has_form(other)
+    changed = json.loads(open(PATH, encoding="utf-8").read())
+    changed["truncation"] = {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}
+    limited = tmp_path / "limited.json"
+    limited.write_text(json.dumps(changed), encoding="utf-8")
+    assert not has_form(str(limited))
+    for path, whole in ((other, other), (str(limited), PATH)):
+        with pytest.raises(ValueError):
+            pack(frame(spark), path, 64, cached=True)
+        plain, ids = Tokenizer.from_file(whole), {}
+        for p in sorted(pack(documents(spark, ["Don't STOP  now <b> é 12", "", "x" * 300 + " y"]), path, 64).collect(), key=lambda p: p.start):
+            ids[p.doc_id] = ids.get(p.doc_id, []) + np.frombuffer(p.ids, "<u4").tolist()
+        assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(["Don't STOP  now <b> é 12", "", "x" * 300 + " y"])}
+
+
 def brute_quality(text):
     text = text or ""
     w = words(text)
