@@ -17,6 +17,10 @@ outside <article> and <main>: a line that every article has, such as its author,
 the articles. A page whose own text is template throughout keeps it: template is removed
 beside other text only.
 
+Scale: where templates are too large to broadcast, pages meet them by host; those of a host
+with more than one task's share of the pages are dealt to several tasks by a hash of the row,
+so only rows alike in key, url and html stay together.
+
 A host too small or too mixed for a template still has its pages read by the same rules
 from the whole body.
 
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts
 
 #: Least tokens of a class, least share of the host's distinct pages and least of them that it is on.
 CLASS, SHARE, PAGES = 3, 0.9, 3
@@ -285,11 +289,22 @@ def _host(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+def _salts(slim: DataFrame, total: int, n_tasks: int) -> DataFrame:
+    """(host, tasks) of each host with more pages than one task's share: fewer than n_tasks rows."""
+    counts = slim.groupBy("_sl_host").agg(F.count(F.lit(1)).alias("c"))
+    hot = counts.filter(F.col("c") * n_tasks > total).select("_sl_host", F.ceil(F.col("c") * n_tasks / total)).collect() if total else []
+    return slim.sparkSession.createDataFrame([tuple(r) for r in hot], "_sl_host string, _sl_salts bigint")
+
+
 def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars."""
     templates = deduce(pages, url_col, html_col)
     slim = pages.select(F.col(key_col).alias("_sl_key"), F.col(url_col).alias("_sl_url"), _host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
-    joined = slim.join(templates, "_sl_host", "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template", "_sl_low", "_sl_high")
+    # pages of a hot host go to as many tasks as they need; only such a host's template is repeated
+    hot, one = F.broadcast(_salts(slim, pages.count(), parts(pages.sparkSession))), F.lit(1)
+    spread = slim.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.pmod(F.xxhash64("_sl_key", "_sl_url", "_sl_html"), F.coalesce("_sl_salts", one))).drop("_sl_salts")
+    templates = templates.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_sl_salts", one) - 1))).drop("_sl_salts")
+    joined = spread.join(templates, ["_sl_host", "_sl_salt"], "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template", "_sl_low", "_sl_high")
     kind = pages.schema[key_col].dataType.simpleString()
     done = joined.mapInArrow(_extract, f"_sl_key {kind}, _sl_url string, text string")
     return done.select(F.col("_sl_key").alias(key_col), F.col("_sl_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from siltstone.llm.packing import CachedWordBpe, has_form, pack
 from siltstone.llm.quality import quality
-from siltstone.llm.templates import extract
+from siltstone.llm.templates import _host, _salts, extract
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -208,3 +208,19 @@ def test_names_of_wrappers_do_not_mark_the_article(spark, wrapper):
     rows = spark.createDataFrame([(1, None, html), (2, "http://g.example", plain)], "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in extract(rows).collect()}
     assert got == {1: "Title\nBy me\nText of the article", 2: "Title\nText of the article"}
+
+
+def test_pages_of_a_hot_host_are_dealt_to_several_tasks(spark):
+    page = "<html><body><div><p>Subscribe today for more</p></div><div><h2>H{0}</h2><p>Body of page {0} is long enough to count</p></div><div><p>All rights kept</p></div></body></html>"
+    rows = [(i, "http://hot.example/x" if i % 3 else f"http://c{i % 2}.example/{i}", page.format(i)) for i in range(90)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    salts = {r[0]: r[1] for r in _salts(df.select(_host("url").alias("_sl_host")), len(rows), 8).collect()}
+    assert salts["hot.example"] == 6 and len(salts) < 8
+    assert _salts(df.limit(0).select(_host("url").alias("_sl_host")), 0, 8).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = extract(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.page_id is None, r.page_id or 0, r.text) for r in got) == sorted((r[0] is None, r[0] or 0, f"H{r[0]}\nBody of page {r[0]} is long enough to count" if r[2] else "") for r in rows)
