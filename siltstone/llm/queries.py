@@ -1,4 +1,4 @@
-"""The eleven queries of the training-data operators, and SQL for those that SQL can express."""
+"""The queries of the training-data operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .mixing import BLOCK_WORDS, GOLDEN, LOW_BITS, high_step
 
 #: Production parameters of the queries.
-SEQUENCE, OLD_SHARDS, NEW_SHARDS = 4096, 16, 24
+SEQUENCE, OLD_SHARDS, NEW_SHARDS, BUCKETS = 4096, 16, 24, 10_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024, max_run=1, buckets=BUCKETS)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {k: v for k, v in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0][:2] == "op" and x[0][2:3].isdigit() else 0) if k[:2] == "op" and k[2:3].isdigit()}
 
@@ -167,5 +187,56 @@ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, no
 """
 
 
+OP11_SQL = rf"""
+with bits as (select cast(b as bigint) as b from range(256) x(b)),
+r1 as (select b, case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end as c from bits),
+r2 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r1),
+r3 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r2),
+r4 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r3),
+r5 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r4),
+r6 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r5),
+r7 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r6),
+r8 as (select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from r7),
+tab as (select list(c order by b) as l from r8),
+d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+m as (select regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+p as (select r, word, count(*) as n from (select r, unnest(w) as word from d) group by all),
+q as (select word, count(*) as n from (select unnest(w) as word from m) group by all),
+v as (select distinct word from (select word from p union all select word from q)),
+x as (select word, hex(encode(word)) as h from v),
+y as (select word, list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda k: cast('0x' || substr(h, cast(k as int), 2) as bigint))) as l from x),
+b as (select word, xor(list_reduce(y.l, lambda c, e: xor(c >> 8, tab.l[cast(xor(c & 255, e) + 1 as int)])), 4294967295) % {BUCKETS} as bucket from y, tab),
+s as (select bucket, sum(n) as s from p join b using (word) group by bucket),
+t as (select bucket, sum(n) as t from q join b using (word) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((cast(coalesce(t, 0) as double) + 1) * (cast((select coalesce(sum(s), 0) from s) as double) + {BUCKETS})
+        / ((cast(coalesce(s, 0) as double) + 1) * (cast((select coalesce(sum(t), 0) from t) as double) + {BUCKETS})))) as bigint) as gain from s full join t using (bucket)),
+u as (select r, sum(n) as n, sum(n * gain) as total from p join b using (word) join g using (bucket) group by r),
+w as (select d.doc_id, len(w) as n_words, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce((total - ((total % n) + n) % n) // n, 0) as bigint) as weight,
+             cast('0x' || substr(sha256('2024:' || coalesce(cast(d.doc_id as varchar), '')), 1, 8) as bigint) as h from d left join u using (r)),
+z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from w),
+o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as turn from z)
+select doc_id, n_features, weight, score, case when n_words >= 20 and turn <= (select count(*) from z where n_words >= 20) * 10 // 100 then turn end as rank from o
+"""
+
+OP12_SQL = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+o as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term from (select distinct r, lang, term from o) group by all having count(*) >= 10),
+v as (select lang, count(*) as v from kept group by lang),
+grp as (select distinct lang, source from d),
+c0 as (select lang, source, term, count(*) as c from o join kept using (lang, term) group by all),
+c as (select g.lang, g.source, k.term, coalesce(c0.c, 0) as c from grp g join kept k using (lang) left join c0 on c0.lang = g.lang and c0.source = g.source and c0.term = k.term),
+n as (select lang, source, sum(c) as n from c group by all),
+p as (select lang, source, term, c, 1 + (1000000000::hugeint * (c + 2)) // (n + 2 * v) as p from c join n using (lang, source) join v using (lang)),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(c) + 2)) // (any_value(m) + 2 * any_value(v)) as q from c join v using (lang) join (select lang, sum(n) as m from n group by lang) using (lang) group by all),
+pair as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+          from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value from p join q using (lang, term) where c > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL, "op9_near_duplicates": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op11_importance_resampling": OP11_SQL, "op12_source_divergence": OP12_SQL, "op10_quality_rules": OP10_SQL, "op9_near_duplicates": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
