@@ -23,8 +23,10 @@ empty table gives an empty result. Extra columns are never read.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,55 +45,61 @@ SLICE, LEAVES, CHUNK = 1 << 20, 1 << 20, 1024
 
 
 class RadixTrie:
-    """A byte trie with compressed edges. A node is [edge, children by first byte, counters or None]."""
+    """A byte trie with compressed edges. A node is [edge, children by first byte, leaf or None]; a leaf is [documents, occurrences by source]."""
 
     def __init__(self):
         self.root = [b"", {}, None]
         self.leaves = 0
 
-    def counters(self, term: bytes) -> Counter:
-        """The counters of a term, made when it is new: occurrences by source, documents at None."""
+    def node(self, term: bytes) -> list:
+        """The node of a term, made when it is new; its leaf may be None."""
         node, at = self.root, 0
         while at < len(term):
-            child = node[1].get(term[at])
+            children = node[1]
+            child = children.get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, len(term)
-                break
+                node = children[term[at]] = [term[at:], {}, None]
+                return node
             edge = child[0]
             if not term.startswith(edge, at):
                 same, most = 1, min(len(edge), len(term) - at)
                 while same < most and edge[same] == term[at + same]:
                     same += 1
                 # the edge is split where the term leaves it
-                upper = node[1][term[at]] = [edge[:same], {edge[same]: child}, None]
-                child[0] = edge[same:]
-                child = upper
-            node, at = child, at + len(child[0])
-        if node[2] is None:
-            node[2] = Counter()
+                upper = children[term[at]] = [edge[:same], {edge[same]: child}, None]
+                child[0] = edge = edge[same:]
+                child, edge = upper, upper[0]
+            node = child
+            at += len(edge)
+        return node
+
+    def add(self, term: bytes, documents: int, occurrences: dict) -> None:
+        """Add to the leaf of a term; a new leaf takes `occurrences` as its own."""
+        node = self.node(term)
+        leaf = node[2]
+        if leaf is None:
+            node[2] = [documents, occurrences]
             self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, source, occurrences: int, documents: int = 0) -> None:
-        counters = self.counters(term)
-        counters[source] += occurrences
-        counters[None] += documents
+            return
+        leaf[0] += documents
+        for source, n in occurrences.items():
+            leaf[1][source] = leaf[1].get(source, 0) + n
 
     def traverse(self):
-        """(term, counters) in the order of the terms' bytes."""
+        """(term, leaf) in the order of the terms' bytes."""
         stack = [(b"", self.root)]
         while stack:
             prefix, node = stack.pop()
             prefix += node[0]
             if node[2] is not None:
                 yield prefix, node[2]
-            for first in sorted(node[1], reverse=True):
-                stack.append((prefix, node[1][first]))
+            children = node[1]
+            for first in sorted(children, reverse=True) if len(children) > 1 else children:
+                stack.append((prefix, children[first]))
 
     def merge(self, other: RadixTrie) -> None:
-        for term, counters in other.traverse():
-            self.counters(term).update(counters)
+        for term, (documents, occurrences) in other.traverse():
+            self.add(term, documents, dict(occurrences))
 
 
 def _pieces(text: bytes):
@@ -115,7 +123,7 @@ class TermCounts:
         self.documents: dict[str, Counter] = defaultdict(Counter)
 
     def count(self, lang: str, source: str, text: bytes) -> None:
-        self.tries[lang].add(b"", source, 1)
+        self.tries[lang].add(b"", 0, {source: 1})
         low, seen, group = text.translate(_LOWER), set(), self.terms[lang, source]
         for piece in _pieces(low):
             found = _TERM(piece)
@@ -127,17 +135,34 @@ class TermCounts:
         return sum(map(len, self.terms.values())) + sum(t.leaves for t in self.tries.values())
 
     def settle(self) -> None:
+        by_lang: dict[str, dict[bytes, dict[str, int]]] = defaultdict(dict)
         for (lang, source), counts in self.terms.items():
+            terms = by_lang[lang]
             for term, n in counts.items():
-                self.tries[lang].add(term, source, n)
-        for lang, counts in self.documents.items():
-            for term, n in counts.items():
-                self.tries[lang].counters(term)[None] += n
+                if term in terms:
+                    terms[term][source] = n
+                else:
+                    terms[term] = {source: n}
+        for lang, terms in by_lang.items():
+            add, documents = self.tries[lang].add, self.documents[lang]
+            for term, occurrences in terms.items():
+                add(term, documents[term], occurrences)
         self.terms.clear()
         self.documents.clear()
 
 
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("counters", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+#: Leaves of an Arrow batch.
+_BATCH = 10_000
+
+
+def _batch(lang: str, terms: list[bytes], leaves: list[list]) -> pa.RecordBatch:
+    ends = np.cumsum([0] + [len(x[1]) for x in leaves], dtype=np.int32)
+    sources = pa.array([s for x in leaves for s in x[1]], pa.string())
+    n = pa.array([v for x in leaves for v in x[1].values()], pa.int64())
+    counters = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([sources, n], fields=list(_LEAF.field("counters").type.value_type)))
+    arrays = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([x[0] for x in leaves], pa.int64()), counters]
+    return pa.RecordBatch.from_arrays(arrays, names=_LEAF.names)
 
 
 def _leaves(batches):
@@ -146,21 +171,21 @@ def _leaves(batches):
     def emit():
         counts.settle()
         for lang, trie in counts.tries.items():
-            rows = []
-            for term, counters in trie.traverse():
-                rows.append({"lang": lang, "term": term.decode(), "docs": counters[None], "counters": [{"source": s, "n": n} for s, n in counters.items() if s is not None]})
-                if len(rows) == 10_000:
-                    yield pa.RecordBatch.from_pylist(rows, _LEAF)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, _LEAF)
+            walk = trie.traverse()
+            while some := list(islice(walk, _BATCH)):
+                yield _batch(lang, *map(list, zip(*some)))
         counts.tries.clear()
 
-    for b in batches:
-        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            counts.count(lang, source, text.as_buffer().to_pybytes())
-            if counts.size() > LEAVES:
-                yield from emit()
-    yield from emit()
+    gc.disable()  # tries are millions of containers without a cycle, which the collector would walk again and again
+    try:
+        for b in batches:
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                counts.count(lang, source, text.as_buffer().to_pybytes())
+                if counts.size() > LEAVES:
+                    yield from emit()
+        yield from emit()
+    finally:
+        gc.enable()
 
 
 def term_leaves(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
