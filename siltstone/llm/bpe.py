@@ -9,10 +9,12 @@ it agrees only in its outer words, its ids take the place of the ends, and else
 is encoded again. So the ids are those of the whole text. Ids are decoded by the tokenizer's own
 rule.
 
-Scale: tasks send a chunk once however often they meet it; a chunk in many documents is one row of
-the encoded table, and its many references meet it in a sort-merge join that adaptive execution
-splits. Documents are put together in the order of (document, place), streaming, so a task holds
-one document. Scratch tables are freed when the next is written.
+Scale: a scan deals chunks and references to groups by the chunk's hash, packed: a task sends a
+chunk once however often it meets it, and a group is encoded and answered in one pass, so that
+neither texts nor ids are joined. Chunks with more than their group's share of all references,
+found by a count beforehand, are dealt by block instead and encoded once in each group that asks.
+Documents are put together in the order of (document, place), streaming, so a task holds one
+document and the ids of one group's chunks.
 
 Defined cases: null text is empty and has no ids. A null id stays null. Rows that repeat an id are
 documents of their own. An empty table gives no rows. A text without white space is one chunk.
@@ -22,9 +24,11 @@ Extra columns are never read. Truncation and padding that a tokenizer's file ask
 from __future__ import annotations
 
 import hashlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,10 @@ from .packing import _tokenizer, has_form
 WINDOW, MEAN, LEAST, MOST = 4, 128, 32, 1024
 #: Words on each side of a join that are encoded together.
 ROUND = 2
-#: Bytes of text cut at a time; hashes that a task remembers as sent.
+#: Bytes of text cut at a time; hashes that a task remembers.
 BLOCK, SENT = 1 << 22, 1 << 20
+#: Groups of chunks for each shuffle partition; references from which a chunk can be hot.
+GROUPS, HOT = 4, 64
 
 
 def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> list[list[tuple[int, int, bytes, bytes]]]:
@@ -73,42 +79,88 @@ def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> list[list[tuple
     return out
 
 
-def _chunk_texts(batches):
-    """The distinct chunks of a task."""
-    sent: set[bytes] = set()
-    for b in slices(batches, "_sl_text", BLOCK):
-        data, off = text_bytes(b.column("_sl_text"))
-        hashes, texts = [], []
-        for chunks in cuts(data, off):
-            for s, e, _, _ in chunks:
-                text = data[s:e].tobytes()
-                h = hashlib.md5(text).digest()
-                if h not in sent:
-                    sent.add(h)
-                    hashes.append(h)
-                    texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(texts, pa.binary())], names=["h", "chunk"])
-        if len(sent) > SENT:
-            sent.clear()
-
-
-def _references(batches):
-    """Per document its chunks' hashes and the words round its joins."""
-    from pyspark import TaskContext
-
-    row = TaskContext.get().partitionId() << 36
+def _hashes(batches):
+    """How often a task meets each chunk."""
+    met: Counter = Counter()
+
+    def emit():
+        batch = pa.RecordBatch.from_arrays([pa.array(list(met), pa.binary()), pa.array(list(met.values()), pa.int64())], names=["h", "n"])
+        met.clear()
+        return batch
+
     for b in slices(batches, "_sl_text", BLOCK):
         data, off = text_bytes(b.column("_sl_text"))
-        found = cuts(data, off)
-        cols = {
-            "row": pa.array(np.arange(row, row + len(found))), "id": b.column("_sl_id"),
-            "md5": pa.array([hashlib.md5(data[i:j].tobytes()).digest() for i, j in zip(off[:-1], off[1:])], pa.binary()),
-            "hashes": pa.array([[hashlib.md5(data[s:e].tobytes()).digest() for s, e, _, _ in x] for x in found], pa.list_(pa.binary())),
-            "tails": pa.array([[t for _, _, t, _ in x[1:]] for x in found], pa.list_(pa.binary())),
-            "heads": pa.array([[h for _, _, _, h in x[1:]] for x in found], pa.list_(pa.binary())),
-        }
-        yield pa.RecordBatch.from_pydict(cols)
-        row += len(found)
+        met.update(hashlib.md5(data[s:e].tobytes()).digest() for chunks in cuts(data, off) for s, e, _, _ in chunks)
+        if len(met) > SENT:
+            yield emit()
+    yield emit()
+
+
+def _pack(chunks: list[bytes]) -> bytes:
+    lengths = np.array([len(c) for c in chunks], "<u4")
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(chunks)], "<u4").tobytes() + lengths.tobytes() + b"".join(chunks))
+
+
+def _unpack(blob: bytes):
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    at = 4 + 4 * n
+    for k in np.frombuffer(raw[4:at], "<u4").tolist():
+        yield raw[at : at + k]
+        at += k
+
+
+#: Rows that a scan deals to groups of chunks: documents, texts of chunks, references to chunks.
+_DOCUMENT, _TEXTS, _REFERENCES = range(3)
+
+
+def _dealing(hot: set[bytes], groups: int):
+    """Per block and group: its new chunks in one blob and its references in another; a row for each document beside.
+
+    A chunk's group follows from its hash; a hot chunk goes to the group of the block that refers to it.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        row, block, sent = part << 36, part * 7919, set()
+        for b in slices(batches, "_sl_text", BLOCK):
+            data, off = text_bytes(b.column("_sl_text"))
+            texts, refs, docs = defaultdict(list), defaultdict(list), []
+            own, block = block % groups, block + 1
+            for i, chunks in enumerate(cuts(data, off)):
+                for place, (s, e, _, _) in enumerate(chunks):
+                    text = data[s:e].tobytes()
+                    h = hashlib.md5(text).digest()
+                    group = own if h in hot else int.from_bytes(h[:8], "little") % groups
+                    key = (h, group) if h in hot else h
+                    if key not in sent:
+                        sent.add(key)
+                        texts[group].append(text)
+                    refs[group].append((row + i, place, h))
+                docs.append((row + i, hashlib.md5(data[off[i] : off[i + 1]].tobytes()).digest(), [x[2] for x in chunks[1:]], [x[3] for x in chunks[1:]]))
+            if len(sent) > SENT:
+                # chunks met again are sent again, into the same group
+                sent.clear()
+            n = len(docs)
+            yield _dealt([d[0] % groups for d in docs], [_DOCUMENT] * n, [None] * n, [d[0] for d in docs], b.column("_sl_id"), *([d[k] for d in docs] for k in (1, 2, 3)))
+            blobs = [(g, _TEXTS, _pack(x)) for g, x in texts.items()]
+            blobs += [(g, _REFERENCES, np.array([x[0] for x in r], "<u8").tobytes() + np.array([x[1] for x in r], "<u8").tobytes() + b"".join(x[2] for x in r)) for g, r in refs.items()]
+            n = len(blobs)
+            if n:
+                yield _dealt([x[0] for x in blobs], [x[1] for x in blobs], [x[2] for x in blobs], [None] * n, pa.nulls(n, b.schema.field("_sl_id").type), *([None] * n,) * 3)
+            row += len(docs)
+
+    return run
+
+
+def _dealt(group, kind, blob, row, ids, md5, tails, heads):
+    some = pa.list_(pa.binary())
+    return pa.RecordBatch.from_pydict(
+        {"grp": pa.array(group, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary()), "row": pa.array(row, pa.int64()), "id": ids}
+        | {"md5": pa.array(md5, pa.binary()), "tails": pa.array(tails, some), "heads": pa.array(heads, some)}
+    )
 
 
 def decoder(path: str):
@@ -158,23 +210,42 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).alias("_sl_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_sl_text"))
     id_type = slim.schema["_sl_id"].dataType.simpleString()
 
+    n = parts(spark)
+    met = slim.select("_sl_text").mapInArrow(_hashes, "h binary, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    met = cut(met.filter("n > 1"))
+    # a number, and at most GROUPS * n hashes: each has a share of one in that many of all references to chunks met twice
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = {bytes(r[0]) for r in met.filter((F.col("n") * GROUPS * n > total) & (F.col("n") >= HOT)).select("h").collect()}
+    free(met)
+
     def encode_once(batches):
-        encode, seen = _tokenizer(tokenizer_path, cached).encode, set()
+        encode, group, known = _tokenizer(tokenizer_path, cached).encode, None, {}
         for b in batches:
-            hashes, ids = [], []
-            for h, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if h not in seen:
-                    seen.add(h)
-                    hashes.append(h)
-                    ids.append(encode(chunk.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=["h", "ids"])
-
-    n = parts(spark)
-    encoded = cut(slim.select("_sl_text").mapInArrow(_chunk_texts, "h binary, chunk binary").repartition(n, "h").mapInArrow(encode_once, "h binary, ids binary"))
-    refs = cut(slim.mapInArrow(_references, f"row bigint, id {id_type}, md5 binary, hashes array<binary>, tails array<binary>, heads array<binary>"))
-    placed = refs.select("row", F.posexplode("hashes").alias("place", "h")).join(encoded.hint("merge"), "h").select("row", "place", "ids")
-    heads = refs.select("row", F.lit(-1).alias("place"), "id", "md5", "tails", "heads")
-    rows = heads.unionByName(placed, allowMissingColumns=True).repartition(n, "row").sortWithinPartitions("row", "place")
+            found = []
+            for i, (g, kind, blob) in enumerate(zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "blob")))):
+                if g != group:
+                    group, known = g, {}
+                if kind == _TEXTS:
+                    for text in _unpack(blob):
+                        h = hashlib.md5(text).digest()
+                        if h not in known:
+                            known[h] = encode(text.decode())
+                elif kind == _REFERENCES:
+                    k = len(blob) // 32
+                    at = np.frombuffer(blob, "<u8", 2 * k).astype(np.int64)
+                    found += [(r, p, known[blob[16 * (k + j) : 16 * (k + j + 1)]]) for j, (r, p) in enumerate(zip(at[:k].tolist(), at[k:].tolist()))]
+            docs = b.filter(pa.compute.equal(b.column("kind"), _DOCUMENT))
+            yield pa.RecordBatch.from_arrays([docs.column("row"), pa.array(np.full(docs.num_rows, -1)), pa.nulls(docs.num_rows, pa.binary())] + [docs.column(c) for c in ("id", "md5", "tails", "heads")], names=names)
+            for j in range(0, len(found), 10_000):
+                some = found[j : j + 10_000]
+                nothing = [pa.nulls(len(some), b.schema.field(c).type) for c in ("id", "md5", "tails", "heads")]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some]), pa.array([x[1] for x in some]), pa.array([x[2] for x in some], pa.binary())] + nothing, names=names)
+
+    names = ["row", "place", "ids", "id", "md5", "tails", "heads"]
+    of_document = f"id {id_type}, md5 binary, tails array<binary>, heads array<binary>"
+    dealt = slim.mapInArrow(_dealing(hot, GROUPS * n), f"grp int, kind int, blob binary, row bigint, {of_document}")
+    encoded = dealt.repartition(n, "grp").sortWithinPartitions("grp", "kind").mapInArrow(encode_once, f"row bigint, place bigint, ids binary, {of_document}")
+    rows = encoded.repartition(n, "row").sortWithinPartitions("row", "place")
 
     def told(ids: bytes, decode) -> dict:
         wide = np.frombuffer(ids, kind).astype("<u4")
@@ -218,7 +289,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield batch(out, ids, id_kind, "md5")
 
     result = cut(rows.mapInArrow(assemble, f"_sl_id {id_type}, md5 binary, {types}"))
-    free(encoded, refs)
     done = result.filter(F.col("n_tokens").isNotNull()).drop("md5")
     open_ = result.filter(F.col("n_tokens").isNull())
     if not open_.isEmpty():  # texts with a join that can't be mended: as a whole

@@ -134,9 +134,10 @@ def test_tries_merge_and_traverse_in_byte_order():
     terms = [bytes(r.choice(b"ab\xc3\xff") for _ in range(r.randrange(1, 9))) for _ in range(2000)]
     one, other, both = RadixTrie(), RadixTrie(), Counter(terms)
     for i, t in enumerate(terms):
-        (one if i % 3 else other).add(t, "s", 1, 1)
+        (one if i % 3 else other).add(t, 1, {"s": 1})
     one.merge(other)
-    walked = [(t, c["s"]) for t, c in one.traverse()]
+    walked = [(t, leaf[1]["s"]) for t, leaf in one.traverse()]
+    assert all(leaf[0] == leaf[1]["s"] for _, leaf in one.traverse())
     assert walked == sorted(both.items())
     assert one.leaves == len(both)
 
@@ -147,7 +148,7 @@ def test_counts_of_a_text_in_slices(monkeypatch):
     counts = TermCounts()
     counts.count("en", "s", text.encode())
     counts.settle()
-    assert {t.decode(): (c["s"], c[None]) for t, c in counts.tries["en"].traverse() if t} == {t: (n, 1) for t, n in Counter(TERM.findall(lower(text))).items()}
+    assert {t.decode(): (leaf[1]["s"], leaf[0]) for t, leaf in counts.tries["en"].traverse() if t} == {t: (n, 1) for t, n in Counter(TERM.findall(lower(text))).items()}
 
 
 # ------------------------------------------------------------------ BPE
@@ -212,3 +213,13 @@ def test_texts_whose_joins_cannot_be_mended_are_encoded_whole(spark, monkeypatch
     encode = packing.CachedWordBpe(WORD_BPE).encode
     want = sorted((i, len(encode(d[1] or "")) // 2) for i, d in enumerate(docs))
     assert sorted((r.doc_id, r.n_tokens) for r in encode_decode(frame(spark, docs), WORD_BPE).collect()) == want
+
+
+def test_a_hot_chunk_is_dealt_to_many_groups(spark):
+    passage = prose(random.Random(8), 900, 4000)
+    docs = [(i, prose(random.Random(i), 60, 4000) + " " + passage, "en", "s", 0, 1, 2, "a", 3, "r", 4) for i in range(150)]
+    rows = encode_decode(frame(spark, docs), WORD_BPE, keep=True).collect()
+    from siltstone.llm.packing import CachedWordBpe
+
+    encode = CachedWordBpe(WORD_BPE).encode
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {d[0]: np.frombuffer(encode(d[1]), "<u2").tolist() for d in docs}
