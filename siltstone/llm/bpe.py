@@ -9,12 +9,15 @@ it agrees only in its outer words, its ids take the place of the ends, and else
 is encoded again. So the ids are those of the whole text. Ids are decoded by the tokenizer's own
 rule.
 
-Scale: a scan deals chunks and references to groups by the chunk's hash, packed: a task sends a
-chunk once however often it meets it, and a group is encoded and answered in one pass, so that
-neither texts nor ids are joined. Chunks with more than their group's share of all references,
-found by a count beforehand, are dealt by block instead and encoded once in each group that asks.
-Documents are put together in the order of (document, place), streaming, so a task holds one
-document and the ids of one group's chunks.
+Scale: a first pass counts the hashes of chunks; those met twice or more are shared. A scan
+encodes whole documents without a shared chunk, and what others have for themselves. Shared chunks
+are dealt, packed, to groups by their hash, where each is encoded once and its references are
+answered, so neither texts nor ids are joined. A scan knows shared chunks by a Bloom filter of at most
+2**FILTER bits; a chunk that it takes for shared by mistake goes the shared way with the same
+result, and beyond the filter's capacity more do. Shared chunks with more than their group's share
+of references are dealt by block instead and encoded once in each group that asks. Documents are
+put together in the order of (document, place), streaming, so a task holds one document and the ids
+of one group's chunks.
 
 Defined cases: null text is empty and has no ids. A null id stays null. Rows that repeat an id are
 documents of their own. An empty table gives no rows. A text without white space is one chunk.
@@ -45,6 +48,8 @@ ROUND = 2
 BLOCK, SENT = 1 << 22, 1 << 20
 #: Groups of chunks for each shuffle partition; references from which a chunk can be hot.
 GROUPS, HOT = 4, 64
+#: The filter of shared chunks has two to the power of this many bits at most: 8 MB, for 4 million chunks with one mistake in 70.
+FILTER = 26
 
 
 def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN) -> list[list[tuple[int, int, bytes, bytes]]]:
@@ -110,12 +115,41 @@ def _unpack(blob: bytes):
         at += k
 
 
-#: Rows that a scan deals to groups of chunks: documents, texts of chunks, references to chunks.
-_DOCUMENT, _TEXTS, _REFERENCES = range(3)
+def _shared_filter(met: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the hashes in met, n of them, as bytes: 2**FILTER bits at most, so the driver gets 2**(FILTER - 5) rows at most."""
+    bits = 1 << min(FILTER, max(10, (16 * n).bit_length()))
 
+    def words(batches):
+        own = np.zeros(bits // 32, np.uint32)
+        for b in batches:
+            at = _positions(b.column(0).to_pylist(), bits).ravel()
+            np.bitwise_or.at(own, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+        seen = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(own[seen].astype(np.int64))], names=["at", "bits"])
+
+    out = np.zeros(bits // 32, np.uint32)
+    for at, own in met.select("h").mapInArrow(words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits")).collect():
+        out[at] = own
+    return out
+
+
+def _positions(hashes: list[bytes], bits: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2) % np.uint64(bits)).astype(np.int64)
+
+
+def _may_hold(words: np.ndarray, hashes: list[bytes]) -> np.ndarray:
+    at = _positions(hashes, 32 * len(words))
+    return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
+
+
+#: Rows of a scan: finished documents; documents with shared chunks, their own pieces, texts of shared chunks, references to them.
+_DONE, _DOCUMENT, _PIECE, _TEXTS, _REFERENCES = range(5)
+_SOME = pa.list_(pa.binary())
+_KINDS = [("kind", pa.int32()), ("grp", pa.int32()), ("row", pa.int64()), ("place", pa.int64()), ("blob", pa.binary()), ("md5", pa.binary()), ("tails", _SOME), ("heads", _SOME)]
 
-def _dealing(hot: set[bytes], groups: int):
-    """Per block and group: its new chunks in one blob and its references in another; a row for each document beside.
+
+def _scan(shared: np.ndarray, hot: set[bytes], groups: int, tokenizer, tell, more: list[tuple]):
+    """Per block: documents without shared chunks are encoded; the others leave their own pieces, and shared chunks are dealt to groups.
 
     A chunk's group follows from its hash; a hot chunk goes to the group of the block that refers to it.
     """
@@ -123,46 +157,49 @@ def _dealing(hot: set[bytes], groups: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        encode, decode, width = tokenizer()
+        part, known = TaskContext.get().partitionId(), {}
         row, block, sent = part << 36, part * 7919, set()
         for b in slices(batches, "_sl_text", BLOCK):
             data, off = text_bytes(b.column("_sl_text"))
-            texts, refs, docs = defaultdict(list), defaultdict(list), []
+            texts, refs, out = defaultdict(list), defaultdict(list), []
             own, block = block % groups, block + 1
-            for i, chunks in enumerate(cuts(data, off)):
-                for place, (s, e, _, _) in enumerate(chunks):
-                    text = data[s:e].tobytes()
-                    h = hashlib.md5(text).digest()
-                    group = own if h in hot else int.from_bytes(h[:8], "little") % groups
+            found = cuts(data, off)
+            parts_ = [[data[s:e].tobytes() for s, e, _, _ in chunks] for chunks in found]
+            hashes = [hashlib.md5(x).digest() for xs in parts_ for x in xs]
+            flags = _may_hold(shared, hashes) if hashes else np.empty(0, bool)
+            at = 0
+            for i, (chunks, xs) in enumerate(zip(found, parts_)):
+                hs, fs = hashes[at : at + len(xs)], flags[at : at + len(xs)].tolist()
+                at += len(xs)
+                tails, heads = [c[2] for c in chunks[1:]], [c[3] for c in chunks[1:]]
+                if not any(fs):
+                    ids = joined([encode(x.decode()) for x in xs], tails, heads, encode, width, known)
+                    if ids is None:
+                        ids = encode(data[off[i] : off[i + 1]].tobytes().decode())
+                    out.append({"kind": _DONE, "i": i} | tell(ids, decode))
+                    continue
+                out.append({"kind": _DOCUMENT, "i": i, "row": row + i, "place": -1, "md5": hashlib.md5(data[off[i] : off[i + 1]].tobytes()).digest(), "tails": tails, "heads": heads})
+                for place, (x, h, f) in enumerate(zip(xs, hs, fs)):
+                    if not f:
+                        out.append({"kind": _PIECE, "row": row + i, "place": place, "blob": encode(x.decode())})
+                        continue
+                    group = own if h in hot else int.from_bytes(h[:4], "little") % groups
                     key = (h, group) if h in hot else h
                     if key not in sent:
                         sent.add(key)
-                        texts[group].append(text)
+                        texts[group].append(x)
                     refs[group].append((row + i, place, h))
-                docs.append((row + i, hashlib.md5(data[off[i] : off[i + 1]].tobytes()).digest(), [x[2] for x in chunks[1:]], [x[3] for x in chunks[1:]]))
             if len(sent) > SENT:
-                # chunks met again are sent again, into the same group
-                sent.clear()
-            n = len(docs)
-            yield _dealt([d[0] % groups for d in docs], [_DOCUMENT] * n, [None] * n, [d[0] for d in docs], b.column("_sl_id"), *([d[k] for d in docs] for k in (1, 2, 3)))
-            blobs = [(g, _TEXTS, _pack(x)) for g, x in texts.items()]
-            blobs += [(g, _REFERENCES, np.array([x[0] for x in r], "<u8").tobytes() + np.array([x[1] for x in r], "<u8").tobytes() + b"".join(x[2] for x in r)) for g, r in refs.items()]
-            n = len(blobs)
-            if n:
-                yield _dealt([x[0] for x in blobs], [x[1] for x in blobs], [x[2] for x in blobs], [None] * n, pa.nulls(n, b.schema.field("_sl_id").type), *([None] * n,) * 3)
-            row += len(docs)
+                sent.clear()  # chunks met again are sent again, into the same group
+            out += [{"kind": _TEXTS, "grp": g, "blob": _pack(x)} for g, x in texts.items()]
+            out += [{"kind": _REFERENCES, "grp": g, "blob": np.array([x[:2] for x in r], "<u8").T.tobytes() + b"".join(x[2] for x in r)} for g, r in refs.items()]
+            yield pa.RecordBatch.from_pydict({"_sl_id": b.column("_sl_id").take(pa.array([x.get("i") for x in out], pa.int64()))} | {k: pa.array([x.get(k) for x in out], t) for k, t in _KINDS + more})
+            row += len(found)
 
     return run
 
 
-def _dealt(group, kind, blob, row, ids, md5, tails, heads):
-    some = pa.list_(pa.binary())
-    return pa.RecordBatch.from_pydict(
-        {"grp": pa.array(group, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary()), "row": pa.array(row, pa.int64()), "id": ids}
-        | {"md5": pa.array(md5, pa.binary()), "tails": pa.array(tails, some), "heads": pa.array(heads, some)}
-    )
-
-
 def decoder(path: str):
     """Function from an array of ids to the text that the tokenizer's decode(ids, skip_special_tokens=False) gives."""
     from tokenizers import Tokenizer
@@ -205,7 +242,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """One row per input row: id_col, n_tokens, ids_sha256, decoded_sha256; with keep also ids (uint32 little-endian bytes) and decoded."""
     spark = docs.sparkSession
     cached = has_form(tokenizer_path)
-    width = 2 if cached else 4
     kind = "<u2" if cached else "<u4"
     slim = docs.select(F.col(id_col).alias("_sl_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_sl_text"))
     id_type = slim.schema["_sl_id"].dataType.simpleString()
@@ -213,91 +249,95 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     n = parts(spark)
     met = slim.select("_sl_text").mapInArrow(_hashes, "h binary, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     met = cut(met.filter("n > 1"))
-    # a number, and at most GROUPS * n hashes: each has a share of one in that many of all references to chunks met twice
-    total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # two numbers, and at most GROUPS * n hashes: each has a share of one in that many of all references to shared chunks
+    total, n_shared = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = {bytes(r[0]) for r in met.filter((F.col("n") * GROUPS * n > total) & (F.col("n") >= HOT)).select("h").collect()}
+    shared = _shared_filter(met, n_shared)
     free(met)
 
+    def tokenizer():
+        return _tokenizer(tokenizer_path, cached).encode, decoder(tokenizer_path), 2 if cached else 4
+
+    def tell(ids: bytes, decode) -> dict:
+        wide = np.frombuffer(ids, kind).astype("<u4")
+        text = decode(wide)
+        out = {"n_tokens": len(wide), "ids_sha256": hashlib.sha256(wide.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
+        return out | ({"ids": wide.tobytes(), "decoded": text} if keep else {})
+
+    more = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.binary()), ("decoded", pa.string())] if keep else [])
+    types = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
+    fields = [f for f, _ in more]
+    scanned = cut(
+        slim.mapInArrow(
+            _scan(shared, hot, GROUPS * n, tokenizer, tell, more),
+            f"_sl_id {id_type}, kind int, grp int, row bigint, place bigint, blob binary, md5 binary, tails array<binary>, heads array<binary>, {types}",
+        )
+    )
+
     def encode_once(batches):
-        encode, group, known = _tokenizer(tokenizer_path, cached).encode, None, {}
+        (encode, _, _), group, known = tokenizer(), None, {}
         for b in batches:
             found = []
-            for i, (g, kind, blob) in enumerate(zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "blob")))):
+            for g, kind_, blob in zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "blob"))):
                 if g != group:
                     group, known = g, {}
-                if kind == _TEXTS:
+                if kind_ == _TEXTS:
                     for text in _unpack(blob):
                         h = hashlib.md5(text).digest()
                         if h not in known:
                             known[h] = encode(text.decode())
-                elif kind == _REFERENCES:
+                else:
                     k = len(blob) // 32
-                    at = np.frombuffer(blob, "<u8", 2 * k).astype(np.int64)
-                    found += [(r, p, known[blob[16 * (k + j) : 16 * (k + j + 1)]]) for j, (r, p) in enumerate(zip(at[:k].tolist(), at[k:].tolist()))]
-            docs = b.filter(pa.compute.equal(b.column("kind"), _DOCUMENT))
-            yield pa.RecordBatch.from_arrays([docs.column("row"), pa.array(np.full(docs.num_rows, -1)), pa.nulls(docs.num_rows, pa.binary())] + [docs.column(c) for c in ("id", "md5", "tails", "heads")], names=names)
+                    at = np.frombuffer(blob, "<u8", 2 * k).astype(np.int64).tolist()
+                    found += [(at[j], at[k + j], known[blob[16 * (k + j) : 16 * (k + j + 1)]]) for j in range(k)]
             for j in range(0, len(found), 10_000):
-                some = found[j : j + 10_000]
-                nothing = [pa.nulls(len(some), b.schema.field(c).type) for c in ("id", "md5", "tails", "heads")]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some]), pa.array([x[1] for x in some]), pa.array([x[2] for x in some], pa.binary())] + nothing, names=names)
+                row, place, ids = zip(*found[j : j + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array(ids, pa.binary())], names=["row", "place", "blob"])
 
-    names = ["row", "place", "ids", "id", "md5", "tails", "heads"]
-    of_document = f"id {id_type}, md5 binary, tails array<binary>, heads array<binary>"
-    dealt = slim.mapInArrow(_dealing(hot, GROUPS * n), f"grp int, kind int, blob binary, row bigint, {of_document}")
-    encoded = dealt.repartition(n, "grp").sortWithinPartitions("grp", "kind").mapInArrow(encode_once, f"row bigint, place bigint, ids binary, {of_document}")
-    rows = encoded.repartition(n, "row").sortWithinPartitions("row", "place")
-
-    def told(ids: bytes, decode) -> dict:
-        wide = np.frombuffer(ids, kind).astype("<u4")
-        text = decode(wide)
-        out = {"n_tokens": len(wide), "ids_sha256": hashlib.sha256(wide.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
-        return out | ({"ids": wide.tobytes(), "decoded": text} if keep else {})
-
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
-    types = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
+    dealt = scanned.filter(F.col("kind").isin(_TEXTS, _REFERENCES)).select("grp", "kind", "blob").repartition(n, "grp").sortWithinPartitions("grp", "kind")
+    pieces = scanned.filter(F.col("kind").isin(_DOCUMENT, _PIECE)).select("row", "place", "blob", "_sl_id", "md5", "tails", "heads")
+    rows = pieces.unionByName(dealt.mapInArrow(encode_once, "row bigint, place bigint, blob binary"), allowMissingColumns=True).repartition(n, "row").sortWithinPartitions("row", "place")
 
-    def batch(out, ids, id_kind, *more):
-        cols = {"_sl_id": pa.array(ids, id_kind)} | {m: pa.array([x[m] for x in out], pa.binary()) for m in more}
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_pydict(cols | {f: pa.array([x.get(f) for x in out], k) for f, k in zip(fields, kinds)})
+    def batch(out, ids, id_kind):
+        return pa.RecordBatch.from_pydict({"_sl_id": pa.array(ids, id_kind)} | {k: pa.array([x.get(k) for x in out], t) for k, t in [("md5", pa.binary())] + more})
 
     def assemble(batches):
-        encode, decode, known = _tokenizer(tokenizer_path, cached).encode, decoder(tokenizer_path), {}
-        head, chunks, out, ids, size, id_kind = None, [], [], [], 0, pa.null()
+        encode, decode, width = tokenizer()
+        head, chunks, out, ids, size, known, id_kind = None, [], [], [], 0, {}, pa.null()
 
         def close():
             got = joined(chunks, head["tails"], head["heads"], encode, width, known)
-            out.append({"md5": head["md5"]} | (told(got, decode) if got is not None else {}))
-            ids.append(head["id"])
+            out.append({"md5": head["md5"]} | (tell(got, decode) if got is not None else {}))
+            ids.append(head["_sl_id"])
             return len(got or b"") * 4 if keep else 64
 
         for b in batches:
-            id_kind = b.schema.field("id").type
-            cols = [b.column(c).to_pylist() for c in ("place", "id", "md5", "tails", "heads", "ids")]
-            for place, *rest in zip(*cols):
+            id_kind = b.schema.field("_sl_id").type
+            cols = [b.column(c).to_pylist() for c in ("place", "blob", "_sl_id", "md5", "tails", "heads")]
+            for place, blob, *rest in zip(*cols):
                 if place >= 0:
-                    chunks.append(rest[-1])
+                    chunks.append(blob)
                     continue
                 if head is not None:
                     size += close()
-                head, chunks = dict(zip(("id", "md5", "tails", "heads"), rest)), []
+                head, chunks = dict(zip(("_sl_id", "md5", "tails", "heads"), rest)), []
                 if size > BLOCK:
-                    yield batch(out, ids, id_kind, "md5")
+                    yield batch(out, ids, id_kind)
                     out, ids, size = [], [], 0
         if head is not None:
             close()
-            yield batch(out, ids, id_kind, "md5")
+            yield batch(out, ids, id_kind)
 
-    result = cut(rows.mapInArrow(assemble, f"_sl_id {id_type}, md5 binary, {types}"))
-    done = result.filter(F.col("n_tokens").isNotNull()).drop("md5")
-    open_ = result.filter(F.col("n_tokens").isNull())
+    put = cut(rows.mapInArrow(assemble, f"_sl_id {id_type}, md5 binary, {types}"))
+    done = scanned.filter(F.col("kind") == _DONE).select("_sl_id", *fields).unionByName(put.filter(F.col("n_tokens").isNotNull()).drop("md5"))
+    open_ = put.filter(F.col("n_tokens").isNull())
     if not open_.isEmpty():  # texts with a join that can't be mended: as a whole
 
         def whole(batches):
-            encode, decode = _tokenizer(tokenizer_path, cached).encode, decoder(tokenizer_path)
+            encode, decode, _ = tokenizer()
             for b in batches:
-                out = [told(encode(t), decode) for t in b.column("_sl_text").to_pylist()]
-                yield batch([x | {"md5": m} for x, m in zip(out, b.column("md5").to_pylist())], [None] * len(out), pa.int64(), "md5").drop_columns(["_sl_id"])
+                out = [{"md5": m} | tell(encode(t), decode) for t, m in zip(b.column("_sl_text").to_pylist(), b.column("md5").to_pylist())]
+                yield batch(out, [None] * len(out), pa.null()).drop_columns(["_sl_id"])
 
         texts = slim.select("_sl_text", F.unhex(F.md5(F.col("_sl_text").cast("binary"))).alias("md5"))
         needed = texts.join(open_.select("md5").distinct(), "md5", "left_semi").dropDuplicates(["md5"])
