@@ -60,3 +60,42 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 1
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return a.join(b, [*on, "_salt"], how).drop("_salt")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: list[str] = (), finest: float = 1.0, levels: int = 40) -> DataFrame:
+    """Pairs of intervals [low, high) that overlap, of very different lengths: columns of both sides, whose names must differ.
+
+    Bins form a hierarchy: those of a level are twice as wide as those of the one before, from `finest` on. An interval
+    belongs to the level whose bins are at least as wide as itself, so it touches two of them at most, and meets the other
+    side's intervals of that level and of all wider ones by equality of bins. Copies grow with the number of levels that
+    occur on the other side, never with lengths. A pair is found in the bin of the greater of its two lows, on the coarser
+    of its two levels, so exactly once. Empty intervals and null ends match nothing; intervals wider than the last level's
+    bins are all met on one level more, in one bin. `by` are columns of both sides that must be equal; the right side's are dropped.
+    """
+    rows = []
+    for side, (low, high), tag in ((left, left_ends, "l"), (right, right_ends, "r")):
+        width = F.col(high) - F.col(low)
+        level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(width / finest)))).cast("int")
+        rows.append(side.filter(F.col(high) > F.col(low)).withColumn(f"_{tag}_level", level).withColumn(f"_{tag}_low", F.col(low).cast("double")).withColumn(f"_{tag}_high", F.col(high).cast("double")))
+    # the levels that occur: at most levels + 1 numbers a side
+    seen = [sorted(r[0] for r in side.select(f"_{tag}_level").distinct().collect()) for side, tag in zip(rows, "lr")]
+
+    def bins(side: DataFrame, tag: str, others: list[int]) -> DataFrame:
+        # a level of the other side below one's own is met on one's own
+        met = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in others]), lambda x: F.greatest(x, F.col(f"_{tag}_level"))))
+        out = side.withColumn("_meet", F.explode(met))
+        wide = F.lit(finest) * F.pow(F.lit(2.0), F.col("_meet"))
+        first, last = F.floor(F.col(f"_{tag}_low") / wide), F.ceil(F.col(f"_{tag}_high") / wide) - 1
+        one = F.col("_meet") >= levels
+        return out.withColumn("_bin", F.explode(F.when(one, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, F.greatest(first, last)))))
+
+    a = bins(rows[0], "l", seen[1]) if seen[1] else rows[0].withColumn("_meet", F.lit(0)).withColumn("_bin", F.lit(0).cast("bigint")).filter(F.lit(False))
+    b = bins(rows[1], "r", seen[0]) if seen[0] else rows[1].withColumn("_meet", F.lit(0)).withColumn("_bin", F.lit(0).cast("bigint")).filter(F.lit(False))
+    b = b.withColumnsRenamed({"_meet": "_r_meet", "_bin": "_r_bin"} | {c: f"_r_by_{c}" for c in by})
+    wide = F.lit(finest) * F.pow(F.lit(2.0), F.col("_meet"))
+    home = F.when(F.col("_meet") >= levels, F.lit(0)).otherwise(F.floor(F.greatest("_l_low", "_r_low") / wide))
+    on = (F.col("_meet") == F.col("_r_meet")) & (F.col("_bin") == F.col("_r_bin"))
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_r_by_{c}"))
+    pairs = a.join(b, on).filter((F.col("_meet") == F.greatest("_l_level", "_r_level")) & (F.col("_bin") == home) & (F.col("_l_low") < F.col("_r_high")) & (F.col("_r_low") < F.col("_l_high")))
+    return pairs.drop("_meet", "_bin", "_r_meet", "_r_bin", *[f"_{t}_{x}" for t in "lr" for x in ("level", "low", "high")], *[f"_r_by_{c}" for c in by])

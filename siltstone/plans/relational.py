@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import asof_join, broadcast_if_small, range_join, salted_join
+from siltstone.functions import utc
+from siltstone.operators import asof_join, broadcast_if_small, exact_quantiles, overlap_join, range_join, ranged_asof_join, salted_join
 from siltstone.registry import query
 
 
@@ -116,6 +117,20 @@ def p14_salted_join(spark, t):
     return salted_join(left, right, ["k"], 8).groupBy("l_returnflag", "o_orderstatus").agg(_n())
 
 
+@query("""
+with e as (select event_id, event_type, epoch(ts) as lo, epoch(ts) + case when event_id % 50 = 0 then 864000 else value * 60 end as hi from events)
+select b.event_id as buy, v.event_id as seen from e b join e v on b.lo < v.hi and v.lo < b.hi where b.event_type = 'purchase' and v.event_type = 'view' and b.hi > b.lo and v.hi > v.lo
+""")
+def p12_overlap_join(spark, t):
+    """Intervals of minutes and of ten days on both sides, whatever overlaps."""
+    at = F.unix_micros(utc(F.col("ts"))) / 1e6
+    long = F.when(F.col("event_id") % 50 == 0, 864000.0).otherwise(F.col("value") * 60)
+    e = t.events.select("event_id", "event_type", at.alias("lo"), (at + long).alias("hi"))
+    buys = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("buy"), "lo", "hi")
+    views = e.filter("event_type = 'view'").select(F.col("event_id").alias("seen"), F.col("lo").alias("from"), F.col("hi").alias("till"))
+    return overlap_join(buys, views, ("lo", "hi"), ("from", "till"), finest=60.0).select("buy", "seen")
+
+
 @query("""
 select p.event_id, v.event_id as view_id, v.value as view_value
 from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts
@@ -127,6 +142,30 @@ def p15_asof_join(spark, t):
     return asof_join(buys, views, ["user_id"], "ts", "ts", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
 
 
+@query("""
+select p.event_id, v.event_id as view_id, v.value as view_value
+from (select *, case when user_id % 2 = 0 then 0 else user_id end as k from events where event_type = 'purchase') p
+asof left join (select *, case when user_id % 2 = 0 then 0 else user_id end as k from events where event_type = 'view') v on p.k = v.k and p.ts >= v.ts
+""")
+def p15_asof_hot_key(spark, t):
+    """Half of the users are one key: it is spread over ranges of time."""
+    e = t.events.withColumn("k", F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("user_id")))
+    views = e.filter("event_type = 'view'").select("k", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    buys = e.filter("event_type = 'purchase'").select("event_id", "k", "ts")
+    return ranged_asof_join(buys, views, ["k"], "ts", "ts", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
+
+
+@query("""
+select p.event_id, v.event_id as view_id, v.value as view_value
+from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v on p.ts > v.ts
+""")
+def p15_asof_without_key(spark, t):
+    """The last view of anybody before each purchase: no key at all."""
+    views = t.events.filter("event_type = 'view'").select("ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    buys = t.events.filter("event_type = 'purchase'").select("event_id", "ts")
+    return ranged_asof_join(buys, views, [], "ts", "ts", ["view_id", "view_value"], strict=True).select("event_id", "view_id", "view_value")
+
+
 @query("select r_name, x.n_name from region, lateral (select n_name from nation where n_regionkey = r_regionkey order by n_name limit 2) x")
 def p16_lateral_join(spark, t):
     inner = t.nation.filter(F.col("n_regionkey") == F.col("r_regionkey").outer()).orderBy("n_name").limit(2).select("n_name")
@@ -205,6 +244,20 @@ def p23_exact_quantile(spark, t):
     return t.orders.groupBy("o_orderstatus").agg(F.round(F.median("o_totalprice"), 4).alias("med"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"))
 
 
+@query("""
+select o_orderstatus, round(quantile_cont(o_totalprice, 0.01), 4) as p01, round(median(o_totalprice), 4) as med, round(quantile_cont(o_totalprice, 0.999), 4) as p999 from orders group by all
+""")
+def p23_quantile_selection(spark, t):
+    """Histograms narrow each rank's interval: three keys, and no task holds a key."""
+    got = exact_quantiles(t.orders, ["o_orderstatus"], "o_totalprice", {"p01": 0.01, "med": 0.5, "p999": 0.999})
+    return got.select("o_orderstatus", *[F.round(c, 4).alias(c) for c in ("p01", "med", "p999")])
+
+
+@query("select quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.5) as q2, quantile_cont(l_quantity, 0.75) as q3 from lineitem")
+def p23_quantile_selection_of_all(spark, t):
+    return exact_quantiles(t.lineitem, [], "l_quantity", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+
+
 @query("select o_orderstatus, true as close from orders group by all")
 def p24_approximate_quantile(spark, t):
     """Whether the approximate 90 % point lies between the exact 89 % and 91 % points."""
