@@ -1,10 +1,11 @@
 """Operators that Spark lacks, as rewrites to DataFrame operations."""
 
 from .joins import asof_join, broadcast_if_small, overlap_join, range_join, salted_join
+from .partial import moments, two_phase
 from .quantiles import exact_quantiles
 from .ranges import global_ranks, numbered, range_sums, ranged_asof_join, rows_frame, running_sums
 from .upsert import upsert
 
 __all__ = [
-    "asof_join", "broadcast_if_small", "exact_quantiles", "global_ranks", "numbered", "overlap_join", "range_join", "range_sums", "ranged_asof_join", "rows_frame", "running_sums", "salted_join", "upsert",
+    "asof_join", "broadcast_if_small", "exact_quantiles", "global_ranks", "moments", "numbered", "overlap_join", "range_join", "range_sums", "ranged_asof_join", "rows_frame", "running_sums", "salted_join", "two_phase", "upsert",
 ]

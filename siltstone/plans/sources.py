@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import upsert
+from siltstone.operators import snapshots, upsert
 from siltstone.registry import query
 from siltstone.sources import create_table, read_jdbc, round_trip, write_jdbc
 from siltstone.sources.lines import LinesDataSource
@@ -85,3 +85,17 @@ def p05_upsert(spark, t):
     changed = s.filter("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 100).withColumn("gone", F.col("s_suppkey") % 7 == 0)
     added = s.filter("s_suppkey % 10 = 1").select((F.col("s_suppkey") + 1_000_000).alias("s_suppkey"), "s_name", F.lit(0.0).alias("s_acctbal"), F.lit(False).alias("gone"))
     return cut(upsert(s, changed.unionByName(added), ["s_suppkey"], "gone"))
+
+
+@query("""
+select o_orderkey, case when o_orderkey between 100 and 200 then 'X' else o_orderstatus end as o_orderstatus, o_custkey from orders where o_orderkey not between 150 and 160
+union all select -o_orderkey - 1, 'N', o_custkey from orders where o_orderkey < 10
+""")
+def p05_copy_on_write_merge(spark, t):
+    """Changes of a narrow range of keys rewrite the files that hold it; the others keep their names."""
+    root, orders = scratch_path(spark), t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
+    snapshots.create(orders.repartitionByRange(8, "o_orderkey"), root)
+    changed = orders.filter("o_orderkey between 100 and 200").withColumn("o_orderstatus", F.lit("X")).withColumn("gone", F.col("o_orderkey").between(150, 160))
+    added = orders.filter("o_orderkey < 10").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_custkey", F.lit(False).alias("gone"))
+    snapshots.merge(changed.unionByName(added), root, ["o_orderkey"], "gone")
+    return snapshots.read_version(spark, root, orders.schema)

@@ -8,8 +8,8 @@ from siltstone.registry import query
 from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
 from siltstone.storage import scratch_path
-from siltstone.streaming import append_to_table, event_stream, in_files, latest_table, with_rocksdb
-from siltstone.streaming.stateful import RowTotals, RunningTotals, count_batches
+from siltstone.streaming import append_to_table, event_stream, in_files, in_order, interval_join, latest_table, run_to_table, with_rocksdb
+from siltstone.streaming.stateful import CountsByType, InactivitySessions, RowTotals, RunningTotals, count_batches
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
@@ -38,6 +38,27 @@ def p49_watermark(spark, t):
     return append_to_table(days).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
 
 
+def closing(events):
+    """An event of nobody, long after all others."""
+    late = events.agg((F.max("ts") + F.expr("interval 100 days")).alias("ts"))
+    return late.select(*[F.col("ts") if f.name == "ts" else F.lit(-1).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+
+
+@query("""
+select p.event_id as buy, v.event_id as seen from (select * from events where event_type = 'purchase') p
+left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and v.ts <= p.ts and v.ts >= p.ts - interval 6 hour
+""")
+def p49_stream_interval_join(spark, t):
+    """Purchases with the same user's views in the six hours before, two streams; those without one come out when the watermarks have passed."""
+    sides = []
+    for kind, names in (("purchase", {"event_id": "buy", "ts": "ts"}), ("view", {"event_id": "seen", "ts": "seen_at"})):
+        some = t.events.filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+        stream = event_stream(spark, in_order(some, "ts", 4, closing(some)), 2)
+        sides.append(stream.withColumnsRenamed(names))
+    pairs = interval_join(*sides, ["user_id"], "ts", "seen_at", "6 hours", "1 hour")
+    return run_to_table(pairs.select("buy", "seen", "user_id")).table.filter("user_id >= 0").select("buy", "seen")
+
+
 @query("select event_id from events")
 def p50_stream_dedup(spark, t):
     """Each event sent twice, mostly in different batches, once kept; the delay spans the table, so nothing is late."""
@@ -76,6 +97,36 @@ def p51_apply_with_state(spark, t):
     return append_by_batch(counts).groupBy("event_type").agg(F.max("n").alias("n"))
 
 
+@query("""
+with a as (select *, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 2 hour then 1 else 0 end as fresh from events),
+b as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from a)
+select user_id, min(ts) as start, count(*) as n from b group by user_id, s
+""")
+def p51_sessions_by_timers(spark, t):
+    """Sessions that end by an event-time timer, in append mode over four batches and a closing one."""
+
+    def run():
+        events = t.events.select("user_id", "ts")
+        stream = event_stream(spark, in_order(events, "ts", 4, closing(events)), 2).withWatermark("ts", "10 minutes")
+        rows = stream.select("user_id", "ts", F.unix_micros("ts").alias("at")).groupBy("user_id")
+        return run_to_table(rows.transformWithStateInPandas(InactivitySessions(2 * 3600 * 1_000_000), "user_id long, start long, n long", "Append", "EventTime")).table
+
+    return with_rocksdb(spark, run).select("user_id", F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("select user_id, event_type, count(*) as n from events where user_id in (select user_id from events where event_id % 2 = 1) group by all")
+def p51_initial_state(spark, t):
+    """Counts go on from the state that half of the events gave in a batch; the other half comes as a stream of four batches."""
+
+    def run():
+        first = t.events.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+        stream = event_stream(spark, in_files(t.events.filter("event_id % 2 = 1"), 4))
+        counts = stream.groupBy("user_id").transformWithStateInPandas(CountsByType(), "user_id long, event_type string, n long", "Update", "None", first.groupBy("user_id"))
+        return append_by_batch(counts)
+
+    return with_rocksdb(spark, run).groupBy("user_id", "event_type").agg(F.max("n").alias("n"))
+
+
 @query("select range as id, range * range as square from range(40)")
 def p03_custom_stream(spark, t):
     spark.dataSource.register(SeriesDataSource)

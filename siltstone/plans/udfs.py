@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from siltstone.operators import moments, two_phase
 from siltstone.registry import query
 
 
@@ -61,6 +66,64 @@ def p53_cogroup(spark, t):
     return a.cogroup(b).applyInPandas(sizes, "k int, customers long, suppliers long")
 
 
+@query("""
+select l_returnflag, count(*) as n, round(avg(l_quantity), 6) as mean, round(var_samp(l_quantity), 6) as variance, round(covar_samp(l_quantity, l_extendedprice), 2) as covariance, round(corr(l_quantity, l_extendedprice), 8) as correlation
+from lineitem group by all
+""")
+def p53_two_phase_aggregate(spark, t):
+    """Three keys hold all rows; each task sends a state per key."""
+    partial, merge, columns = moments(["l_returnflag"], "l_quantity", "l_extendedprice")
+    states = two_phase(t.lineitem.select("l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], partial, merge, f"l_returnflag string, {columns}")
+    less = F.col("n") - 1
+    return states.select(
+        "l_returnflag", "n", F.round("mx", 6).alias("mean"), F.round(F.col("cxx") / less, 6).alias("variance"), F.round(F.col("cxy") / less, 2).alias("covariance"), F.round(F.col("cxy") / F.sqrt(F.col("cxx") * F.col("cyy")), 8).alias("correlation")
+    )
+
+
+class FirstAndLast:
+    """Table function: per key of a table, in an order, the first and last value of a column and the number of rows.
+
+    The names of key, order and value columns are arguments, so the schema follows from them and from the table.
+    """
+
+    def __init__(self, analyzed):
+        self.key, self.value = analyzed.key, analyzed.value
+        self.n, self.first, self.last, self.of = 0, None, None, None
+
+    @staticmethod
+    def analyze(table, key, order, value):
+        kinds = {f.name: f.dataType for f in table.dataType.fields}
+        schema = T.StructType([T.StructField(key.value, kinds[key.value]), T.StructField(f"first_{value.value}", kinds[value.value]), T.StructField(f"last_{value.value}", kinds[value.value]), T.StructField("n", T.LongType())])
+        return Chosen(schema, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn(c.strip()) for c in order.value.split(",")], key=key.value, value=value.value)
+
+    def eval(self, row, key, order, value):
+        if not self.n:
+            self.first = row[self.value]
+        self.of, self.last, self.n = row[self.key], row[self.value], self.n + 1
+
+    def terminate(self):
+        if self.n:
+            yield self.of, self.first, self.last, self.n
+
+
+@dataclass
+class Chosen(AnalyzeResult):
+    """What analyze has chosen, for the function itself."""
+
+    key: str = ""
+    value: str = ""
+
+
+@query("""
+select user_id, arg_min(event_type, (ts, event_id)) as first_event_type, arg_max(event_type, (ts, event_id)) as last_event_type, count(*) as n from events group by all
+""")
+def p54_polymorphic_table_function(spark, t):
+    """analyze picks the schema, the partitioning and the order of the table argument."""
+    spark.udtf.register("siltstone_first_and_last", F.udtf(FirstAndLast))
+    t.events.select("user_id", "ts", "event_id", "event_type").createOrReplaceTempView("siltstone_events")
+    return spark.sql("select * from siltstone_first_and_last(table(siltstone_events), 'user_id', 'ts, event_id', 'event_type')")
+
+
 @query("select p_partkey, unnest(range(cast(p_size as bigint) % 4)) as i from part")
 def p54_table_function(spark, t):
     @F.udtf(returnType="p_partkey long, i long")

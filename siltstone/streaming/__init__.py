@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.functions import utc
 from siltstone.storage import scratch_path
@@ -64,3 +66,59 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+class Run(NamedTuple):
+    """A stream that has run over all that was there: its table, its checkpoint and the progress of its batches."""
+
+    table: DataFrame
+    checkpoint: str
+    progress: list[dict]
+
+
+def run_to_table(stream: DataFrame, checkpoint: str | None = None, path: str | None = None) -> Run:
+    """append_to_table with what tests and state readers need; checkpoint and path of an earlier run go on where it ended."""
+    spark = stream.sparkSession
+    path, checkpoint = path or scratch_path(spark), checkpoint or scratch_path(spark)
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return Run(spark.read.schema(stream.schema).parquet(path), checkpoint, list(q.recentProgress))
+
+
+def in_order(table: DataFrame, time: str, n: int, closing: DataFrame | None = None, files: int = 2) -> str:
+    """Path of a copy of the table in n slices of its time column, written one after the other, `files` files each.
+
+    A stream of `files` files a batch gets them in this order, so that a watermark of any delay drops nothing.
+    closing: rows that follow as a batch of their own, whose late time ends all that waits for the watermark.
+    """
+    spark, path = table.sparkSession, scratch_path(table.sparkSession)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    # n - 1 numbers
+    bounds = table.select(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0] or []
+    edges = [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        inside = F.lit(True) if low is None else at >= low
+        slice_ = table.filter(inside if high is None else inside & (at < high))
+        slice_.repartition(files).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(table.columns).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, before: str, delay: str, how: str = "left_outer") -> DataFrame:
+    """Rows of two streams with equal keys where the right time is at most `before` earlier than the left time, and not later.
+
+    Both sides carry a watermark of `delay`, so a row's state goes once no partner can come; a left row without a
+    partner comes out then. Null keys and null times match nothing. The right side's key columns are dropped.
+    """
+    marks = [f"_r_{c}" for c in by]
+    r = right.withColumnsRenamed(dict(zip(by, marks))).withWatermark(right_time, delay)
+    on = (F.col(right_time) <= F.col(left_time)) & (F.col(right_time) >= F.col(left_time) - F.expr(f"interval {before}"))
+    for c, m in zip(by, marks):
+        on = on & (F.col(c) == F.col(m))
+    return left.withWatermark(left_time, delay).join(r, on, how).drop(*marks)
+
+
+def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """The keys and values of a state variable as the last batch left them."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()

@@ -37,6 +37,90 @@ class RowTotals(RunningTotals):
         yield Row(user_id=key[0], n=n, total=total)
 
 
+class InactivitySessions(StatefulProcessor):
+    """Sessions of a key: runs of instants with less than `gap` between neighbours; each comes out once the watermark has passed its end.
+
+    Open sessions are a list, since rows of a batch come in any order and a late one may join two; an event-time
+    timer stands at the end of each, and one whose session has grown since finds nothing to end. Input: a column `at` in microseconds. Output: user_id, start and n.
+    """
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def _keep(self, sessions: list[tuple]) -> None:
+        if sessions:
+            self.open.put(sessions)
+        else:
+            self.open.clear()
+
+    def _end(self, last: int) -> int:
+        """Milliseconds, rounded up."""
+        return -(-(last + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        known = list(self.open.get()) if self.open.exists() else []
+        for frame in rows:
+            known += [(int(t), int(t), 1) for t in frame["at"]]
+        merged: list[tuple] = []
+        for first, last, n in sorted(known):
+            if merged and first < merged[-1][1] + self.gap:
+                a, b, m = merged[-1]
+                merged[-1] = (a, max(b, last), m + n)
+            else:
+                merged.append((first, last, n))
+        self._keep(merged)
+        for _, last, _ in merged:
+            self.handle.registerTimer(self._end(last))
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        sessions = list(self.open.get()) if self.open.exists() else []
+        ended = [s for s in sessions if self._end(s[1]) <= now]
+        self._keep([s for s in sessions if self._end(s[1]) > now])
+        yield self._rows(key, ended)
+
+    def _rows(self, key, sessions: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(sessions), "start": [s[0] for s in sessions], "n": [s[2] for s in sessions]}).astype({"user_id": "int64", "start": "int64", "n": "int64"})
+
+    def close(self) -> None:
+        return None
+
+
+class CountsByType(StatefulProcessor):
+    """Rows of each user by event type over all batches, on top of an initial state; a type without rows for `ttl_ms` is forgotten.
+
+    A lifetime needs the time mode ProcessingTime, in which Spark plans batches without data for ever: a trigger that
+    takes what is available ends only with spark.sql.streaming.noDataMicroBatches.enabled off. Output after each batch:
+    user_id, event_type, n of all types that the state holds.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl = ttl_ms
+
+    def init(self, handle) -> None:
+        self.counts = handle.getMapState("counts", "event_type string", "n long", self.ttl)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for kind, n in zip(initialState["event_type"], initialState["n"]):
+            self.counts.updateValue((kind,), (int(n),))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for kind, n in frame["event_type"].value_counts().items():
+                before = self.counts.getValue((kind,)) if self.counts.containsKey((kind,)) else None
+                self.counts.updateValue((kind,), ((before[0] if before else 0) + int(n),))
+        held = [(k[0], v[0]) for k, v in self.counts.iterator()]
+        yield pd.DataFrame({"user_id": [key[0]] * len(held), "event_type": [k for k, _ in held], "n": [n for _, n in held]})
+
+    def close(self) -> None:
+        return None
+
+
 def count_batches(key, frames, state):
     """For applyInPandasWithState: rows of each event type over all batches."""
     n = state.get[0] if state.exists else 0
