@@ -19,6 +19,7 @@ from siltstone.llm.near import drop_near_copies
 from siltstone.llm.packing import pack
 from siltstone.llm.toxicity import drop_toxic
 from siltstone.session import ship
+from siltstone.storage import free
 
 #: Tokens of a packed sequence.
 SEQUENCE = 4096
@@ -81,7 +82,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            made = cut(made)
+            free(docs)  # the stage's result no longer reads what it was made from
+        docs = made
     return docs

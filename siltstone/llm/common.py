@@ -206,5 +206,11 @@ def crc_bucket(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def with_plain_names(docs: DataFrame, used: tuple[str, ...], operate) -> DataFrame:
+    """operate(docs) for an operator that keeps all columns: within it, columns not in `used` have names that nothing clashes with or quotes."""
+    names = docs.columns
+    return operate(docs.toDF(*[c if c in used else f"column_{i}" for i, c in enumerate(names)])).toDF(*names)
+
+
 def not_null_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, cut, text_bytes
+from .common import ascii_lower, cut, text_bytes, with_plain_names
 
 
 def _digests(with_text: bool, lower: bool):
@@ -76,8 +76,12 @@ def _keyed(text_col: str, lower: bool):
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", lower: bool = True) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they are; a row without an id stays only if its group has no other."""
-    schema = T.StructType(docs.schema.fields + [T.StructField("_sl_h", T.BinaryType()), T.StructField("_sl_norm", T.BinaryType())])
     rank = F.struct((F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull()).alias("x"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     best = F.min_by if keep == "min" else F.max_by
-    keyed = docs.mapInArrow(_keyed(text_col, lower), schema)
-    return keyed.groupBy("_sl_h", "_sl_norm").agg(best(F.struct(*docs.columns), rank).alias("_sl_row")).select("_sl_row.*")
+
+    def one_each(d: DataFrame) -> DataFrame:
+        schema = T.StructType(d.schema.fields + [T.StructField("_sl_h", T.BinaryType()), T.StructField("_sl_norm", T.BinaryType())])
+        keyed = d.mapInArrow(_keyed(text_col, lower), schema)
+        return keyed.groupBy("_sl_h", "_sl_norm").agg(best(F.struct(*d.columns), rank).alias("_sl_row")).select("_sl_row.*")
+
+    return with_plain_names(docs, (id_col, text_col), one_each)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siltstone.storage import free
 
-from .common import WORD, cut, prefix_sums
+from .common import WORD, cut, prefix_sums, with_plain_names
 
 GOLDEN = 0.6180339887498949
 #: Words of a slot, cells of the unit interval, words of a bin of the stream.
@@ -190,6 +190,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document without words stays once if its place in the stream is reached; those of a
     source without words, which has no slot, come last.
     """
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    return with_plain_names(docs, tuple(names.values()), lambda d: _mixed_documents(d, passes=passes, **names, **options))
+
+
+def _mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, passes: int, **options) -> DataFrame:
     documents, segments, points = _mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, passes=passes, **options)
     key = ["_sl_key", "_sl_from", "_sl_size"]
     rows = documents.select("_sl_row", F.col(id_col).alias("_sl_key"), F.col("source").alias("_sl_from"), F.col("size").alias("_sl_size"), F.col("_sl_off").alias("_sl_place"), "source_size")

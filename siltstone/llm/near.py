@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from siltstone.storage import cut_by, free
 
-from .common import ascii_lower, blocks, cut, mix, most_frequent, parts, range_hashes, signed, span_hashes, text_bytes, word_spans
+from .common import ascii_lower, blocks, cut, mix, most_frequent, parts, range_hashes, signed, span_hashes, text_bytes, with_plain_names, word_spans
 from .components import components
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 2
@@ -407,4 +407,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with the smallest id of each component, all columns as they are; rows without an id stay."""
     groups = near_groups(docs, id_col, text_col, **options)
     gone = groups.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_sl_key")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_sl_key"], "left_anti").select(*docs.columns)
+    return with_plain_names(docs, (id_col, text_col), lambda d: d.join(gone, d[id_col] == gone["_sl_key"], "left_anti").select(*d.columns))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, with_plain_names
 
 #: Most documents of either kind and most bytes of one that training reads.
 SAMPLE = {"toxic": 2000, "ordinary": 4000, "bytes": 20_000}
@@ -209,4 +209,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """docs without the documents predicted toxic, all columns as they are."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    return score(docs, model, id_col, text_col).filter("_sl_score < 0.5").drop("_sl_score")
+    return with_plain_names(docs, (id_col, text_col), lambda d: score(d, model, id_col, text_col).filter("_sl_score < 0.5").drop("_sl_score"))

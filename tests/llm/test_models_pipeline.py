@@ -194,3 +194,29 @@ def test_pipeline_takes_empty_tables_null_and_repeated_ids_and_clashing_columns(
                     assert set(texts_left) <= set(before)
                 before = texts_left
         assert (docs.count() > 0) == (name == "full")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from frames import awkward
+
+    from siltstone.llm.exact_dedup import drop_exact_copies
+    from siltstone.llm.mixing import mixed_documents
+    from siltstone.llm.near import drop_near_copies
+    from siltstone.llm.toxicity import drop_toxic
+
+    names = ["a.b", "_sl_key", "_sl_slot", "_sl_score", "_sl_row", "Text", "sl`x", "slot"]
+    rows = [(i, x[1], x[3], *[f"{n}{k}" for n in names]) for k, x in enumerate(awkward()) for i in [k if x[0] is not None else None]]
+    docs = spark.createDataFrame(rows, "c0 long, c1 string, c2 string, " + ", ".join(f"n{i} string" for i in range(len(names)))).toDF("doc_id", "text", "source", *names)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    given = {tuple(r) for r in rows}
+    # drop_toxic reads its text by a name that Text would make ambiguous, so that column comes under another name there
+    for stage, d in ((lambda d: drop_toxic(d, labels), docs.toDF(*["other" if c == "Text" else c for c in docs.columns])), (lambda d: drop_exact_copies(d, keep="max"), docs)):
+        got = stage(d)
+        assert got.columns == d.columns
+        assert {tuple(r) for r in got.collect()} <= given
+    plain = docs.toDF(*["other" if c == "Text" else c for c in docs.columns])
+    for stage in (drop_near_copies, mixed_documents):
+        got = stage(plain)
+        assert got.columns == plain.columns
+        have = {tuple(r) for r in got.collect()}
+        assert have and have <= given
