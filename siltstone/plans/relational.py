@@ -374,6 +374,26 @@ def p36_sample(spark, t):
     return t.orders.sampleBy("o_orderstatus", {"F": 0.1, "O": 0.1, "P": 0.1}, seed=7).select("o_orderkey", "o_orderstatus")
 
 
+@query("select o_orderstatus, count(*) as n, true as near_a_tenth, true as once_and_theirs from orders group by all")
+def p36_sample_by_bounds(spark, t):
+    """The sample above: of each status a tenth within five standard deviations, every row once and with its own status."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    sample = p36_sample(spark, t).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).groupBy("k", "s").agg(_n("times"))
+    met = orders.join(sample, (F.col("o_orderkey") == F.col("k")) & (F.col("o_orderstatus") == F.col("s")), "full_outer")
+    groups = met.groupBy(F.coalesce("o_orderstatus", "s").alias("o_orderstatus")).agg(
+        F.count("o_orderkey").alias("n"), F.sum(F.coalesce("times", F.lit(0))).alias("drawn"), F.max(F.coalesce("times", F.lit(1))).alias("most"), F.count_if(F.col("o_orderkey").isNull()).alias("strange")
+    )
+    off = F.abs(F.col("drawn") - F.col("n") * 0.1)
+    return groups.select("o_orderstatus", "n", (off <= 5 * F.sqrt(F.col("n") * 0.09)).alias("near_a_tenth"), ((F.col("most") == 1) & (F.col("strange") == 0)).alias("once_and_theirs"))
+
+
+@query("select o_orderkey, o_orderstatus from orders where substr(md5('7:' || o_orderkey), 1, 8) < '1999999a'")
+def p36_hash_sample(spark, t):
+    """A tenth by the hash of the key and a seed: the same rows in any run, partitioning or engine, and no shuffle."""
+    drawn = F.substring(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), 1, 8) < "1999999a"
+    return t.orders.filter(drawn).select("o_orderkey", "o_orderstatus")
+
+
 @query("select true as near_a_tenth, count(*) as rows, count(*) as ids from orders")
 def p36_sample_and_split(spark, t):
     """sample() takes about a tenth, randomSplit() deals every row into one part; sampling is the feature."""
