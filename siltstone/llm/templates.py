@@ -7,12 +7,18 @@ by a fingerprint, the exclusive-or over the pages of a hash of page and count, w
 built by partial aggregation, so a host with a third of all pages is never gathered in one
 task. Pages of a host with the same html count once, in vectors and page counts. A class is
 valid if it is large (CLASS tokens) and frequent (SHARE of the host's distinct pages, and
-PAGES of them at least, for two pages that share a line are no evidence of a template).
-Valid classes nest by the paths of their elements and make the host's template; what remains
-between its tokens are the slots. The main slot is the innermost element below the body, once
-on the page, that holds all slots of all pages of the host. A page's text is all of its slots but those in
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments of
-readers, told by tag, class, id or role. Fixed text is removed only outside the main slot and
+PAGES of them at least, for two pages that share a line are no evidence of a template),
+and its tokens follow each other in one order in all of these pages. The elements of valid
+classes nest by their paths: this tree is the host's template, and what lies in an element of
+it, outside the elements nested there, is a slot. What a slot is is decided once per host,
+from the text that isn't fixed of all its distinct pages: from the root, the child with more
+than MOST of an element's text is entered while there is one; the last is the main slot. Beside
+that way a subtree, or the rest of an element, is no article if most of its characters are
+links, or if it has less than SHORT of the main slot's characters; headings, what holds an
+<h1>, and all in <article> and <main> stay. These slots go from every page that has the main
+slot. Of the other slots, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments of readers go where a tag, class, id or role tells them (names; with
+names=False the template alone decides). Fixed text is removed only outside the main slot and
 outside <article> and <main>: a line that every article has, such as its author, belongs to
 the articles. A page whose own text is template throughout keeps it: template is removed
 beside other text only.
@@ -67,10 +73,14 @@ BESIDE = frozenset("site global top bottom left right primary secondary mobile d
 BESIDE_OTHERS = BESIDE | frozenset(
     "page main post posts entry article articles story stories content section area block box panel list item items group row zone slot unit space link links icon icons button buttons btn title label text body thread count toggle dropdown".split()
 )
+#: Elements that can be a main slot.
+CONTAINERS = frozenset("article main section div td form center".split())
 #: Elements that are text or its layout: their names say what is in them, not where they stand.
 PLAIN = frozenset("html body h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption".split())
 #: Where no <article> or <main> tells, an element with more than this share of a page's text isn't outside by its name.
 MOST = 0.5
+#: A slot beside the main one with less than this share of its characters is no part of the article.
+SHORT = 0.05
 
 
 def marked(value: str, article: bool) -> str:
@@ -98,10 +108,15 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s
 
 
 class Walk:
-    """One pass over a page: calls element(path) at each element, then block(path, text, outside) for each block in order."""
+    """One pass over a page: calls element(path, at) at each element, then block(path, text, outside, at, links) for each block in order.
 
-    def __init__(self, page: str, element, block):
-        self.stack, self.buffer, self.element = [], [], element
+    at counts the elements before; links: characters of the block in links. Without names nothing is outside.
+    """
+
+    def __init__(self, page: str, element, block, names: bool = True):
+        self.stack, self.buffer, self.element, self.names = [], [], element, names
+        self.at = self.links = 0
+        self.linked = False
         self.blocks, self.marks = [], []  # marks: kind, characters, holds <main>, number of <article>s
         self.articles = self.mains = 0
         at, n = 0, len(page)
@@ -110,6 +125,7 @@ class Walk:
                 continue
             if m.start() > at:
                 self.buffer.append(page[at : m.start()])
+                self.links += self.linked * (m.start() - at)
             at = m.end()
             if m[2] is None:
                 continue
@@ -125,10 +141,10 @@ class Walk:
         if at < n:
             self.buffer.append(page[at:])
         self._flush()
-        size = sum(len(text) for _, text, outside, _ in self.blocks if not outside)
+        size = sum(len(text) for _, text, outside, *_ in self.blocks if not outside)
         out = {i for i, x in enumerate(self.marks) if not self._holds_article(*x, size)}
-        for path, text, outside, marks in self.blocks:
-            block(path, text, outside or not out.isdisjoint(marks))
+        for path, text, outside, marks, place, links in self.blocks:
+            block(path, text, outside or not out.isdisjoint(marks), place, min(links, len(text)))
 
     def _holds_article(self, kind, chars, main, articles, size) -> bool:
         """Whether a marked element is around the page's article, so that its name means something else."""
@@ -144,10 +160,11 @@ class Walk:
             self.buffer.clear()
             if text:
                 path, outside, _, marks = self.stack[-1][1:] if self.stack else ("", False, False, ())
-                self.blocks.append((path, text, outside, marks))
+                self.blocks.append((path, text, outside, marks, self.at, self.links))
                 if not outside:
                     for i in marks:
                         self.marks[i][1] += len(text)
+        self.links = 0
 
     def _open(self, name, attributes):
         if name in BLOCK:
@@ -159,7 +176,7 @@ class Walk:
             return
         names = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         path, outside, article, marks = self.stack[-1][1:] if self.stack else ("", False, False, ())
-        if not outside:
+        if not outside and self.names:
             if name in ("article", "main"):
                 self.articles += name == "article"
                 self.mains += name == "main"
@@ -177,7 +194,9 @@ class Walk:
         label = name + ("." + ".".join(sorted(names["class"].split())) if "class" in names else "")
         path = f"{path}>{label}"
         self.stack.append((name, path, outside, article or name in ("article", "main"), marks))
-        self.element(path, outside)
+        self.linked = self.linked or name == "a"
+        self.element(path, self.at)
+        self.at += 1
 
     def _imply(self, name):
         """Close what the start of this element closes: an open paragraph, or a sibling of its kind."""
@@ -196,6 +215,8 @@ class Walk:
     def _close(self, name):
         if name in BLOCK or name in RAW:
             self._flush()
+        if name == "a" or name in BLOCK:
+            self.linked = False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 if i < len(self.stack) - 1 and any(s[0] in BLOCK for s in self.stack[i + 1 :]):
@@ -210,79 +231,160 @@ def _hash(text: str) -> int:
     return struct.unpack("<q", blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
 
 
-def _roles(batches):
-    """Per page: a hash of its html, and its tokens, each with role, count, whether it is text, and the path of text that isn't outside."""
-    for b in batches:
-        contents, tokens = [], []
-        for page in b.column(1).to_pylist():
-            seen, texts, paths = Counter(), set(), {}
+_TOKENS = pa.list_(pa.struct([("role", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("is_text", pa.bool_()), ("path", pa.string()), ("chars", pa.int64()), ("own", pa.int64()), ("links", pa.int64())]))
+_TOKENS_SQL = "array<struct<role: bigint, c: bigint, at: int, is_text: boolean, path: string, chars: bigint, own: bigint, links: bigint>>"
 
-            def element(path, outside):
-                seen[_hash(path)] += 1
 
-            def block(path, text, outside):
-                role = _hash(f"{path}\n{text}")
-                seen[role] += 1
-                texts.add(role)
-                if not outside:
-                    paths[role] = path
+def _roles(names: bool):
+    """Per page: a hash of its html, and its tokens, each with role, count, first place, whether it is text, path, and characters: all, not outside, in links."""
+
+    def run(batches):
+        for b in batches:
+            contents, tokens = [], []
+            for page in b.column(1).to_pylist():
+                seen = {}
+
+                def add(role, at, path, text=None, outside=True, links=0):
+                    t = seen.setdefault(role, {"role": role, "c": 0, "at": at, "is_text": text is not None, "path": path, "chars": 0, "own": 0, "links": 0})
+                    t["c"] += 1
+                    n = len(text or "")
+                    t["chars"] += n
+                    t["own"] += 0 if outside else n
+                    t["links"] += links
+
+                def element(path, at):
+                    add(_hash(path), 2 * at, path)  # noqa: B023
 
-            Walk(page or "", element, block)
-            contents.append(blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            tokens.append([{"role": role, "c": c, "is_text": role in texts, "path": paths.get(role)} for role, c in seen.items()])
-        kind = pa.list_(pa.struct([("role", pa.int64()), ("c", pa.int64()), ("is_text", pa.bool_()), ("path", pa.string())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(tokens, kind)], names=["host", "content", "tokens"])
+                def block(path, text, outside, at, links):
+                    add(_hash(f"{path}\n{text}"), 2 * at - 1, path, text, outside, links)  # noqa: B023
+
+                Walk(page or "", element, block, names)
+                contents.append(blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                tokens.append(list(seen.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(tokens, _TOKENS)], names=["host", "content", "tokens"])
+
+    return run
 
 
 _ARTICLE = re.compile(r">(?:article|main)(?:[.>]|$)").search
+_HEADING = re.compile(r">h[1-6](?:\.[^>]*)?$").search
+_TITLE = re.compile(r">h1(?:\.[^>]*)?$").search
 
 
-def main_slot(low: str | None, high: str | None, seen: Counter) -> str | None:
-    """The innermost element around all paths between low and high that a page has once; None where that is no more than the body."""
-    if low is None or high is None:
-        return None
-    shared = []
-    for a, b in zip(low.split(">"), high.split(">")):
-        if a != b:
-            break
-        shared.append(a)
-    while shared and shared[-1].split(".")[0] not in ("", "html", "body"):
-        path = ">".join(shared)
-        if seen[path] == 1:
-            return path
-        shared.pop()
-    return None
+def _above(path: str):
+    """The path's elements, innermost first: itself and all around it."""
+    while path:
+        yield path
+        path = path.rpartition(">")[0]
+    yield ""
 
 
-def _extract(batches):
+def article_slots(nodes: list[tuple[str, int, int, int, bool]]) -> tuple[str | None, list[tuple[str, bool]]]:
+    """(main slot, (path, whether it goes) of the elements beside and on the way to it) of a host's template.
+
+    nodes: path, characters that aren't fixed, those not outside by name, those in links, all with what is nested there,
+    and whether the element is once on each page. No main slot below the body: (None, []).
+    """
+    known = {p for p, *_ in nodes}
+    chars, links = {p: n for p, n, *_ in nodes}, {p: n for p, _, _, n, _ in nodes}
+    named = any(own for _, _, own, *_ in nodes)
+    weight = {p: own if named else n - link for p, n, own, link, _ in nodes}
+    children = {}
+    for p in sorted(known):
+        children.setdefault(next((x for x in _above(p.rpartition(">")[0]) if x in known), ""), []).append(p)
+    for sums in (chars, links, weight):
+        sums[""] = sum(sums[p] for p in children.get("", ()))
+    can = {p for p, *_, once in nodes if once and p.rpartition(">")[2].split(".")[0] in (CONTAINERS | {"html", "body"})}
+    way = [""]
+    while True:
+        best = max((p for p in children.get(way[-1], ()) if p in can), key=lambda p: weight[p], default=None)
+        if best is None or weight[best] <= MOST * weight[way[-1]]:
+            break
+        way.append(best)
+    main = way[-1]
+    if main.rpartition(">")[2].split(".")[0] in ("", "html", "body"):
+        return None, []
+
+    def goes(path, n, link, w, inside):
+        if _ARTICLE(path) or any(_ARTICLE(p) or _TITLE(p) for p in inside):
+            return False
+        return link > MOST * n or w < SHORT * weight[main]
+
+    slots = [(main, False)]
+    for p, entered in zip(way, way[1:]):
+        own = children[p]
+        slots += [(c, not _HEADING(c) and goes(c, chars[c], links[c], weight[c], [x for x in known if x == c or x.startswith(f"{c}>")])) for c in own if c != entered]
+        slots.append((p, goes(p, *(sums[p] - sum(sums[c] for c in own) for sums in (chars, links, weight)), ())))
+    return main, slots
+
+
+def _decide(batches):
+    """Per host: the roles of its fixed text, its main slot and its other slots."""
     for b in batches:
-        texts = []
-        for page, template, low, high in zip(*(b.column(c).to_pylist() for c in ("_sl_html", "_sl_template", "_sl_low", "_sl_high"))):
-            fixed, own, seen = set(template or ()), [], Counter()
-            Walk(page or "", lambda path, outside: seen.update((path,)), lambda path, text, outside: outside or own.append((path, text)))
-            slot = main_slot(low, high, seen)
-            inside = lambda path: _ARTICLE(path) or (slot and (path == slot or path.startswith(f"{slot}>")))  # noqa: E731, B023
-            blocks = [text for path, text in own if inside(path) or _hash(f"{path}\n{text}") not in fixed]
-            texts.append("\n".join(blocks or [text for _, text in own]))
-        names = [n for n in b.schema.names if n not in ("_sl_html", "_sl_template", "_sl_low", "_sl_high")]
-        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
-
-
-def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host with a template: _sl_host, _sl_template (roles of its text), _sl_low and _sl_high (bounds of the paths of its slots)."""
+        made = [article_slots([tuple(n.values()) for n in nodes or ()]) for nodes in b.column(2).to_pylist()]
+        kind = pa.list_(pa.struct([("path", pa.string()), ("gone", pa.bool_())]))
+        slots = pa.array([[{"path": p, "gone": g} for p, g in x] for _, x in made], kind)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m for m, _ in made], pa.string()), slots], names=["_sl_host", "_sl_template", "_sl_main", "_sl_slots"])
+
+
+_OF_HOST = ("_sl_template", "_sl_main", "_sl_slots")
+
+
+def _extract(names: bool):
+    def run(batches):
+        for b in batches:
+            texts = []
+            for page, template, main, slots in zip(*(b.column(c).to_pylist() for c in ("_sl_html", *_OF_HOST))):
+                fixed, own, seen = set(template or ()), [], Counter()
+                Walk(page or "", lambda path, at: seen.update((path,)), lambda path, text, outside, *_: outside or own.append((path, text)), names)  # noqa: B023
+                main = main if main and seen[main] == 1 else None
+                gone = {x["path"]: x["gone"] for x in slots} if main else {"": False}
+                inside = lambda path: _ARTICLE(path) or (main and (path == main or path.startswith(f"{main}>")))  # noqa: E731, B023
+                slot = lambda path: next(gone[p] for p in _above(path) if p in gone)  # noqa: E731, B023
+                blocks = [text for path, text in own if inside(path) or not (slot(path) or _hash(f"{path}\n{text}") in fixed)]
+                texts.append("\n".join(blocks or [text for _, text in own]))
+            kept = [n for n in b.schema.names if n != "_sl_html" and n not in _OF_HOST]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    return run
+
+
+def valid_classes(distinct: DataFrame, stats: DataFrame) -> DataFrame:
+    """The tokens of large, frequent and ordered classes: _sl_host, vector, role, is_text, path, c."""
+    frequent = stats.filter((F.col("pages") >= F.col("_sl_pages") * SHARE) & (F.col("pages") >= PAGES))
+    large = frequent.groupBy("_sl_host", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS).drop("n")
+    classes = cut(frequent.join(large, ["_sl_host", "vector"]).select("_sl_host", "vector", "role", "is_text", "path", "c"))
+    # a class's tokens on one page are together, never those of a host
+    placed = distinct.select(F.col("host").alias("_sl_host"), F.xxhash64("host", "content").alias("page"), F.explode("tokens").alias("t")).select("_sl_host", "page", "t.role", "t.at")
+    found = placed.join(classes.select("_sl_host", "role", "vector"), ["_sl_host", "role"]).select(F.xxhash64("_sl_host", "vector").alias("class"), "page", "at", "role")
+    orders = found.groupBy("class", "page").agg(F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", "role"))), lambda t: t["role"])).alias("o"))
+    ordered = orders.groupBy("class").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low = high").select("class")
+    return classes.withColumn("class", F.xxhash64("_sl_host", "vector")).join(ordered, "class", "left_semi").drop("class")
+
+
+def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """One row per host with a template: _sl_host, _sl_template (roles of its fixed text), _sl_main (path of its main slot), _sl_slots (of other slots, whether they go)."""
     slim = pages.select(_host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
-    read = slim.mapInArrow(_roles, "host string, content binary, tokens array<struct<role: bigint, c: bigint, is_text: boolean, path: string>>")
+    read = slim.mapInArrow(_roles(names), f"host string, content binary, tokens {_TOKENS_SQL}")
     # tokens are packed, a row per page, until copies of a page are one
     distinct = cut(read.groupBy("host", "content").agg(F.first("tokens").alias("tokens")))
     per_host = distinct.groupBy(F.col("host").alias("_sl_host")).agg(F.count(F.lit(1)).alias("_sl_pages"))
-    tokens = distinct.select("host", "content", F.explode("tokens").alias("t")).select("host", "t.role", "t.is_text", "t.path", F.xxhash64("content", "t.c").alias("h"))
-    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"), F.max("path").alias("path"))
+    tokens = distinct.select("host", "content", F.explode("tokens").alias("t")).select("host", "t.*", F.xxhash64("content", "t.c").alias("h"))
+    sums = [F.sum(c).alias(c) for c in ("chars", "own", "links")]
+    stats = tokens.groupBy("host", "role").agg(F.bit_xor("h").alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"), F.max("path").alias("path"), F.max("c").alias("c"), *sums)
     stats = cut(stats.join(per_host, stats["host"] == per_host["_sl_host"]).drop("host"))
-    frequent = stats.filter((F.col("pages") >= F.col("_sl_pages") * SHARE) & (F.col("pages") >= PAGES))
-    large = frequent.groupBy("_sl_host", "vector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CLASS).drop("n")
-    fixed = cut(frequent.join(large, ["_sl_host", "vector"]).filter("is_text").select("_sl_host", "role"))
-    slots = stats.filter("path is not null").join(fixed, ["_sl_host", "role"], "left_anti").groupBy("_sl_host").agg(F.min("path").alias("_sl_low"), F.max("path").alias("_sl_high"))
-    return fixed.groupBy("_sl_host").agg(F.collect_list("role").alias("_sl_template")).join(slots, "_sl_host", "left")
+    valid = cut(valid_classes(distinct, stats))
+    fixed = valid.filter("is_text").select("_sl_host", "role")
+    elements = valid.filter("not is_text").select("_sl_host", "path", (F.col("c") == 1).alias("once"))
+    # characters by path, then by each element of the template around it: a host's rows are added up before they meet
+    by_path = stats.filter("is_text").join(fixed, ["_sl_host", "role"], "left_anti").groupBy("_sl_host", "path").agg(*sums)
+    around = F.transform(F.sequence(F.lit(2), F.size("names")), lambda k: F.array_join(F.slice("names", 1, k), ">"))
+    spread = by_path.withColumn("names", F.split("path", ">")).filter(F.size("names") > 1).select("_sl_host", F.explode(around).alias("path"), "chars", "own", "links").groupBy("_sl_host", "path").agg(*sums)
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chars", "own", "links")]
+    nodes = elements.join(spread, ["_sl_host", "path"], "left").groupBy("_sl_host").agg(F.collect_list(F.struct("path", *zero, "once")).alias("nodes"))
+    texts = fixed.groupBy("_sl_host").agg(F.collect_list("role").alias("_sl_template"))
+    kind = "_sl_host string, _sl_template array<bigint>, _sl_main string, _sl_slots array<struct<path: string, gone: boolean>>"
+    return texts.join(nodes, "_sl_host", "full").select("_sl_host", "_sl_template", "nodes").mapInArrow(_decide, kind)
 
 
 def _host(url_col: str):
@@ -296,15 +398,15 @@ def _salts(slim: DataFrame, total: int, n_tasks: int) -> DataFrame:
     return slim.sparkSession.createDataFrame([tuple(r) for r in hot], "_sl_host string, _sl_salts bigint")
 
 
-def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: key, url, text, n_chars."""
-    templates = deduce(pages, url_col, html_col)
+def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """One row per page: key, url, text, n_chars. names: whether names of elements tell what is outside, too."""
+    templates = cut(deduce(pages, url_col, html_col, names))
     slim = pages.select(F.col(key_col).alias("_sl_key"), F.col(url_col).alias("_sl_url"), _host(url_col).alias("_sl_host"), F.col(html_col).alias("_sl_html"))
     # pages of a hot host go to as many tasks as they need; only such a host's template is repeated
     hot, one = F.broadcast(_salts(slim, pages.count(), parts(pages.sparkSession))), F.lit(1)
     spread = slim.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.pmod(F.xxhash64("_sl_key", "_sl_url", "_sl_html"), F.coalesce("_sl_salts", one))).drop("_sl_salts")
     templates = templates.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_sl_salts", one) - 1))).drop("_sl_salts")
-    joined = spread.join(templates, ["_sl_host", "_sl_salt"], "left").select("_sl_key", "_sl_url", "_sl_html", "_sl_template", "_sl_low", "_sl_high")
+    joined = spread.join(templates, ["_sl_host", "_sl_salt"], "left").select("_sl_key", "_sl_url", "_sl_html", *_OF_HOST)
     kind = pages.schema[key_col].dataType.simpleString()
-    done = joined.mapInArrow(_extract, f"_sl_key {kind}, _sl_url string, text string")
+    done = joined.mapInArrow(_extract(names), f"_sl_key {kind}, _sl_url string, text string")
     return done.select(F.col("_sl_key").alias(key_col), F.col("_sl_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from siltstone.llm.packing import CachedWordBpe, has_form, pack
 from siltstone.llm.quality import quality
-from siltstone.llm.templates import _host, _salts, extract
+from siltstone.llm.templates import Walk, _host, _salts, article_slots, deduce, extract
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -224,3 +224,52 @@ def test_pages_of_a_hot_host_are_dealt_to_several_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r.page_id is None, r.page_id or 0, r.text) for r in got) == sorted((r[0] is None, r[0] or 0, f"H{r[0]}\nBody of page {r[0]} is long enough to count" if r[2] else "") for r in rows)
+
+
+def test_slots_of_a_template():
+    """chars, not outside, in links, all with what is nested; once."""
+    page, wrap, story = ">html>body", ">html>body>div.wrap", ">html>body>div.wrap>div.story"
+    nodes = [
+        (">html", 1300, 1300, 170, True), (page, 1300, 1300, 170, True), (f"{page}>ul", 200, 200, 170, True), (f"{page}>ul>li", 200, 200, 170, False),
+        (wrap, 1060, 1060, 0, True), (f"{wrap}>h2", 9, 9, 0, True), (f"{wrap}>div.lead", 80, 80, 0, True), (f"{wrap}>div.top", 30, 30, 0, True), (f"{wrap}>div.top>h1", 30, 30, 0, True),
+        (f"{wrap}>div.tags", 41, 41, 0, True), (story, 900, 900, 0, True), (f"{story}>p", 890, 890, 0, False),
+    ]
+    main, slots = article_slots(nodes)
+    assert main == story
+    assert dict(slots) == {
+        story: False, f"{wrap}>h2": False, f"{wrap}>div.lead": False, f"{wrap}>div.top": False, f"{wrap}>div.tags": True,
+        f"{page}>ul": True, wrap: True, page: True, ">html": True, "": True,
+    }
+    assert article_slots([]) == (None, []) and article_slots(nodes[:2]) == (None, [])
+    flat = [(">html", 90, 90, 0, True), (page, 90, 90, 0, True), (f"{page}>div", 90, 90, 0, False)]
+    assert article_slots(flat) == (None, [])  # an element that is there more than once is no main slot
+
+
+def test_the_template_alone_finds_the_article(spark):
+    page = "<html><head><title>T{0}</title></head><body><div class=x1><a href=/{0}>Go {0}</a> <a>Else {0}</a></div><div class=x2><p>Buy {0}</p></div>{2}<div class=x3><h1>Head {0}</h1><div class=x4>{1}</div></div><div class=x5>Made by {0}</div></body></html>"
+    body = "".join(f"<p>Sentence number {{0}} {k} of a longer text, with some words.</p>" for k in range(6))
+    want = "\n".join(["Head {0}", *[f"Sentence number {{0}} {k} of a longer text, with some words." for k in range(6)]])
+    rows = [(i, f"http://k.example/{i}", page.format(i, body.format(i), "")) for i in range(9)]
+    # on one page the order of two elements of the class is another: no valid class, nothing told by slots
+    rows += [(100 + i, f"http://l.example/{i}", page.format(i, body.format(i), "").replace("x1", "y1" if i == 4 else "x1").replace("x5", "x1" if i == 4 else "x5").replace("y1", "x5")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract(df, names=False).collect()}
+    named = {r.page_id: r.text for r in extract(df).collect()}
+    assert all(got[i] == named[i] == want.format(i) for i in range(9))
+    assert all(named[100 + i].startswith("Go") and named[100 + i].endswith(f"Made by {i}") for i in range(9))
+    hosts = {r._sl_host: r._sl_main for r in deduce(df).collect()}
+    assert hosts["k.example"] == ">html>body>div.x3>div.x4" and hosts.get("l.example") is None
+
+
+def test_a_page_without_the_main_slot_keeps_its_text(spark):
+    page = "<html><body><div class=a>Short {0}</div><div class=b><section><div><p>{1}</p><p>{1}</p></div></section></div></body></html>"  # b, section and div are a class of their own
+    rows = [(i, f"http://m.example/{i}", page.format(i, f"text {i} " * 20)) for i in range(20)] + [(20, "http://m.example/20", "<html><body><div class=a>Only this</div><span>and that</span></body></html>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[20] == "Only this\nand that"
+    assert all(got[i] == "\n".join([f"{f'text {i} ' * 20}".strip()] * 2) for i in range(20))
+
+
+def test_characters_in_links():
+    blocks = []
+    Walk("<ul><li><a href=x>four</a> and<li><a>whole</a></ul><p>none <a>", lambda path, at: None, lambda path, text, outside, at, links: blocks.append((text, at, links)))
+    assert blocks == [("four and", 3, 4), ("whole", 5, 5), ("none", 7, 0)]
