@@ -20,10 +20,12 @@ Scale. A class and its contexts lie in one bucket, so only the root is shared: e
 sends its counts of words, packed, to shards by ranges of hashes and gets the root's state
 for the words that it named, once a round. Tokens are dealt once, packed in columns of
 about 5 bytes; later rounds read the packed table without a shuffle. Frequent words (KNOWN at
-most, found in one pass) are written in two bytes, which changes no result. A context with
-more than a quarter of a bucket's tokens has several restaurants, between which documents
-are dealt by a hash of their words; a class of that size is split by the context's hash. So
-no bucket holds an unbounded context. Equal texts of one chunk are read once. All documents
+most, found in one pass) are written in two bytes, which changes no result. A class with more
+tokens than a bucket's share, and than PIECE, has its texts dealt to several buckets by a hash of
+their words; the counts of its pairs are added up once and given to each of these, so that each
+holds the class's restaurants whole, with the finds of its own texts, and one of them sends to the
+root. So neither how tokens are dealt nor the number of buckets changes the model, only the draws
+of its sampler; a bucket holds PIECE tokens of a hot class, or its share, and the class's pairs. Equal texts of one chunk are read once. All documents
 are learned from (but for the held-out fold) and scored, whole.
 
 Defined cases: null text is empty: it has the end token alone. Rows repeated with one id
@@ -42,9 +44,11 @@ from siltstone.storage import cut_by, free
 
 from .common import ascii_lower, blocks, crc_bucket, cut, mix, most_frequent, parts, signed, slices, span_hashes, text_bytes, word_spans
 
-#: Most hot contexts and classes; most frequent words with a code, and those that one chunk names.
-HOT, KNOWN, CHUNK_WORDS = 4096, 65_000, 8000
-ROUNDS, BURN, SAMPLES = 1, 2, 3
+#: Most frequent words with a code, and those that one chunk names.
+KNOWN, CHUNK_WORDS = 65_000, 8000
+#: Tokens of a class that one bucket takes whatever its share.
+PIECE = 1 << 22
+ROUNDS, BURN, SAMPLES = 1, 2, 4
 #: Strengths of contexts, classes and the root.
 STRENGTH, CLASS_STRENGTH, ROOT_STRENGTH = 1.0, 2.0, 2.0
 #: Bytes of text dealt at a time: bounds a worker's arrays, about 40 bytes each for a byte of text.
@@ -125,15 +129,15 @@ def _find(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _frequent(share: float):
-    """What a chunk finds often: contexts (kind 0), classes (1), words (2), and its number of tokens (3)."""
+    """What a chunk finds often: classes (kind 1), words (2), and its number of tokens (3)."""
 
     def run(batches):
         for b in slices(batches, "_sl_text", CHUNK_BYTES):
-            word, before, kind, _ = _tokens(_texts(b)[0])
+            word, _, kind, _ = _tokens(_texts(b)[0])
             rows = [(3, np.zeros(1, np.uint64), np.array([len(word)]))]
-            for k, values in enumerate((before, kind, word)):
+            for k, values in ((1, kind), (2, word)):
                 key, n = np.unique(values, return_counts=True)
-                keep = np.flatnonzero(n >= max(2.0, share * len(word))) if k < 2 else np.argsort(-n, kind="stable")[:CHUNK_WORDS]
+                keep = np.flatnonzero(n >= max(2.0, share * len(word))) if k == 1 else np.argsort(-n, kind="stable")[:CHUNK_WORDS]
                 rows.append((k, key[keep], n[keep]))
             for k, key, n in rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), signed(key), pa.array(n.astype(np.int64))], names=["kind", "w", "n"])
@@ -142,29 +146,21 @@ def _frequent(share: float):
 
 
 class Plan:
-    """Hot contexts and classes with the number of pieces that each is dealt into, and the words with a code; all ascending."""
+    """Hot classes with the number of buckets that each is dealt to, and the words with a code; both ascending."""
 
-    def __init__(self, contexts, context_pieces, classes, class_pieces, known):
-        self.contexts, self.context_pieces, self.classes, self.class_pieces, self.known = contexts, context_pieces, classes, class_pieces, known
+    def __init__(self, classes, pieces, known):
+        self.classes, self.pieces, self.known = classes, pieces, known
 
 
-def _placed(word, before, kind, doc, n_docs: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The restaurant and class of each token's context: hot ones are dealt into pieces."""
+def _buckets(kinds, u, word, doc, of_pair, n_docs: int, n_buckets: int, plan: Plan) -> np.ndarray:
+    """The bucket of each (context u, text of_pair): that of the context's class, or one of a hot class's by the text's words."""
     content = np.zeros(n_docs, np.uint64)
     np.add.at(content, doc, mix(word))
-    at = _find(plan.contexts, before)
+    bucket, at = (mix(kinds) >> np.uint64(33))[u], _find(plan.classes, kinds)[u]
     hot = np.flatnonzero(at >= 0)
-    context, kind = before.copy(), kind.copy()
     if len(hot):
-        piece = mix(content)[doc[hot]] % plan.context_pieces[at[hot]]
-        context[hot] = mix(before[hot] ^ mix(piece + np.uint64(1)))
-        kind[hot] = context[hot] & _LOW
-    at = np.where(at >= 0, -1, _find(plan.classes, kind))
-    hot = np.flatnonzero(at >= 0)
-    if len(hot):
-        piece = mix(before[hot]) % plan.class_pieces[at[hot]]
-        kind[hot] = mix(kind[hot] ^ mix(piece + np.uint64(1))) & _LOW
-    return context, kind
+        bucket[hot] += mix(content)[of_pair[hot]] % plan.pieces[at[hot]]
+    return (bucket % np.uint64(n_buckets)).astype(np.int64)
 
 
 def _coded(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,15 +190,14 @@ def _deal(n_buckets: int, plan):
             weight = np.bincount(which[~held], minlength=len(texts))
             word, before, kind, doc = _tokens(texts)
             counts = np.bincount(doc, minlength=len(texts))
-            context, kind = _placed(word, before, kind, doc, len(texts), plan.value)
-            contexts, one, u = np.unique(context, return_index=True, return_inverse=True)
+            contexts, one, u = np.unique(before, return_index=True, return_inverse=True)
             kinds = kind[one]
             names, w = np.unique(word, return_inverse=True)
             low, mid = np.uint64(len(texts).bit_length()), np.uint64(len(names).bit_length())
             key, times = np.unique((((u.astype(np.uint64) << mid) | w.astype(np.uint64)) << low) | doc.astype(np.uint64), return_counts=True)
-            doc, key = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), key >> low
+            of_token, (doc, key) = doc, ((key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), key >> low)
             u, w = (key >> mid).astype(np.int64), (key & ((np.uint64(1) << mid) - np.uint64(1))).astype(np.int64)
-            bucket = ((mix(kinds) >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)[u]
+            bucket = _buckets(kinds, u, word, of_token, doc, len(texts), n_buckets, plan.value)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = []
@@ -283,22 +278,47 @@ def seat(rng, count: np.ndarray, new: np.ndarray, discount: float, tables: np.nd
 
 
 class Bucket:
-    """The restaurants of one bucket: contexts, classes, pairs, and a sampler over their tables."""
+    """The restaurants of one bucket: contexts, classes, pairs, and a sampler over their tables.
+
+    shared: of each hot class that has texts here, whether this bucket sends its tables to the root, and its pairs (_hot).
+    """
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, shared: list[tuple[bool, bytes]] = ()):
         self.names, contexts, kinds, lens, word, c, self.finds, self.chunk, self.doc, self.times, self.chunks = _load(payload)
         self.context, self.word, self.c = np.repeat(np.arange(len(contexts)), lens), word.astype(np.int64), c.astype(np.int64)
-        kind = np.unique(kinds, return_inverse=True)[1]
+        others = []
+        for sends, blob in shared:
+            contexts, kinds = self._whole(contexts, kinds, *_load(blob))
+            others += [] if sends else [_load(blob)[0][0]]
+        names, kind = np.unique(kinds, return_inverse=True)
         # dishes: words of a class; each pair of a context and a word orders one
-        dish, self.dish = np.unique((kind[self.context].astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
+        dish, self.dish = np.unique((kind[self.context].astype(np.uint64) << np.uint64(32)) | self.word.astype(np.uint64), return_inverse=True)
         self.kind, self.dish_word = (dish >> np.uint64(32)).astype(np.int64), (dish & _LOW).astype(np.int64)
+        self.sends = ~np.isin(names, np.array(others, np.uint32))[self.kind]
         self.sizes = len(contexts), int(kind.max(initial=-1)) + 1
-        self.local = np.bincount(self.word, weights=self.c, minlength=len(self.names)).astype(np.int64)
+        self.local = np.bincount(self.word, weights=self.c * self.sends[self.dish], minlength=len(self.names)).astype(np.int64)
         self.customers = np.bincount(self.context, weights=self.c, minlength=len(contexts))
 
+    def _whole(self, contexts, kinds, kind, all_contexts, lens, words, c) -> tuple[np.ndarray, np.ndarray]:
+        """Take the counts of a class's pairs from all its buckets; pairs stay in the order of (context, word), so finds do."""
+        own = kinds == kind[0]
+        both, names = np.union1d(contexts, all_contexts), np.union1d(self.names, words)
+        made = np.full(len(both), kind[0], np.uint32)
+        made[np.searchsorted(both, contexts)] = kinds
+        mine = (np.searchsorted(both, contexts)[self.context].astype(np.uint64) << np.uint64(32)) | np.searchsorted(names, self.names)[self.word].astype(np.uint64)
+        theirs = (np.repeat(np.searchsorted(both, all_contexts), lens).astype(np.uint64) << np.uint64(32)) | np.searchsorted(names, words).astype(np.uint64)
+        pair = np.union1d(mine, theirs)
+        count, finds = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        at = np.searchsorted(pair, mine)
+        count[at], finds[at] = np.where(own[self.context], 0, self.c), self.finds
+        count[np.searchsorted(pair, theirs)] = c
+        self.names, self.c, self.finds = names, count, finds
+        self.context, self.word = (pair >> np.uint64(32)).astype(np.int64), (pair & _LOW).astype(np.int64)
+        return both, made
+
     def sent(self, tables: np.ndarray) -> np.ndarray:
         """Customers of the root by word, for tables by dish."""
-        return np.bincount(self.dish_word, weights=tables, minlength=len(self.names)).astype(np.int64)
+        return np.bincount(self.dish_word, weights=tables * self.sends, minlength=len(self.names)).astype(np.int64)
 
     def orders(self, t: np.ndarray) -> np.ndarray:
         """Customers of the classes by dish, for tables by pair."""
@@ -306,8 +326,9 @@ class Bucket:
 
     def first(self) -> tuple[np.ndarray, dict]:
         """Customers of the root when each word has one table in a restaurant, and counts of counts."""
-        orders = self.orders(self.c > 0)
-        return self.sent(orders > 0), {"once": int((self.c == 1).sum()), "two": int((self.c == 2).sum()), "class_once": int((orders == 1).sum()), "class_two": int((orders == 2).sum())}
+        orders, mine = self.orders(self.c > 0), self.sends[self.dish]
+        numbers = {"once": (self.c == 1) & mine, "two": (self.c == 2) & mine, "class_once": (orders == 1) & self.sends, "class_two": (orders == 2) & self.sends}
+        return self.sent(orders > 0), {x: int(v.sum()) for x, v in numbers.items()}
 
     def sweeps(self, discounts, root: np.ndarray, seed: list[int], burn: int, samples: int):
         """(customers of the root by word, mean predictive probability by pair) after the sweeps; root: its probabilities by word."""
@@ -400,19 +421,64 @@ def _answer(root: Root | None, turn: int):
     return run
 
 
-def _first_totals(n_shards: int):
+def _hot(plan):
+    """Of each bucket and each hot class that has texts there: class, contexts, their numbers of pairs, words, counts."""
+
     def run(batches):
         for b in batches:
+            rows = []
             for k, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                bucket = Bucket(payload.as_py())
-                yield from _stat_rows(k, n_shards, bucket, *bucket.first()).to_batches()
+                names, contexts, kinds, lens, word, c, *_ = _load(payload.as_py())
+                for kind in np.intersect1d(kinds, plan.value.classes.astype(np.uint32)):
+                    pairs = np.flatnonzero(np.repeat(kinds == kind, lens) & (c > 0))
+                    of = np.repeat(np.arange(len(contexts)), lens)[pairs]
+                    own, n = np.unique(of, return_counts=True)
+                    rows.append((int(kind), k, _dump([np.array([kind], np.uint32), contexts[own], n.astype(np.uint32), names[word[pairs]], c[pairs].astype(np.int64)])))
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["unit", "b", "payload"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """A hot class's pairs with their counts in all buckets, and the buckets."""
+    kind, contexts, words, counts = None, [], [], []
+    for blob in table.column("payload"):
+        kind, context, lens, word, c = _load(blob.as_py())
+        for x, v in zip((contexts, words, counts), (np.repeat(context, lens), word, c)):
+            x.append(v)
+    names, u = np.unique(np.concatenate(contexts), return_inverse=True)
+    known, w = np.unique(np.concatenate(words), return_inverse=True)
+    pair, at = np.unique((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
+    c = np.bincount(at, weights=np.concatenate(counts), minlength=len(pair)).astype(np.int64)
+    lens = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(names)).astype(np.uint32)
+    blob = _dump([kind, names, lens, known[(pair & _LOW).astype(np.int64)], c])
+    return pa.Table.from_arrays([pa.array([sorted(table.column("b").to_pylist())], pa.list_(pa.int32())), pa.array([blob], pa.binary())], names=["bs", "payload"])
+
+
+def _built(buckets: pa.Table, beside: pa.Table):
+    """(number, bucket) of each row, with the hot classes among the rows beside: shard is SENDS in the one that sends, below in others."""
+    shard = beside.column("shard").to_pylist()
+    shared = [(shard[i] == SENDS, beside.column("payload")[i].as_py()) for i in range(len(shard)) if shard[i] < 0]
+    for k, payload in zip(buckets.column("b").to_pylist(), buckets.column("payload")):
+        yield k, Bucket(payload.as_py(), shared)
+
+
+#: Instead of a shard's number, in rows of hot classes: this bucket sends to the root.
+SENDS = -1
+
+
+def _first_totals(n_shards: int):
+    def run(buckets: pa.Table, beside: pa.Table) -> pa.Table:
+        return pa.concat_tables([_stat_rows(k, n_shards, bucket, *bucket.first()) for k, bucket in _built(buckets, beside)] or [_stat_table([])])
 
     return run
 
 
 def _state(answers: pa.Table) -> tuple[np.ndarray, ...]:
     """Training count, customers and tables of the root by a bucket's words, from the shards' answers."""
-    order = np.argsort(np.asarray(answers.column("shard")))
+    shard = np.asarray(answers.column("shard"))
+    order = [i for i in np.argsort(shard) if shard[i] >= 0]
     pieces = [_load(answers.column("payload")[int(i)].as_py()) for i in order]
     return tuple(np.concatenate([p[x] for p in pieces]).astype(np.int64) for x in range(3))
 
@@ -420,8 +486,7 @@ def _state(answers: pa.Table) -> tuple[np.ndarray, ...]:
 def _resampled(root: Root, turn: int, n_shards: int):
     def run(buckets: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for k, payload in zip(buckets.column("b").to_pylist(), buckets.column("payload")):
-            bucket = Bucket(payload.as_py())
+        for k, bucket in _built(buckets, answers):
             sent, _ = bucket.sweeps(root.discounts, root.probabilities(*_state(answers)[1:]), [turn, k], BURN, 1)
             out.append(_stat_rows(k, n_shards, bucket, sent, {}))
         return pa.concat_tables(out) if out else _stat_table([])
@@ -434,8 +499,7 @@ def _scored(root: Root):
 
     def run(buckets: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for k, payload in zip(buckets.column("b").to_pylist(), buckets.column("payload")):
-            bucket = Bucket(payload.as_py())
+        for k, bucket in _built(buckets, answers):
             count, customers, tables = _state(answers)
             _, mean = bucket.sweeps(root.discounts, root.probabilities(customers, tables), [1_000_003, k], BURN, SAMPLES)
             count = count[bucket.word]
@@ -470,38 +534,42 @@ def _per_document(log_size: float):
     return run
 
 
-def _plan(slim: DataFrame, n: int) -> Plan:
-    """Hot contexts, hot classes and frequent words, from one pass: 2 * HOT + KNOWN rows at most come to the driver."""
+def _plan(slim: DataFrame, n: int, piece: int) -> Plan:
+    """Hot classes and frequent words, from one pass: n + KNOWN rows at most come to the driver, for n classes at most have more than an n-th of all tokens."""
     counts = cut(slim.mapInArrow(_frequent(0.1 / n), "kind int, w bigint, n bigint").groupBy("kind", "w").agg(F.sum("n").alias("n")))
     total = counts.filter("kind = 3").agg(F.sum("n")).first()[0] or 0
-
-    def top(kind: int, limit: int, least: float):
-        got = counts.filter((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "w").limit(limit).toPandas()
-        key = got["w"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return key[order], np.ceil(got["n"].to_numpy(np.float64)[order] * (4 * n / max(total, 1))).astype(np.uint64)
-
+    most = max(total / n, piece)
+    hot = counts.filter((F.col("kind") == 1) & (F.col("n") > most)).toPandas()
+    classes = hot["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(classes)
+    pieces = np.ceil(hot["n"].to_numpy(np.float64)[order] / most).astype(np.uint64)
     known = np.sort(most_frequent(counts.filter("kind = 2"), "n", KNOWN).toPandas()["w"].to_numpy(np.int64).view(np.uint64))
-    plan = Plan(*top(0, HOT, total * 0.25 / n), *top(1, HOT, total * 0.25 / n), known)
     free(counts)
-    return plan
+    return Plan(classes[order], pieces, known)
 
 
-def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: a boolean Column; true rows are scored but not learned from. By default crc32 of
-    the id as text, modulo 7, equal to 2.
+    the id as text, modulo 7, equal to 2. piece: as PIECE; it changes what a bucket holds, not the model.
     """
     spark = docs.sparkSession
     held_out = crc_bucket(F.col(id_col), 7) == 2 if held_out is None else held_out
     slim = docs.select(F.col(id_col).alias("_sl_id"), F.col(text_col).cast("string").alias("_sl_text"), F.coalesce(held_out, F.lit(False)).alias("_sl_held"))
     id_type = slim.schema["_sl_id"].dataType.simpleString()
     n, shards = BUCKETS * parts(spark), max(1, parts(spark) // BUCKETS)
-    plan = spark.sparkContext.broadcast(_plan(slim, n))
+    plan = spark.sparkContext.broadcast(_plan(slim, n, piece))
     schema = f"b int, kind int, chunk bigint, payload binary, ids array<{id_type}>, {_INFO}"
     packed = cut_by(slim.mapInArrow(_deal(n, plan), schema).groupBy("b").applyInArrow(_merge(plan), schema), "b", parts(spark), "uncompressed")
     buckets = packed.filter("kind = 0").select("b", "payload")
+    beside = "b int, shard int, payload binary"
+    if len(plan.value.classes):
+        added = buckets.mapInArrow(_hot(plan), "unit bigint, b int, payload binary").groupBy("unit").applyInArrow(_added, "bs array<int>, payload binary")
+        sends = F.when(F.col("b") == F.col("bs")[0], SENDS).otherwise(SENDS - 1)
+        hot = cut(added.select(F.explode("bs").alias("b"), "bs", "payload").select("b", sends.alias("shard"), "payload"), "uncompressed")
+    else:
+        hot = spark.createDataFrame([], beside)
 
     def summed(stats: DataFrame, root: Root | None, turn: int) -> tuple[DataFrame, dict]:
         """The shards' answers, and their sums: a row for each of NUMBERS."""
@@ -509,19 +577,20 @@ def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text
         rows = answers.filter("kind > 0").groupBy("kind").agg(F.sum("value")).collect()
         return answers, dict.fromkeys(NUMBERS, 0.0) | {NUMBERS[r[0] - 1]: r[1] for r in rows}
 
-    def with_state(run, schema: str) -> DataFrame:
-        return buckets.groupBy("b").cogroup(answers.filter("kind = 0").select("b", "shard", "payload").groupBy("b")).applyInArrow(run, schema)
+    def with_state(run, schema: str, answers: DataFrame | None) -> DataFrame:
+        state = hot if answers is None else answers.filter("kind = 0").select("b", "shard", "payload").unionAll(hot)
+        return buckets.groupBy("b").cogroup(state.groupBy("b")).applyInArrow(run, schema)
 
-    answers, sums = summed(buckets.mapInArrow(_first_totals(shards), _STATS), None, 0)
+    answers, sums = summed(with_state(_first_totals(shards), _STATS, None), None, 0)
     for turn in range(1, ROUNDS + 1):
         before, root = answers, Root(sums)
         counts = {x: sums[x] for x in ("once", "two", "class_once", "class_two")}
-        answers, sums = summed(with_state(_resampled(root, turn, shards), _STATS), root, turn)
+        answers, sums = summed(with_state(_resampled(root, turn, shards), _STATS, answers), root, turn)
         sums |= counts
         free(before)
     root = Root(sums)
-    scores = cut(with_state(_scored(root), "chunk bigint, payload binary"), "uncompressed")
-    free(answers)
+    scores = cut(with_state(_scored(root), "chunk bigint, payload binary", answers), "uncompressed")
+    free(answers, hot)
     info = packed.filter("kind = 2").select("chunk", "payload", "ids", "which", "held", "n")
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{id_type}>"), ("which", "array<int>"), ("held", "array<boolean>"), ("n", "array<bigint>"))]
     log_size = float(np.log10(root.tokens + root.types + 1.0))

@@ -4,12 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import awkward, documents, empty, frame, lower, prose, words
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import mix, span_hashes
-from siltstone.llm.language_model import STRENGTH, Bucket, Root, _dump, score_documents, seat
+from siltstone.llm.language_model import CLASS_STRENGTH, ROOT_STRENGTH, STRENGTH, Bucket, Plan, Root, _added, _dump, _hot, score_documents, seat
 from siltstone.llm.toxicity import drop_toxic, toxicity
 
 
@@ -135,6 +136,87 @@ def test_language_model_takes_ids_of_any_type_and_large_texts(spark):
     assert score["a"][0] == 1_100_001 and score[None][0] == 1 and {x.train_tokens for x in got} == {1_100_001 + 4 + 1}
 
 
+def test_scores_of_a_tiny_corpus_by_hand(spark):
+    """Every pair is there once, so every table has one customer and nothing is left to chance."""
+    rows = documents(spark, ["aa bb cc"], 0).unionByName(documents(spark, ["zz", "aa zz"], 5))
+    got = {x.doc_id: x.score for x in score_documents(rows, F.col("doc_id") >= 5).collect()}
+    d, tokens, types = 0.95, 4, 4  # once / (once + 2 * twice) is 1, held at 0.95
+    new = (ROOT_STRENGTH + d * tokens) / (types + 1)
+    p0, unknown = (1 - d + new) / (ROOT_STRENGTH + tokens), new / (ROOT_STRENGTH + tokens)
+    of_class = lambda seen, p: (seen * (1 - d) + (CLASS_STRENGTH + d) * p) / (CLASS_STRENGTH + 1)
+    of_context = lambda seen, p: (seen * (1 - d) + (STRENGTH + d) * of_class(seen, p)) / (STRENGTH + 1)
+    seen, fresh = of_context(1, p0), of_context(0, unknown)
+    want = {0: [seen] * 4, 5: [fresh, p0], 6: [seen, fresh, p0]}  # an unknown context knows no more than the root
+    assert got == {i: pytest.approx(sum(math.log10(p) for p in ps)) for i, ps in want.items()}
+
+
+def test_a_hot_class_is_whole_in_each_of_its_buckets():
+    rng = np.random.default_rng(4)
+    kinds = np.array([7, 7, 9], np.uint32)  # class 7 is hot, its contexts' texts are in three buckets
+
+    def payload(c, own):
+        words = np.flatnonzero(c.sum(0) + (np.arange(c.shape[1]) % 3 == own))  # a bucket knows its own words
+        part = c[:, words]
+        at = np.argwhere(np.ones_like(part))
+        lens = np.full(len(part), len(words), np.uint32)
+        found = np.zeros(len(at), np.uint32)
+        found[::2] = 1
+        m = int(found.sum())
+        return _dump([words.astype(np.uint64), np.arange(3, dtype=np.uint64), kinds, lens, at[:, 1].astype(np.uint32), part.ravel().astype(np.uint32), found, *[np.arange(m, dtype=np.uint32)] * 3, np.arange(1, dtype=np.int64)])
+
+    pieces = [rng.poisson(0.4, (3, 20)) for _ in range(3)]
+    for i in (1, 2):
+        pieces[i][2] = 0  # class 9 is in one bucket
+    payloads = [payload(c, i) for i, c in enumerate(pieces)]
+
+    class Value:
+        value = Plan(np.array([7], np.uint64), np.array([3], np.uint64), None)
+
+    rows = list(_hot(Value)([pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array(payloads, pa.binary())], names=["b", "payload"])]))
+    made = _added(pa.Table.from_batches(rows))
+    assert made.column("bs")[0].as_py() == [0, 1, 2]
+    blob, total = made.column("payload")[0].as_py(), sum(pieces)
+    built = [Bucket(x, [(i == 0, blob)]) for i, x in enumerate(payloads)]
+    for i, b in enumerate(built):
+        got = np.zeros((3, 20), np.int64)
+        got[b.context, b.names[b.word].astype(int)] = b.c
+        assert (got[:2] == total[:2]).all() and (got[2] == pieces[i][2]).all()
+        assert b.finds.sum() == Bucket(payloads[i]).finds.sum() == len(b.doc)
+    sent, local = np.zeros(20, np.int64), np.zeros(20, np.int64)
+    once = 0
+    for b in built:
+        tables, numbers = b.first()
+        once += numbers["once"]
+        np.add.at(sent, b.names.astype(int), tables)
+        np.add.at(local, b.names.astype(int), b.local)
+    assert (local == total.sum(0)).all() and (sent == (total[:2].sum(0) > 0).astype(int) + (total[2] > 0)).all()
+    assert once == (total == 1).sum()
+    # finds stay with their pairs
+    plain = Bucket(payloads[1])
+    pairs = lambda b: [(int(b.context[k]), int(b.names[b.word[k]])) for k in np.repeat(np.arange(len(b.c)), b.finds)]
+    assert pairs(plain) == pairs(built[1])
+
+
+def test_scores_do_not_follow_partitions_or_pieces(spark):
+    """Only the sampler's draws differ: by no more than between buckets dealt alike under two numbers of partitions."""
+    r = random.Random(11)
+    rows = documents(spark, [prose(r, 120, 400) for _ in range(200)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {}
+    try:
+        for n, piece in ((2, 1 << 22), (6, 1 << 22), (6, 50)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got[n, piece] = {x.doc_id: (x.score / x.n_tokens, x.base_score, x.n_known, x.train_tokens) for x in score_documents(rows, piece=piece).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    one, *others = got.values()
+    for other in others:
+        assert {i: x[2:] for i, x in one.items()} == {i: x[2:] for i, x in other.items()}
+        assert all(x[1] == pytest.approx(other[i][1]) for i, x in one.items())
+        gap = sorted(abs(x[0] - other[i][0]) for i, x in one.items())
+        assert gap[len(gap) // 2] < 0.01 and gap[-1] < 0.06
+
+
 def test_seating_agrees_with_the_process():
     rng = np.random.default_rng(0)
     c, d, new = 40, 0.5, STRENGTH * 0.1
