@@ -47,7 +47,7 @@ from .common import ascii_lower, blocks, crc_bucket, cut, mix, most_frequent, pa
 #: Most frequent words with a code, and those that one chunk names.
 KNOWN, CHUNK_WORDS = 65_000, 8000
 #: Tokens of a class that one bucket takes whatever its share.
-PIECE = 1 << 20
+PIECE = 1 << 22
 ROUNDS, BURN, SAMPLES = 1, 2, 4
 #: Strengths of contexts, classes and the root.
 STRENGTH, CLASS_STRENGTH, ROOT_STRENGTH = 1.0, 2.0, 2.0
