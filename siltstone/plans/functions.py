@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import cosine_similarity
+from siltstone.operators import build_index, recall_of, top_k_exact, top_k_indexed
 from siltstone.registry import query
+from siltstone.storage import cut
 
 
 @query("""
@@ -93,6 +95,40 @@ def p40_all_matches(spark, t):
     return t.part.select("p_partkey", F.size(F.regexp_extract_all("p_type", F.lit("[AEIOU]+"), F.lit(0))).cast("bigint").alias("vowels"), F.array_join(F.regexp_extract_all("p_name", F.lit("[a-z]+"), F.lit(0)), "-").alias("words"))
 
 
+@query("""
+with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(q.v, e.v), 6) as similarity from e q, e where q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)
+select *, cast(row_number() over (partition by query_id order by similarity desc, id) as bigint) as rank from s qualify rank <= 10
+""")
+def p43_top_k_exact(spark, t):
+    """The ten most similar vectors of each whose id is divisible by 50, against all rows in blocks."""
+    found = top_k_exact(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", 10)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("select count(*) filter (where vec_id % 50 = 0) as queries, count(*) as indexed, true as nine_of_ten_found from embeddings")
+def p43_top_k_index(spark, t):
+    """Every vector indexed; the same queries through the index find at least nine tenths of what the exact way finds."""
+    asked = t.embeddings.filter("vec_id % 50 = 0")
+    index = build_index(t.embeddings, "vec_id", "embedding", 10)
+    found = cut(top_k_indexed(index, asked, "vec_id", "embedding", 10))
+    recall = recall_of(found, top_k_exact(asked, t.embeddings, "vec_id", "embedding", 10))
+    return recall.crossJoin(F.broadcast(index.lists.agg(F.count(F.lit(1)).alias("indexed")))).select("queries", "indexed", (F.col("recall") >= 0.9).alias("nine_of_ten_found"))
+
+
+@query("""
+with u as (select p_partkey, upper(p_name) as n, upper(p_type) as y from part),
+x as (select p_partkey, unnest([n, y]) as w, unnest(['name', 'type']) as which from u),
+c as (select p_partkey, which, w[1] as first, translate(regexp_replace(w[1] || regexp_replace(w[2:], '[HW]', '', 'g'), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202') as k from x),
+r as (select p_partkey, which, first, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), 2) as k from c)
+select p_partkey, which, first || substring(replace(k, '0', '') || '000', 1, 3) as code from r
+""")
+def p40_soundex(spark, t):
+    """By sound: names and types of parts, all of which begin with a letter."""
+    names = t.part.select("p_partkey", F.expr("stack(2, 'name', p_name, 'type', p_type) as (which, w)"))
+    return names.select("p_partkey", "which", F.soundex("w").alias("code"))
+
+
 @query("""
 select o_orderkey, round((extract(year from o_orderdate) - 1995) * 12 + extract(month from o_orderdate) - 1 + (extract(day from o_orderdate) - 1) / 31, 6) as months, o_orderdate + interval 1 month + interval 2 day as later,
        cast(null as timestamp) as bad, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') as again
