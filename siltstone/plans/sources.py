@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import snapshots, upsert
 from siltstone.registry import query
-from siltstone.sources import create_table, read_jdbc, round_trip, write_jdbc
+from siltstone.sources import create_table, read_jdbc, read_pushed, round_trip, write_jdbc
 from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
 from siltstone.storage import cut, scratch_path
@@ -70,6 +70,15 @@ def p03_custom_sink(spark, t):
     return spark.read.format("lines").schema(orders.schema).load(path)
 
 
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey between 1000 and 1999 and o_orderstatus in ('F', 'P')")
+def p03_filter_pushdown(spark, t):
+    """A read of our connector that skips the files whose keys are out of the range asked for."""
+    spark.dataSource.register(LinesDataSource)
+    path, orders = scratch_path(spark), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders.repartitionByRange(8, "o_orderkey").write.format("lines").mode("append").save(path)
+    return read_pushed(spark, "lines", path, orders.schema, "o_orderkey between 1000 and 1999 and o_orderstatus in ('F', 'P')")
+
+
 @query("select o_orderstatus, count(*) as n, max(o_orderkey) as top from orders group by all")
 def p04_table_writer(spark, t):
     orders = t.orders.select("o_orderkey", "o_orderstatus")

@@ -143,6 +143,21 @@ def p03_custom_stream_sink(spark, t):
     return spark.read.format("lines").schema(clicks.schema).load(path)
 
 
+@query("select event_id, event_type, value from events where user_id % 2 = 0")
+def p03_custom_stream_reader(spark, t):
+    """The connector's table, four commits of events, read as a stream: two runs of one checkpoint, the second gets only what came after the first."""
+    spark.dataSource.register(LinesDataSource)
+    path, events = scratch_path(spark), t.events.select("event_id", "user_id", "event_type", "value")
+    parts = [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) for i in range(4)]
+    stream = spark.readStream.format("lines").schema(events.schema).load(path).filter("user_id % 2 = 0").select("event_id", "event_type", "value")
+    run = None
+    for two in (parts[:2], parts[2:]):
+        for part in two:
+            part.write.format("lines").mode("append").save(path)
+        run = run_to_table(stream, run and run.checkpoint, run and run.path)
+    return run.table
+
+
 def append_by_batch(stream):
     """A stream in update mode, every batch's rows kept; the last row of a key is its newest."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.storage import scratch_path
+from siltstone.storage import cut, scratch_path
 
 FORMATS = ("parquet", "csv", "json", "orc", "text")
 
@@ -53,3 +53,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
+def read_pushed(spark: SparkSession, fmt: str, path: str, schema, condition: str) -> DataFrame:
+    """The rows of a connector of our own (with the option skip) that fulfil a condition, as a scratch table; while it is read, Spark passes filters on."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return cut(spark.read.format(fmt).schema(schema).option("skip", "true").load(path).filter(condition))
+    finally:
+        spark.conf.set(key, before)

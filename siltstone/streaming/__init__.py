@@ -69,11 +69,12 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame
 
 
 class Run(NamedTuple):
-    """A stream that has run over all that was there: its table, its checkpoint and the progress of its batches."""
+    """A stream that has run over all that was there: its table, its checkpoint, the progress of its batches and the table's path."""
 
     table: DataFrame
     checkpoint: str
     progress: list[dict]
+    path: str
 
 
 def run_to_table(stream: DataFrame, checkpoint: str | None = None, path: str | None = None) -> Run:
@@ -82,7 +83,7 @@ def run_to_table(stream: DataFrame, checkpoint: str | None = None, path: str | N
     path, checkpoint = path or scratch_path(spark), checkpoint or scratch_path(spark)
     q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return Run(spark.read.schema(stream.schema).parquet(path), checkpoint, list(q.recentProgress))
+    return Run(spark.read.schema(stream.schema).parquet(path), checkpoint, list(q.recentProgress), path)
 
 
 def in_order(table: DataFrame, time: str, n: int, closing: DataFrame | None = None, files: int = 2) -> str:
