@@ -13,7 +13,9 @@ those covered by a 5-word window found at least twice in the document, all finds
 Scale: lines shuffle as hashes with partial aggregation, so a line in a third of all
 documents or a host with a third of all rows is combined before it moves. A second pass over the text, joined on the
 host with the host's lines above the limits (at most 1 / line_share times the lines of its
-mean document), measures each document and rebuilds its text.
+mean document), measures each document and rebuilds its text. These lists are broadcast where their table is small, so
+no text moves; beyond that texts meet them by host, those of a host with more than a task's share of documents in as many
+tasks as they need.
 
 Defined cases: null text has no words, fails the base rules and stays null. A null host is a host of
 its own. Repeated rows are judged alike. A null id stays null. An empty table gives none.
@@ -28,13 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blocks, cut, span_hashes, text_bytes, window_hashes, word_spans
+from siltstone.operators.joins import estimated_bytes
+
+from .common import ascii_lower, blocks, cut, parts, span_hashes, text_bytes, window_hashes, word_spans
 
 #: Windows of this many words; least words; percent of repeated words that fails.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A line is boilerplate above both; a document is depleted when more than this share is removed.
 LINE_DOCUMENTS, LINE_SHARE, DEPLETED = 20, 0.02, 0.5
 
+#: Largest table of common lines that is broadcast.
+COMMON_BYTES = 32 << 20
+
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -124,8 +131,24 @@ def _measure(batches):
         yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(texts, pa.binary()).cast(pa.string())})
 
 
+def meet_common(slim: DataFrame, common: DataFrame, broadcast_bytes: int = COMMON_BYTES) -> DataFrame:
+    """Documents with the common lines of their host, by broadcast or dealt so that no task gets more of a host than its share."""
+    if estimated_bytes(common) <= broadcast_bytes:
+        return slim.join(F.broadcast(common), "_sl_host", "left")
+    n, one = parts(slim.sparkSession), F.lit(1).cast("bigint")
+    counts = cut(slim.groupBy("_sl_host").agg(F.count(F.lit(1)).alias("c")))
+    total = counts.agg(F.sum("c")).first()[0] or 1
+    # fewer than n hosts have more than one share of n
+    hot = F.broadcast(counts.filter(F.col("c") * n > total).select("_sl_host", F.ceil(F.col("c") * n / total).alias("_sl_salts")))
+    salts = F.coalesce("_sl_salts", one)
+    dealt = slim.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.pmod(F.xxhash64("_sl_id", "_sl_text"), salts)).drop("_sl_salts")
+    repeated = common.join(hot, "_sl_host", "left").withColumn("_sl_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_sl_salts")
+    return dealt.join(repeated, ["_sl_host", "_sl_salt"], "left").drop("_sl_salt")
+
+
 def quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, depleted: float = DEPLETED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, depleted: float = DEPLETED,
+    broadcast_bytes: int = COMMON_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_words, kept, text (without boilerplate lines)."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -137,7 +160,7 @@ def quality(
     common = per_line.join(per_host, "_sl_host").filter(F.col("_sl_in") > F.col("_sl_docs") * line_share)
     common = cut(common.groupBy("_sl_host").agg(F.collect_list("h").alias("_sl_common")))
     schema = f"_sl_id {id_type}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_boilerplate_words bigint, text string"
-    out = slim.join(common, "_sl_host", "left").select("_sl_id", "_sl_host", "_sl_text", "_sl_common").mapInArrow(_measure, schema)
+    out = meet_common(slim, common, broadcast_bytes).select("_sl_id", "_sl_host", "_sl_text", "_sl_common").mapInArrow(_measure, schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     verdict = F.col("n_boilerplate_words") <= F.col("n_words") * depleted
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict).withColumnRenamed("_sl_id", id_col).select(id_col, *FIGURES, "n_boilerplate_words", "base_failed", "kept", "text")

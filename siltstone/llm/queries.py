@@ -167,7 +167,8 @@ from d left join n using (doc_id) join (select u as doc_id, min(c) as component_
 """
 
 
-OP10_SQL = f"""
+def op10_sql(line_documents: int = 20, line_share: float = 0.02, depleted: float = 0.5) -> str:
+    return f"""
 with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {_WORDS} as w from documents),
 l as (select r, source, md5(t) as content, unnest(string_split(t, chr(10))) as line from d),
 m as (select *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw from l),
@@ -175,7 +176,7 @@ n as (select r, source, content, line, len(lw) as k, translate(array_to_string(l
 dup as (select r, count(*) - count(distinct line) as n_dup_lines from n group by r),
 freq as (select source, norm, count(distinct content) as c from n group by all),
 host as (select source, count(distinct md5(t)) as h from d group by all),
-common as (select f.source, f.norm from freq f join host on f.source is not distinct from host.source where c > 20 and c > h * 0.02),
+common as (select f.source, f.norm from freq f join host on f.source is not distinct from host.source where c > {line_documents} and c > h * {line_share}),
 boil as (select r, sum(k) as b from n join common c on n.source is not distinct from c.source and n.norm = c.norm group by r),
 win as (select r, i, md5(array_to_string(w[i:i + 4], ' ')) as x from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
 rep as (select r, x from win group by all having count(*) > 1),
@@ -183,7 +184,7 @@ cov as (select r, count(*) as n_repeat_words from (select distinct win.r, unnest
 f as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
              coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, cast(coalesce(b, 0) as bigint) as n_boilerplate_words
       from d left join dup using (r) left join cov using (r) left join boil using (r))
-select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_boilerplate_words <= n_words * 0.5 as kept from f
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_boilerplate_words <= n_words * {depleted} as kept from f
 """
 
 
@@ -239,4 +240,4 @@ select lang, source, part, item, value, rank from ranked where part = 'pair' or
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_importance_resampling": OP11_SQL, "op12_source_divergence": OP12_SQL, "op10_quality_rules": OP10_SQL, "op9_near_duplicates": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op11_importance_resampling": OP11_SQL, "op12_source_divergence": OP12_SQL, "op10_quality_rules": op10_sql(), "op9_near_duplicates": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}

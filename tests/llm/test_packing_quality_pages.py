@@ -1,15 +1,19 @@
 import json
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from comparison import assert_same, duck
 from frames import awkward, documents, empty, frame, prose, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm.packing import CachedWordBpe, has_form, pack
-from siltstone.llm.quality import quality
+from siltstone.llm.quality import COMMON_BYTES, meet_common, quality
+from siltstone.llm.queries import op10_sql
 from siltstone.llm.templates import Walk, _host, _salts, article_slots, deduce, extract
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -105,6 +109,39 @@ def test_boilerplate_lines_are_removed_from_the_text(spark):
     assert (got[30], got[31], got[32], got[50]) == ("just this\n", None, "", texts[0])
 
 
+LIMITS = {"line_documents": 2, "line_share": 0.001, "depleted": 0.05}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("broadcast_bytes", [COMMON_BYTES, 0])
+def test_boilerplate_agrees_with_sql(spark, broadcast_bytes):
+    """At limits where the given documents have boilerplate and depleted ones; common lines broadcast, and dealt by host."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = quality(docs, **LIMITS, broadcast_bytes=broadcast_bytes).drop("text").toPandas()
+    assert (got.n_boilerplate_words > 0).any() and (~got.kept & ~got.base_failed).any()
+    assert_same(got, duck(op10_sql(**LIMITS), folder))
+
+
+def test_a_hot_host_goes_to_several_tasks(spark):
+    texts = [f"own {i} line\nthe same banner for all" for i in range(90)]
+    rows = [(i, t, "en", ["s1", None][i % 30 == 7], 0, 1, 2, "a", 3, "r", 4) for i, t in enumerate(texts)] + [(200, "x", "en", "s9", 0, 1, 2, "a", 3, "r", 4), (None, None, None, None, 0, 1, 2, "a", 3, "r", 4)]
+    key = lambda df: sorted((r.doc_id or -1, r.text or "", r.n_boilerplate_words) for r in df.collect())
+    dealt, plain = quality(frame(spark, rows), broadcast_bytes=0), quality(frame(spark, rows))
+    assert key(dealt) == key(plain) and len(key(dealt)) == len(rows)
+    slim = spark.createDataFrame([(i, "h", str(i)) for i in range(400)], "_sl_id int, _sl_host string, _sl_text string")
+    common = spark.createDataFrame([("h", [b"1"])], "_sl_host string, _sl_common array<binary>")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1")):
+            spark.conf.set(k, v)
+        salted = meet_common(slim, common, 0).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("_sl_common")).alias("met")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in salted) == 400 and all(r.met == 1 for r in salted) and len(salted) > 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no</p>";</script></head><body><div class="cookie-notice"><p>Accept</p></div><nav><ul><li><a href=/a>Menu{0}</a></ul></nav>
 <div id="page"><article><h1>Title &amp; {0}</h1><p>First   line<br>of <b>{0}</b> &lt;b&gt; &copy;<p>Second{0}<ul><li>a{0}<li>b{0}</ul><!-- <p>hidden</p> --><form><p>Name</p></form></article><div class="comments"><p>Nice {0}</p></div></div>
 <aside>side</aside><footer>&copy; me</footer></body></html>"""
