@@ -158,3 +158,18 @@ def test_overlap_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert joined.columns == ["i", "k", "lo", "hi", "j", "since", "till"]
     assert overlap_join(l.limit(0), q.drop("k"), ("lo", "hi"), ("since", "till")).count() == 0
+
+
+def test_overlap_join_meets_only_in_cells_where_one_is_at_home(spark):
+    """Short intervals are copied to the wide ones' level on both sides, but don't meet there; hot cells are dealt."""
+    short = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") * 10.0).alias("lo"), (F.col("id") * 10.0 + 1).alias("hi"))
+    wide = spark.range(2).select((F.col("id") - 2).alias("i"), F.lit(0.0).alias("lo"), F.lit(20000.0).alias("hi"))
+    l = short.unionByName(wide)
+    q = l.toDF("j", "since", "till")
+    for block in (8192, 50):
+        joined = overlap_join(l, q, ("lo", "hi"), ("since", "till"), block=block)
+        assert joined.count() == 2000 + 2 * 2 * 2000 + 4
+        assert joined.filter("i >= 0 and j >= 0 and i <> j").count() == 0
+    # candidates: rows of the join before its inequalities
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_kind" in plan and "_l_piece" in plan
