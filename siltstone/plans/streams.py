@@ -9,7 +9,7 @@ from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
 from siltstone.storage import scratch_path
 from siltstone.streaming import append_to_table, event_stream, in_files, in_order, interval_join, latest_table, run_to_table, with_rocksdb
-from siltstone.streaming.stateful import CountsByType, InactivitySessions, RowTotals, RunningTotals, count_batches
+from siltstone.streaming.stateful import CountsByBucket, RowTotals, SessionsByBucket, TotalsByBucket, count_batches
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
@@ -70,12 +70,25 @@ def p50_stream_dedup(spark, t):
 TOTALS = "select user_id, count(*) as n, round(sum(value), 2) as total from events group by all"
 
 
+#: Groups of users that the stateful operators take together; a group has a cost whatever its rows.
+USER_BUCKETS = 1024
+
+
+def by_bucket(df, *columns):
+    """df grouped into buckets of users: user (the id as text, empty if null) and the columns."""
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user")
+    return df.select(F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).alias("bucket"), user, *columns).groupBy("bucket")
+
+
+def user_id():
+    return F.expr("cast(nullif(user, '') as bigint)").alias("user_id")
+
+
 def _totals(spark, t, apply):
     """Totals per user over four batches: each user's newest row has what all batches brought."""
 
     def run():
-        stream = event_stream(spark, in_files(t.events, 4))
-        return append_by_batch(apply(stream.groupBy("user_id")))
+        return append_by_batch(apply(event_stream(spark, in_files(t.events.select("ts", "user_id", "value"), 4))))
 
     rows = with_rocksdb(spark, run)
     return rows.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("x")).select("user_id", "x.n", F.round("x.total", 2).alias("total"))
@@ -83,12 +96,13 @@ def _totals(spark, t, apply):
 
 @query(TOTALS)
 def p51_transform_with_state(spark, t):
-    return _totals(spark, t, lambda g: g.transformWithStateInPandas(RunningTotals(), "user_id long, n long, total double", "Update", "None"))
+    out = lambda s: by_bucket(s, "value").transformWithStateInPandas(TotalsByBucket(), "user string, n long, total double", "Update", "None")
+    return _totals(spark, t, lambda s: out(s).select(user_id(), "n", "total"))
 
 
 @query(TOTALS)
 def p51_transform_rows_with_state(spark, t):
-    return _totals(spark, t, lambda g: g.transformWithState(RowTotals(), "user_id long, n long, total double", "Update", "None"))
+    return _totals(spark, t, lambda s: s.groupBy("user_id").transformWithState(RowTotals(), "user_id long, n long, total double", "Update", "None"))
 
 
 @query("select event_type, count(*) as n from events group by all")
@@ -108,10 +122,10 @@ def p51_sessions_by_timers(spark, t):
     def run():
         events = t.events.select("user_id", "ts")
         stream = event_stream(spark, in_order(events, "ts", 4, closing(events)), 2).withWatermark("ts", "10 minutes")
-        rows = stream.select("user_id", "ts", F.unix_micros("ts").alias("at")).groupBy("user_id")
-        return run_to_table(rows.transformWithStateInPandas(InactivitySessions(2 * 3600 * 1_000_000), "user_id long, start long, n long", "Append", "EventTime")).table
+        rows = by_bucket(stream, "ts", F.unix_micros("ts").alias("at"))
+        return run_to_table(rows.transformWithStateInPandas(SessionsByBucket(2 * 3600 * 1_000_000), "user string, start long, n long", "Append", "EventTime")).table
 
-    return with_rocksdb(spark, run).select("user_id", F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "n")
+    return with_rocksdb(spark, run).select(user_id(), F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("select user_id, event_type, count(*) as n from events where user_id in (select user_id from events where event_id % 2 = 1) group by all")
@@ -120,9 +134,9 @@ def p51_initial_state(spark, t):
 
     def run():
         first = t.events.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-        stream = event_stream(spark, in_files(t.events.filter("event_id % 2 = 1"), 4))
-        counts = stream.groupBy("user_id").transformWithStateInPandas(CountsByType(), "user_id long, event_type string, n long", "Update", "None", first.groupBy("user_id"))
-        return append_by_batch(counts)
+        stream = event_stream(spark, in_files(t.events.filter("event_id % 2 = 1").select("ts", "user_id", "event_type"), 4))
+        counts = by_bucket(stream, "event_type").transformWithStateInPandas(CountsByBucket(), "user string, event_type string, n long", "Update", "None", by_bucket(first, "event_type", "n"))
+        return append_by_batch(counts.select(user_id(), "event_type", "n"))
 
     return with_rocksdb(spark, run).groupBy("user_id", "event_type").agg(F.max("n").alias("n"))
 

@@ -104,3 +104,58 @@ def test_a_short_lifetime_forgets_between_batches(spark):
     # nothing is carried on, so the batches' counts add up to the whole
     assert {(r.user_id, r.event_type): r.n for r in per_user} == whole
     assert all(r.most < whole[r.user_id, r.event_type] for r in per_user)
+
+
+class Store:
+    """A map state in memory that counts its requests, and a handle that keeps timers."""
+
+    def __init__(self):
+        self.held, self.timers, self.requests = {}, [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValue(self, key):
+        self.requests += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.requests += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(self.held.items())
+
+
+def test_buckets_ask_twice_a_user_and_set_one_timer():
+    import pandas as pd
+
+    from siltstone.streaming.stateful import CountsByBucket, SessionsByBucket, TotalsByBucket
+
+    frames = lambda: iter([pd.DataFrame({"user": ["a", "b", "", "a"], "value": [1.0, None, 2.0, 4.0], "event_type": ["x", None, "x", "x"], "at": [0, 5_000, 7_000, 90_000]})] * 2)
+    store, p = Store(), TotalsByBucket()
+    p.init(store)
+    (out,) = p.handleInputRows((1,), frames(), None)
+    assert sorted(map(tuple, out.to_numpy().tolist())) == [("", 2, 4.0), ("a", 4, 10.0), ("b", 2, 0.0)] and store.requests == 6
+    store, p = Store(), CountsByBucket()
+    p.init(store)
+    p.handleInitialState((1,), pd.DataFrame({"user": ["a", "c"], "event_type": ["y", "y"], "n": [7, 1]}), None)
+    (out,) = p.handleInputRows((1,), frames(), None)
+    assert sorted(map(str, out.to_numpy().tolist())) == sorted(map(str, [["a", "x", 4], ["a", "y", 7], ["b", None, 2], ["", "x", 2]])) and store.requests == 10
+    store, p = Store(), SessionsByBucket(10_000)
+    p.init(store)
+    assert list(p.handleInputRows((1,), frames(), None)) == [] and store.timers == [10] and store.requests == 6
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 16
+
+    (out,) = p.handleExpiredTimer((1,), Now(), None)
+    assert sorted(map(tuple, out.to_numpy().tolist())) == [("a", 0, 2), ("b", 5000, 2)]
+    assert store.timers == [10, 17] and set(store.held) == {("a",), ("",)}
