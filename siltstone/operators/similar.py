@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.storage import cut, free
 
 #: Rows and queries that meet in one task; entries of a matrix of similarities held at a time.
-ROWS, QUERIES, CELLS = 50_000, 10_000, 1 << 23
+ROWS, QUERIES, CELLS = 50_000, 10_000, 1 << 19
 #: About how many vectors an index is fitted on; decimals of a similarity, beyond which ids settle ties.
 SAMPLE, DECIMALS = 20_000, 6
 
@@ -30,10 +30,13 @@ def _clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def _units(column) -> np.ndarray:
     """An Arrow column of lists of one length as rows of length 1."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(column.flatten(), dtype=np.float64)
-    rows = flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True, initial=1e-300)  # so that no square overflows or vanishes
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    flat = np.array(column.flatten(), dtype=np.float64)
+    all_ = flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    for i in range(0, len(all_), 4096):
+        rows = all_[i : i + 4096]
+        rows /= np.abs(rows).max(axis=1, keepdims=True, initial=1e-300)  # so that no square overflows or vanishes
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return all_
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +44,9 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: i
     found = []
     step = max(1, CELLS // max(1, len(ids)))
     for i in range(0, len(q_ids), step):
-        s = np.round(q[i : i + step] @ v.T, DECIMALS) + 0.0
+        s = q[i : i + step] @ v.T
+        np.round(s, DECIMALS, out=s)
+        s += 0.0
         if not itself:
             s[q_ids[i : i + step, None] == ids[None, :]] = -np.inf
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -2.0
@@ -113,10 +118,11 @@ def _centres(sample: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
 
 def _cells(v: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The nearest `probes` centres of each row, nearest first."""
-    out = []
-    for i in range(0, len(v), 4096):
-        s = v[i : i + 4096] @ centres.T
-        out.append(np.argsort(-s, axis=1, kind="stable")[:, :probes])
+    out, step = [], max(1, CELLS // len(centres))
+    for i in range(0, len(v), step):
+        s = v[i : i + step] @ centres.T
+        # a copy, for a view would hold all centres of each row
+        out.append(np.argmax(s, axis=1)[:, None] if probes == 1 else np.argsort(-s, axis=1, kind="stable")[:, :probes].copy())
     return np.concatenate(out) if out else np.empty((0, probes), np.int64)
 
 
@@ -135,12 +141,14 @@ class Index(NamedTuple):
 def _in_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     def run(batches):
         for b in batches:
+            # copies of vectors: about 4,096 at a time, whatever the probes
+            step = max(1, 4096 // probes)
             for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                near = _cells(_units(part.column("v")), centres, probes)
-                at = np.repeat(np.arange(part.num_rows), near.shape[1])
-                taken = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel().astype(np.int64))], names=["id", "v", "cell"])
+                near = _cells(_units(b.slice(i, 4096).column("v")), centres, probes).astype(np.int64, copy=False)
+                for j in range(0, len(near), step):
+                    some = near[j : j + step]
+                    taken = b.take(pa.array(np.repeat(np.arange(i + j, i + j + len(some)), some.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(some.ravel())], names=["id", "v", "cell"])
 
     return df.mapInArrow(run, f"id bigint, v {df.schema['v'].dataType.simpleString()}, cell bigint")
 

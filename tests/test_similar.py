@@ -89,3 +89,20 @@ def test_index_fitted_on_a_sample(spark):
 def test_index_of_nothing(spark):
     index = build_index(table(spark, made(1)).limit(0), "vec_id", "embedding", 3)
     assert top_k_indexed(index, table(spark, made(2)), "vec_id", "embedding", 3).count() == 0
+
+
+def test_memory_of_a_task_is_bounded():
+    """A full block against its queries, and rows against the most centres an index has."""
+    import tracemalloc
+
+    from siltstone.operators import similar
+
+    r = np.random.default_rng(5)
+    v, q = r.normal(size=(similar.ROWS, 4)), r.normal(size=(300, 4))
+    centres = r.normal(size=(similar.SAMPLE // 8, 4))
+    for work in (lambda: similar._best(np.arange(300), q, np.arange(len(v)), v, 10, True), lambda: similar._cells(v[:4096], centres, 1), lambda: similar._cells(v[:4096], centres, 100)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20
