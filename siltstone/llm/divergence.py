@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,22 +234,18 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str
     langs = cut(langs)
 
     def chunks(batches):
-        def rows(b, i, j, part, no):
-            return {"lang": [b.column(0)[i].as_py()], "no": [(part << 36) + no], "terms": [b.column(1).slice(i, j - i).to_pylist()], "counters": [b.column(2).slice(i, j - i).to_pylist()]}
-
         from pyspark import TaskContext
 
         part, no = TaskContext.get().partitionId(), 0
-        kind = pa.schema([("lang", pa.string()), ("no", pa.int64()), ("terms", pa.list_(pa.string())), ("counters", pa.list_(_LEAF.field("counters").type))])
+        one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
         for b in batches:
-            lang = b.column(0).to_pylist()
-            i = 0
-            while i < len(lang):
-                j = i + 1
-                while j < len(lang) and lang[j] == lang[i] and j - i < CHUNK:
-                    j += 1
-                yield pa.RecordBatch.from_pydict(rows(b, i, j, part, no), kind)
-                i, no = j, no + 1
+            codes = np.asarray(pc.dictionary_encode(b.column(0)).indices)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), b.num_rows]
+            for first, end in zip(edges[:-1], edges[1:]):
+                for i in range(first, end, CHUNK):
+                    some = b.slice(i, min(CHUNK, end - i))
+                    yield pa.RecordBatch.from_arrays([some.column(0).slice(0, 1), pa.array([(part << 36) + no], pa.int64()), one(some.column(1)), one(some.column(2))], names=["lang", "no", "terms", "counters"])
+                    no += 1
 
     leaf = "array<struct<source:string,n:bigint>>"
     chunked = kept.select("lang", "term", "counters").sortWithinPartitions("lang", "term").mapInArrow(chunks, f"lang string, no bigint, terms array<string>, counters array<{leaf}>")
@@ -256,8 +253,9 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str
 
     def stream(batches):
         for b in batches:
-            for row in b.to_pylist():
-                yield from _of_chunk(row["lang"], row["terms"], row["counters"], row["sources"], row["v"], top)
+            lang, terms, counters, sources, v = b.columns
+            for i in range(b.num_rows):
+                yield from _of_chunk(lang[i].as_py(), terms[i].as_py(), counters[i].values, sources[i].as_py(), v[i].as_py(), top)
 
     said = cut(met.mapInArrow(stream, "lang string, source string, part string, item string, value bigint"))
     pairs = said.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
@@ -271,16 +269,15 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str
 _SAID = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
-def _of_chunk(lang: str, terms: list[str], counters: list[list[dict]], sources: list[dict], kinds: int, top: int):
+def _of_chunk(lang: str, terms: list[str], counters: pa.ListArray, sources: list[dict], kinds: int, top: int):
     """The rows of a chunk of leaves in UTF-8 order: a sum for each pair of sources, the best terms of each source."""
     names, totals = [s["source"] for s in sources], [s["n"] for s in sources]
-    no = {s: i for i, s in enumerate(names)}
     first = 1 if terms and terms[0] == "" else 0  # the root counts documents
-    terms, counters = terms[first:], counters[first:]
+    terms, counters = terms[first:], counters.slice(first)
+    said = counters.flatten()
+    at = np.repeat(np.arange(len(terms)), np.diff(np.asarray(counters.offsets)))
     count = np.zeros((len(names), len(terms)), np.int64)
-    for j, leaf in enumerate(counters):
-        for c in leaf:
-            count[no[c["source"]], j] = c["n"]
+    count[np.asarray(pc.index_in(said.field(0), pa.array(names, said.type.field(0).type))), at] = np.asarray(said.field(1))
     if terms:
         share = np.stack([_share(count[i], totals[i], kinds) for i in range(len(names))])
         whole = _share(count.sum(axis=0), sum(totals), kinds)
