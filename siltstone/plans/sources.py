@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.operators import snapshots, upsert
 from siltstone.registry import query
-from siltstone.sources import create_table, read_jdbc, read_pushed, round_trip, write_jdbc
+from siltstone.sources import archive, create_table, read_jdbc, read_pushed, round_trip
 from siltstone.sources.lines import LinesDataSource
 from siltstone.sources.series import SeriesDataSource
 from siltstone.storage import cut, scratch_path
@@ -41,12 +39,9 @@ def p02_text(spark, t):
 
 @query("select n_nationkey, n_name, n_regionkey from nation")
 def p02_jdbc(spark, t):
-    """Through the database that Spark ships with, in the memory of one JVM: so for local masters only."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url, options = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    write_jdbc(t.nation.select("n_nationkey", "n_name", "n_regionkey"), url, "N", "overwrite", **options)
-    back = read_jdbc(spark, url, "N", "n_nationkey", 0, 25, 4, **options)
-    return back.select(*[F.col(c).alias(c.lower()) for c in back.columns])
+    """From a database, on any master: four tasks read a range of its keys each."""
+    url = archive.publish(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "N")
+    return read_jdbc(spark, url, "N", "n_nationkey", 0, 25, 4, **archive.OPTIONS)
 
 
 @query("select range as id, range * range as square from range(1000)")
