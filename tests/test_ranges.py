@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import exact_quantiles, global_ranks, numbered, overlap_join, range_sums, ranged_asof_join, rows_frame, running_sums
+from siltstone import catalog
+from siltstone.operators import exact_quantiles, global_ranks, numbered, overlap_join, range_sums, ranged_asof_join, ranged_overlap_join, rows_frame, running_sums
 
 
 def skewed(r, n):
@@ -173,3 +174,50 @@ def test_overlap_join_meets_only_in_cells_where_one_is_at_home(spark):
     # candidates: rows of the join before its inequalities
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_kind" in plan and "_l_piece" in plan
+
+
+def test_ranged_overlap_join(spark):
+    """Ends that are equal, infinite, NaN, null or the wrong way round; blocks of one row, of some and of all."""
+    r = random.Random(8)
+    nan, inf = float("nan"), float("inf")
+
+    def intervals(n):
+        lows = [r.choice([r.uniform(-50, 50), 3.0, 3.0, float(r.randrange(-50, 50))]) for _ in range(n)]
+        rows = [(i, r.choice("xyz"), a, a + r.choice([0.0, 0.01, 1.0, 2.0, 7.5, 64.0, 1000.0, -1.0, inf, nan])) for i, a in enumerate(lows)]
+        return rows + [(n, "x", None, 3.0), (n + 1, "y", 3.0, None), (n + 2, None, 3.0, 4.0), (n + 3, "x", -inf, -3.0)]
+
+    a, b = intervals(90), intervals(70)
+    l, q = spark.createDataFrame(a, "i int, k string, lo double, hi double"), spark.createDataFrame(b, "j int, k string, since double, till double")
+    above = lambda x, y: x is not None and y is not None and (x > y or (math.isnan(x) and not math.isnan(y)))
+    meets = lambda x, y: above(x[3], x[2]) and above(y[3], y[2]) and above(y[3], x[2]) and above(x[3], y[2])
+    for block in (1, 20, 1 << 18):
+        joined = ranged_overlap_join(l, q.drop("k"), ("lo", "hi"), ("since", "till"), block=block)
+        assert joined.columns == ["i", "k", "lo", "hi", "j", "since", "till"]
+        assert sorted((x.i, x.j) for x in joined.collect()) == sorted((x[0], y[0]) for x in a for y in b if meets(x, y))
+        joined = ranged_overlap_join(l, q, ("lo", "hi"), ("since", "till"), ["k"], keep=["j", "i"], block=block)
+        assert joined.columns == ["j", "i"]
+        assert sorted((x.i, x.j) for x in joined.collect()) == sorted((x[0], y[0]) for x in a for y in b if meets(x, y) and x[1] == y[1] is not None)
+    assert ranged_overlap_join(l.limit(0), q.drop("k"), ("lo", "hi"), ("since", "till")).count() == 0
+
+
+def test_ranged_overlap_join_deals_rows_that_start_together(spark):
+    l = spark.range(1000).select(F.col("id").alias("i"), F.lit(5.0).alias("lo"), F.lit(6.0).alias("hi"))
+    joined = ranged_overlap_join(l, l.toDF("j", "since", "till"), ("lo", "hi"), ("since", "till"), block=100)
+    found = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x[1] for x in found) == 1000 * 1000
+    assert len(found) >= 10 and max(x[1] for x in found) < 300000
+
+
+def test_overlaps_of_events_shuffle_about_a_row_an_interval(spark):
+    folder = "/root/testdata/sf0.01"
+    intervals = spark.read.parquet(f"{folder}/events.parquet").filter("event_type in ('purchase', 'view')").count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    began = shuffled()
+    catalog.queries()["p12_overlap_join"](spark, folder).write.format("noop").mode("overwrite").save()
+    assert shuffled() - began < 1.5 * intervals
