@@ -221,3 +221,18 @@ def test_overlaps_of_events_shuffle_about_a_row_an_interval(spark):
     began = shuffled()
     catalog.queries()["p12_overlap_join"](spark, folder).write.format("noop").mode("overwrite").save()
     assert shuffled() - began < 1.5 * intervals
+
+
+def test_overlap_blocks_of_long_intervals_are_put_together(spark, monkeypatch):
+    """Many shuffle partitions don't make each long interval visit as many blocks."""
+    from siltstone.operators import ranges
+
+    monkeypatch.setattr(ranges, "FEW_ROWS", 10)
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for length, least, most in ((1.0, 190, 200), (3000.0, 32, 40)):
+            rows = spark.range(8000).select(F.lit(0).cast("bigint").alias("_sl_key"), F.col("id").cast("double").alias("_sl_low"), (F.col("id") + length).alias("_sl_high")).coalesce(2)
+            assert least <= len(ranges._block_bounds(rows, 1 << 18)[0]) <= most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
